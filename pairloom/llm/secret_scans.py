@@ -1,0 +1,204 @@
+"""Secret scans: fixed patterns, and sliding-window entropy of candidate strings.
+
+The patterns give the base spans (assign, access, hex). The method adds spans of kind `entropy`:
+candidates are runs of 20 or more of `[A-Za-z0-9+/_=-]` with a letter and a digit. A window of 20
+characters slides over a candidate; the counts of its characters are kept and updated by the one
+that enters and the one that leaves, and so is the sum of c * log2(c), which gives the Shannon
+entropy. A candidate is reported if its highest window reaches the threshold of its character
+class (hexadecimal, alphanumeric, other), matches no pattern of the allow-list, and overlaps no base span.
+
+Spans are code points, end exclusive, and cover the whole match. Everything is built of SQL
+functions that work on one row at a time; no shuffle.
+
+Edge cases: a null text counts as empty: no spans. Repeated rows give repeated results. An empty
+table gives an empty result. Columns other than doc_id and text are ignored.
+"""
+
+from __future__ import annotations
+
+from math import log2
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+
+# The patterns of the base spans and their least lengths.
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
+ASSIGN_LEAST = 8
+KINDS = ("assign", "access", "hex", "entropy")
+
+WINDOW = 20
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Least entropy in bits: of hexadecimal, alphanumeric and other candidates.
+THRESHOLDS = (3.0, 3.6, 3.8)
+#: Candidates that match one of these are no secrets: UUIDs, numbers with separators, documented examples.
+ALLOW = (
+    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    r"^[0-9/_=+-]+$",
+    r"EXAMPLE|example",
+)
+MASK = "[secret]"
+
+_EMPTY = "array<struct<start:int,kind:int,end:int,found:string>>"
+
+
+def _spans(text: Column, pattern: str, kind: int, found: Column) -> Column:
+    """Spans of the matches `found` of `pattern`, from the lengths of the matches and of what lies between."""
+    gaps = F.split(text, pattern, -1)
+    state = F.aggregate(
+        F.arrays_zip(found.alias("m"), gaps.alias("g")),
+        F.struct(F.lit(0).alias("at"), F.lit(None).cast(_EMPTY).alias("out")),
+        lambda a, x: F.struct(
+            (a["at"] + F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
+            F.concat(
+                F.coalesce(a["out"], F.array().cast(_EMPTY)),
+                F.when(
+                    x["m"].isNotNull(),
+                    F.array(
+                        F.struct(
+                            (a["at"] + F.length(x["g"])).alias("start"),
+                            F.lit(kind).alias("kind"),
+                            (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"),
+                            x["m"].alias("found"),
+                        )
+                    ),
+                ).otherwise(F.array().cast(_EMPTY)),
+            ).alias("out"),
+        ),
+    )
+    return F.coalesce(state["out"], F.array().cast(_EMPTY))
+
+
+def _highest_entropy(codes: Column) -> Column:
+    """Of all windows over the codes of a candidate, by incremental counts."""
+    clog = F.array(*[F.lit(c * log2(c) if c else 0.0) for c in range(WINDOW + 2)])
+    zero = F.array_repeat(F.lit(0), len(ALPHABET))
+    steps = F.sequence(F.lit(0), F.size(codes) - 1)
+
+    def slide(a: Column, i: Column) -> Column:
+        enters, leaves = F.get(codes, i), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(-1))
+        more, less = F.get(a["counts"], enters), F.get(a["counts"], leaves)
+        added = F.get(clog, more + 1) - F.get(clog, more)
+        taken = F.when((leaves >= 0) & (leaves != enters), F.get(clog, less) - F.get(clog, less - 1)).otherwise(F.lit(0.0))
+        added = F.when(leaves == enters, F.lit(0.0)).otherwise(added)
+        s = a["s"] + added - taken
+        counts = F.transform(a["counts"], lambda c, k: c + (k == enters).cast("int") - (k == leaves).cast("int"))
+        h = F.when(i >= WINDOW - 1, F.lit(log2(WINDOW)) - s / WINDOW).otherwise(F.lit(0.0))
+        return F.struct(counts.alias("counts"), s.alias("s"), F.greatest(a["best"], h).alias("best"))
+
+    start = F.struct(zero.alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    return F.round(F.aggregate(steps, start, slide, lambda a: a["best"]), 9)
+
+
+def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW, thresholds: tuple[float, float, float] = THRESHOLDS) -> DataFrame:
+    """doc_id with base and all: arrays of (start, kind, end, found), by start and kind; other columns stay."""
+    text = F.coalesce("text", F.lit(""))
+    none = F.array().cast(_EMPTY)
+    d = docs.withColumn("_t", text)
+    t = F.col("_t")
+    d = d.withColumns(
+        {
+            "_assign": F.when(t.rlike(ASSIGN), F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(0))),
+            "_value": F.when(t.rlike(ASSIGN), F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))),
+            "_access": F.when(t.rlike(ACCESS), F.regexp_extract_all(t, F.lit(ACCESS), F.lit(0))),
+            "_hex": F.when(t.rlike(HEX), F.regexp_extract_all(t, F.lit(HEX), F.lit(0))),
+            "_runs": F.when(t.rlike(CANDIDATE), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))),
+        }
+    )
+    found = {n: F.coalesce(F.when(F.col(c).isNotNull(), _spans(t, p, k, F.col(c))), none) for k, (n, c, p) in enumerate((("_s0", "_assign", ASSIGN), ("_s1", "_access", ACCESS), ("_s2", "_hex", HEX), ("_s3", "_runs", CANDIDATE)))}
+    d = d.withColumns(found)
+    value = F.col("_value")
+    base = F.concat(F.filter("_s0", lambda x, i: F.length(F.get(value, i)) >= ASSIGN_LEAST), F.col("_s1"), F.col("_s2"))
+    d = d.withColumn("base", F.sort_array(base))
+    b = F.col("base")
+
+    def wanted(x: Column) -> Column:
+        ok = x["found"].rlike("[A-Za-z]")
+        for pattern in allow:
+            ok &= ~x["found"].rlike(pattern)
+        return ok & ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+
+    d = d.withColumn("_c", F.filter("_s3", wanted))
+    chars = lambda x: F.filter(F.split(x["found"], ""), lambda c: c != "")
+    coded = lambda x: F.transform(chars(x), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    d = d.withColumn("_c", F.transform("_c", lambda x: F.struct(x.alias("x"), coded(x).alias("codes"))))
+    d = d.withColumn("_c", F.transform("_c", lambda x: F.struct(x["x"].alias("x"), _highest_entropy(x["codes"]).alias("h"))))
+
+    def secret(y: Column) -> Column:
+        least = (
+            F.when(y["x"]["found"].rlike("^[0-9a-fA-F]+$"), thresholds[0])
+            .when(y["x"]["found"].rlike("^[0-9a-zA-Z]+$"), thresholds[1])
+            .otherwise(thresholds[2])
+        )
+        return y["h"] >= least
+
+    more = F.transform(F.filter("_c", secret), lambda y: y["x"])
+    return d.withColumn("all", F.sort_array(F.concat(b, more))).drop(*[c for c in d.columns if c[0] == "_" and c not in docs.columns])
+
+
+def as_string(spans: Column) -> Column:
+    kind = lambda x: F.get(F.array(*[F.lit(k) for k in KINDS]), x["kind"])
+    return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["start"], x["end"])))
+
+
+def redact(docs: DataFrame, mask: str = MASK, **options) -> DataFrame:
+    """The same rows and columns, with every span in text replaced by `mask` (overlapping ones by one)."""
+    d = scan(docs, **options)
+    state = F.aggregate(
+        "all",
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda a, x: F.struct(
+            F.greatest(a["at"], x["end"]).alias("at"),
+            F.when(x["start"] < a["at"], a["out"])
+            .otherwise(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), F.lit(mask)))
+            .alias("out"),
+        ),
+    )
+    clean = F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.length("text")))
+    d = d.withColumn("text", F.when(F.size("all") > 0, clean).otherwise(F.col("text")))
+    return d.select(*docs.columns)
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return d.select(
+        "doc_id", count(0), count(1), count(2), F.sha2(as_string(F.col("base")), 256).alias("base_sha256"), as_string(F.col("all")).alias("spans")
+    )
+
+
+def _sql_spans(kind: int, pattern: str, condition: str = "true") -> str:
+    """All matches with their places; `condition` may use m (the match)."""
+    return f"""
+  SELECT doc_id, {kind} AS kind, m, s, s + length(m) AS e FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i:
+      list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))) AS s
+    FROM (SELECT doc_id, regexp_extract_all(text, $p${pattern}$p$) AS ms, string_split_regex(text, $p${pattern}$p$) AS gs FROM d)
+  ) WHERE {condition}"""
+
+
+_RUN = r"[A-Za-z0-9+/_=-]{20,}"
+_NOT_ALLOWED = " AND ".join(f"NOT regexp_matches(m, $p${p}$p$)" for p in ALLOW)
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({_sql_spans(0, ASSIGN, f"length(regexp_extract(m, $p${ASSIGN}$p$, 2)) >= {ASSIGN_LEAST}")}
+  UNION ALL {_sql_spans(1, ACCESS)} UNION ALL {_sql_spans(2, HEX)}),
+runs AS ({_sql_spans(3, _RUN, f"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND {_NOT_ALLOWED}")}),
+free AS (SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s < r.e AND r.s < b.e)),
+windows AS (SELECT doc_id, m, s, e, i, substr(m, i::INT, {WINDOW}) AS w FROM (SELECT *, unnest(generate_series(1, length(m) - {WINDOW - 1})) AS i FROM free)),
+chars AS (SELECT doc_id, m, s, e, i, c, count(*) AS n FROM (SELECT *, unnest(string_split(w, '')) AS c FROM windows) GROUP BY ALL),
+h AS (SELECT doc_id, m, s, e, i, {log2(WINDOW)!r} - sum(n * log2(n)) / {WINDOW} AS h FROM chars GROUP BY ALL),
+best AS (SELECT doc_id, m, s, e, round(max(h), 9) AS h FROM h GROUP BY ALL),
+secret AS (SELECT doc_id, 3 AS kind, m, s, e FROM best WHERE h >= CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN {THRESHOLDS[0]}
+  WHEN regexp_matches(m, '^[0-9a-zA-Z]+$') THEN {THRESHOLDS[1]} ELSE {THRESHOLDS[2]} END),
+named AS (SELECT *, (['assign', 'access', 'hex', 'entropy'])[kind + 1] || ':' || s::BIGINT || ':' || e::BIGINT AS t FROM (SELECT * FROM base UNION ALL SELECT * FROM secret)),
+one AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(t, ',' ORDER BY s, kind) FILTER (kind < 3) AS b, string_agg(t, ',' ORDER BY s, kind) AS spans FROM named GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN one USING (doc_id)
+"""
