@@ -2,8 +2,9 @@
 
 Documents that share a link key (by default: equal texts) are linked. Every document starts in a
 shard drawn from its id. Then, again and again, the members of a key count their shards (summed
-before the shuffle), and members outside the key's largest shard ask to move there; a shard takes
-only as many as its quota has room for. At the end an exact step makes the counts of all shards
+before the shuffle), and members outside the key's best shard ask to move there: the one with most
+members of those with room for the others; one more shard, drawn anew each round, is a candidate
+too. A shard takes only as many as its quota has room for. At the end an exact step makes the counts of all shards
 equal or one apart: full shards give up documents, unlinked ones first, and the others take them.
 
 Law: `rows`. A group of links that fits a shard's quota ends in one shard; a larger one is cut.
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import settle, table
 
-SHARDS, ROUNDS, SLACK = 24, 6, 0.1
+SHARDS, ROUNDS, SLACK = 24, 8, 0.25
 #: Rows of a shard that one bucket of its ranking may hold, on average.
 BUCKET_ROWS = 500_000
 
@@ -62,20 +63,31 @@ def balanced_label_propagation(
     total = sum(counts)
     buckets = max(16, total // (shards * BUCKET_ROWS))
     quota = int(total / shards * (1 + slack)) + 1
-    for _ in range(rounds):
+    for turn in range(rounds):
+        room = [max(0, quota - c) for c in counts]
         votes = d.where("linked").groupBy("key", "shard").count()
-        best = votes.groupBy("key").agg(F.max_by("shard", F.struct("count", -F.col("shard"))).alias("target"))
+        drawn = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(shards)).cast("int").alias("shard")
+        votes = votes.unionByName(votes.groupBy("key").agg(F.lit(0).cast("long").alias("count")).select("key", drawn, "count"))
+        everyone = votes.groupBy("key").agg(F.sum("count").alias("all"), F.collect_list(F.struct("shard", "count")).alias("v"))
+        rated = F.transform(
+            "v",
+            lambda x: F.struct(
+                (F.col("all") - x["count"] <= _lookup(room, x["shard"])).alias("fits"),
+                x["count"].alias("count"),
+                F.xxhash64("key", x["shard"]).alias("tie"),
+                x["shard"].alias("shard"),
+            ),
+        )
+        best = everyone.select("key", F.array_max(rated)["shard"].alias("target"))
         wish = d.join(settle(best, "votes"), "key", "left").withColumn("moving", F.coalesce(F.col("target") != F.col("shard"), F.lit(False)))
         wish = settle(wish, "wishes")
-        room = [max(0, quota - c) for c in counts]
+        if not wish.where("moving").limit(1).count():
+            break
         movers = _ranked(wish.where("moving"), "target", F.lit(0), buckets)
         taken = F.when(F.col("rank") < _lookup(room, F.col("target")), F.col("target")).otherwise(F.col("shard"))
-        moved = movers.withColumn("moved", taken != F.col("shard")).withColumn("shard", taken.cast("int"))
+        moved = movers.withColumn("shard", taken.cast("int"))
         d = settle(wish.where("NOT moving").select(*d.columns).unionByName(moved.select(*d.columns)), "labels")
-        new = _counts(d, "shard", shards)
-        if new == counts and not moved.where("moved").limit(1).count():
-            break
-        counts = new
+        counts = _counts(d, "shard", shards)
     # Exact quotas: the fullest shards get the rows that are left over.
     order = sorted(range(shards), key=lambda s: (-counts[s], s))
     goal = [total // shards] * shards
