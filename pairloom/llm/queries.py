@@ -9,6 +9,7 @@ MODULES = {
     "op3_mix_sources": "mixing",
     "op5_label_propagation_shards": "sharding",
     "op7_secret_scans": "secret_scans",
+    "op8_bpe_automaton": "bpe_automaton",
 }
 
 
