@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = {
     "op1_quality_rules": "quality_rules",
+    "op2_token_counts": "token_counts",
     "op3_mix_sources": "mixing",
     "op5_label_propagation_shards": "sharding",
     "op7_secret_scans": "secret_scans",
