@@ -11,6 +11,7 @@ MODULES = {
     "op5_label_propagation_shards": "sharding",
     "op7_secret_scans": "secret_scans",
     "op8_bpe_automaton": "bpe_automaton",
+    "op10_substring_dedup": "substring_dedup",
 }
 
 
