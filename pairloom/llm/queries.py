@@ -8,6 +8,7 @@ MODULES = {
     "op1_quality_rules": "quality_rules",
     "op2_token_counts": "token_counts",
     "op3_mix_sources": "mixing",
+    "op4_topk_threshold": "topk_search",
     "op5_label_propagation_shards": "sharding",
     "op7_secret_scans": "secret_scans",
     "op8_bpe_automaton": "bpe_automaton",
