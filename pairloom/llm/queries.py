@@ -10,6 +10,7 @@ MODULES = {
     "op3_mix_sources": "mixing",
     "op4_topk_threshold": "topk_search",
     "op5_label_propagation_shards": "sharding",
+    "op6_quality_crf": "quality_crf",
     "op7_secret_scans": "secret_scans",
     "op8_bpe_automaton": "bpe_automaton",
     "op10_substring_dedup": "substring_dedup",
