@@ -13,6 +13,7 @@ MODULES = {
     "op6_quality_crf": "quality_crf",
     "op7_secret_scans": "secret_scans",
     "op8_bpe_automaton": "bpe_automaton",
+    "op9_ngram_jaccard": "ngram_jaccard",
     "op10_substring_dedup": "substring_dedup",
 }
 
