@@ -205,8 +205,8 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit integers) and decoded."""
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = True) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit integers) and decoded, if asked for."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,12 +215,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 done = [e.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x[0] for x in done], pa.binary()), pa.array([x[1] for x in done], pa.string())], ["doc_id", "ids", "decoded"]
-                )
+                columns = [part.column(0), pa.array([x[0] for x in done], pa.binary())]
+                if decoded:
+                    columns.append(pa.array([x[1] for x in done], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary" + ", decoded string" * decoded)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -352,5 +352,11 @@ def jaccard_components(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """The rows of docs with the smallest doc_id of their component, with all columns."""
+    others = jaccard_components(docs, heavy).where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
+    return docs.join(settle(others, "others"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

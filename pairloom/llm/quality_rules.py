@@ -130,6 +130,12 @@ def quality_rules(
     return d.withColumn("depleted", depleted).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
+def keep_good(docs: DataFrame, **options: float) -> DataFrame:
+    """The rows of docs whose doc_id the rules don't reject, with all columns."""
+    rejected = settle(quality_rules(docs, **options).where(~F.col("kept")).select("doc_id").distinct(), "rejected")
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
