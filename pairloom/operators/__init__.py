@@ -1 +1 @@
-"""."""
+"""Operators on molecules, pair graphs, edge channels, datasets, networks and metrics; DataFrames in and out."""

@@ -1 +1 @@
-"""."""
+"""Readers and writers: pair tables, molecule blocks, lookups, datasets."""
