@@ -16,9 +16,11 @@ Two documents link when the Jaccard similarity of their sets is 0.8 or more, exa
    sets of those left are joined to their centre, in parts of bounded size, as a prefix tree: partners
    in global order, one walk that shares the overlaps of common beginnings, and leaves a subtree
    when the shingles that remain cannot bring the overlap that is needed.
-5. Round two takes the groups whose members are in different components after round one, and checks
-   all pairs between components in the same way. Large groups are cut into blocks that meet in
-   separate tasks. So no link between components is lost, and copies of one text never make pairs.
+5. Round two takes the groups of three sets or more whose members are in different components after
+   round one, and makes all pairs between components that sizes allow: of small groups directly, of
+   groups over `HOT` sets in blocks, where a pair counts only with the first frequent group that it shares,
+   and has to pass the sketches at once. Large groups are cut into blocks that meet in separate
+   tasks. So no link between components is lost, and copies of one text never make pairs.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing. A text of one to four
 words has one shingle, all its words. Repeated rows are copies. Rows that share a doc_id but not
@@ -41,8 +43,10 @@ from .components import components
 
 N_WORDS, NUM, DEN = 5, 4, 5  # shingle length; the similarity 4/5
 HEAVY = 64
-#: Rows of a block in round two, partners of a part in the check, entries of a bucket.
-BLOCK, PARTNERS, BUCKET = 2048, 256, 500_000
+#: Sets of a group that is worked in blocks, rows of a block, partners of a part in the check, entries of a bucket.
+HOT, BLOCK, PARTNERS, BUCKET = 64, 2048, 256, 500_000
+#: Documents that a task holds at once while it makes shingles.
+SLICE = 2048
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _hash = xxhash.xxh3_64_intdigest
 
@@ -74,9 +78,9 @@ def needed(n: int, m: int) -> int:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parity bits: bit i tells whether an odd number of tokens falls on i. About one bit a token."""
+    """Parity bits: bit i tells whether an odd number of tokens falls on i. Four to eight bits a token."""
     width = 64
-    while width < len(tokens) and width < 1 << 16:
+    while width < 4 * len(tokens) and width < 1 << 18:
         width *= 2
     return np.packbits((np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -128,11 +132,17 @@ def trie_links(probe: np.ndarray, partners: list[np.ndarray]) -> list[bool]:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One pass: documents (doc_id, n, s1, s2, sketch) and locally repeated shingles (token, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, rows, new, seen = batch.column(0).to_pylist(), [], [], set()
             for text in batch.column(1):
                 t = shingles(text.as_py())
@@ -164,7 +174,7 @@ def _buckets(docs: DataFrame, heavy: np.ndarray, n_buckets: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             tokens, docs_of, sizes, frequent = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = shingles(text.as_py())
@@ -229,7 +239,7 @@ def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     s = sketches.select("doc_id", "sketch", "n")
     both = pairs.join(s, "doc_id").join(s.select(F.col("doc_id").alias("center"), F.col("sketch").alias("c_sketch"), F.col("n").alias("c_n")), "center")
-    return both.select("center", "doc_id", "sketch", "n", "c_sketch", "c_n").mapInArrow(run, "center long, doc_id long")
+    return both.select("center", "doc_id", "sketch", "n", "c_sketch", "c_n").mapInArrow(run, "center long, doc_id long").distinct()
 
 
 def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -274,53 +284,92 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.repartition("center", "part").sortWithinPartitions("center", "part", F.desc("probe")).mapInArrow(walk, "a long, b long")
 
 
-def _between_components(groups: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (center, doc_id) that share a group but no component, and that sizes and sketches allow."""
+def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with the same first `n_keys` columns, without these."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if now != row[:n_keys]:
+                if held:
+                    yield now, held
+                now, held = row[:n_keys], []
+            held.append(row[n_keys:])
+    if held:
+        yield now, held
+
+
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["center", "doc_id"])
+
+
+def _small_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, doc_id, n, component, sorted by token: pairs between components that sizes allow."""
+    seen: set[tuple[int, int]] = set()
+    found: list[tuple[int, int]] = []
+    for _, rows in _grouped(batches, 1):
+        doc, n, comp = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
+        i, j = np.triu_indices(len(rows), 1)
+        ok = (comp[i] != comp[j]) & (doc[i] != doc[j]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        for pair in zip(np.minimum(doc[i], doc[j]).tolist(), np.maximum(doc[i], doc[j]).tolist(), strict=True):
+            if pair not in seen:
+                found.append(pair)
+                seen.add(pair)
+        if len(seen) > 500_000:
+            seen.clear()  # only saves work: duplicates go later anyway
+        if len(found) > 10_000:
+            yield _pair_batch(found)
+            found = []
+    yield _pair_batch(found)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, i, j, own, doc_id, n, component, sketch, tokens, sorted by the first three: two blocks of a large group.
+
+    A pair counts if the token is the first that both documents' `tokens` have.
+    """
+    for (token, i, j), rows in _grouped(batches, 3):
+        own, doc, n, comp = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+        places: dict[int, int] = {}
+        cells = [(r, places.setdefault(t, len(places))) for r, row in enumerate(rows) for t in row[5] if t < token]
+        earlier = np.zeros((len(rows), max(1, len(places))), dtype=np.float32)
+        if cells:
+            earlier[tuple(np.array(cells).T)] = 1
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found: list[tuple[int, int]] = []
+        for part in np.array_split(left, len(left) // 256 + 1):
+            shared = earlier[part] @ earlier[right].T > 0
+            for x, met in zip(part.tolist(), shared, strict=True):
+                y = right[~met & (comp[right] != comp[x]) & (doc[right] != doc[x])]
+                y = y[y > x] if i == j else y
+                y = y[DEN * np.minimum(n[y], n[x]) >= NUM * np.maximum(n[y], n[x])]
+                if len(y):
+                    ok = may_link([rows[x][4]] * len(y), np.full(len(y), n[x]), [rows[k][4] for k in y.tolist()], n[y])
+                    found += [(min(int(doc[x]), d), max(int(doc[x]), d)) for d in doc[y[ok]].tolist()]
+        yield _pair_batch(found)
+
+
+def _between_components(groups: DataFrame, labels: DataFrame, sketches: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs (center, doc_id) that share a group but no component, and that sizes and sketches allow; without those tested."""
     g = groups.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    g = settle(g.select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "labelled")
-    open_ = g.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-    open_ = open_.where("lo < hi").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    m = g.join(settle(open_, "open"), "token").join(sketches.select("doc_id", "sketch"), "doc_id")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    m = m.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "component", "sketch")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-
-        def done() -> pa.RecordBatch:
-            _, i, j = now
-            own, doc, n, comp = (np.array([r[k] for r in held], dtype=np.int64) for k in (0, 1, 2, 3))
-            found: list[tuple[int, int]] = []
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            for x in left.tolist():
-                y = right if i != j else right[right > x]
-                y = y[(comp[y] != comp[x]) & (DEN * np.minimum(n[y], n[x]) >= NUM * np.maximum(n[y], n[x]))]
-                if i == j or len(y):
-                    y = y[doc[y] != doc[x]]
-                if not len(y):
-                    continue
-                ok = may_link([held[x][4]] * len(y), np.full(len(y), n[x]), [held[k][4] for k in y.tolist()], n[y])
-                for k in y[ok].tolist():
-                    pair = (int(min(doc[x], doc[k])), int(max(doc[x], doc[k])))
-                    if pair not in seen:
-                        found.append(pair)
-                        seen.add(pair) if len(seen) < 500_000 else seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["center", "doc_id"])
-
-        now, held = None, []
-        for batch in batches:
-            for row in zip(*[batch.column(k).to_pylist() for k in range(8)], strict=True):
-                if now != row[:3]:
-                    if held:
-                        yield done()
-                    now, held = row[:3], []
-                held.append(row[3:])
-        if held:
-            yield done()
-
-    dealt = m.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(run, "center long, doc_id long").distinct()
+    g = g.select("token", "doc_id", "n", "center", F.coalesce("component", "doc_id").alias("component"))
+    sides = [f(c).alias(f"{n}_{c}") for c in ("component", "center") for n, f in (("lo", F.min), ("hi", F.max))]
+    sizes = g.groupBy("token").agg(*sides, F.count(F.lit(1)).alias("size"))
+    # Two sets with one centre have met in round one.
+    sizes = settle(sizes.where("lo_component < hi_component AND (size > 2 OR lo_center < hi_center)").select("token", "size"), "open")
+    rows = settle(g.drop("center").join(sizes, "token"), "open-rows")
+    small = rows.where(F.col("size") <= HOT).select("token", "doc_id", "n", "component").repartition("token").sortWithinPartitions("token")
+    pairs = small.mapInArrow(_small_groups, "center long, doc_id long").distinct().join(tested, ["center", "doc_id"], "left_anti")
+    near = _sketched(pairs, sketches)
+
+    large = rows.where(F.col("size") > HOT)
+    lists = large.groupBy("doc_id").agg(F.collect_set("token").alias("tokens"))  # no longer than a document's prefix
+    d = large.join(lists.join(sketches.select("doc_id", "sketch"), "doc_id"), "doc_id")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    d = d.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    d = d.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "component", "sketch", "tokens")
+    met = d.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_blocks, "center long, doc_id long")
+    return near.unionByName(met.join(tested, ["center", "doc_id"], "left_anti")).distinct()
 
 
 def jaccard_components(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
@@ -340,12 +389,9 @@ def jaccard_components(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     first = docs.select(F.col("doc_id").cast("long"), "text").join(copies, "doc_id", "left_anti")
     groups = settle(_buckets(first, frequent, n_buckets), "groups")
     sketches = rows.where("n > 0").select("doc_id", "n", "sketch").join(copies, "doc_id", "left_anti")
-    sketches = settle(sketches.dropDuplicates(["doc_id"]), "sketches")
-    stars = groups.where("doc_id <> center").select("center", "doc_id").distinct()
-    near = settle(_sketched(stars, sketches), "pairs")
-    links = settle(_linked(near, docs), "links")
-    labels = components(links)
-    between = settle(_between_components(groups, labels, sketches).join(near, ["center", "doc_id"], "left_anti"), "pairs")
+    stars = settle(groups.where("doc_id <> center").select("center", "doc_id").distinct(), "stars")
+    links = settle(_linked(settle(_sketched(stars, sketches), "pairs"), docs), "links")
+    between = settle(_between_components(groups, components(links), sketches, stars), "pairs")
     more = settle(_linked(between, docs), "links")
     labels = settle(components(links.unionByName(more)), "components")
     out = members.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
