@@ -11,7 +11,8 @@ Two documents link when the Jaccard similarity of their sets is 0.8 or more, exa
    links; this one keeps passages that many documents share from making large groups.
 3. Linked sets share a shingle among their first n - ceil(0.8 n) + 1. These are dealt to buckets by
    hash; a bucket's task sorts them and returns those of two sets or more.
-4. Round one pairs each set of such a group with the group's smallest id only. Pairs are checked by
+4. Round one pairs each set of such a group with the group's smallest id only, and in groups of frequent
+   shingles also with the set that is in most of these groups. Pairs are checked by
    size and by parity sketches (the sketches' difference is never more than the sets'). The
    sets of those left are joined to their centre, in parts of bounded size, as a prefix tree: partners
    in global order, one walk that shares the overlaps of common beginnings, and leaves a subtree
@@ -168,7 +169,10 @@ def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _buckets(docs: DataFrame, heavy: np.ndarray, n_buckets: int) -> DataFrame:
-    """token, doc_id, n, center of the prefix shingles that two sets or more have (frequent ones: always)."""
+    """token, doc_id, n, center, center_n of the prefix shingles that two sets or more have.
+
+    Of frequent ones all, whose rows never meet here; they have no center.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
     names = ["bucket", "token", "doc", "n"]
 
@@ -208,8 +212,10 @@ def _buckets(docs: DataFrame, heavy: np.ndarray, n_buckets: int) -> DataFrame:
         t, d, n = t[order], d[order], n[order]
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, dtype=np.int64)
         length = np.diff(np.r_[starts, len(t)])
-        center, keep = np.repeat(d[starts], length), np.repeat(length, length) >= (1 if frequent else 2)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (t.view(np.int64), d, n, center)], ["token", "doc_id", "n", "center"])
+        keep = np.repeat(length, length) >= (1 if frequent else 2)
+        own = [pa.array(x[keep]) for x in (t.view(np.int64), d, n)]
+        center = [pa.nulls(len(own[0]), k) if frequent else pa.array(np.repeat(x[starts], length)[keep]) for x, k in ((d, pa.int64()), (n, pa.int32()))]
+        return pa.RecordBatch.from_arrays([*own, *center], ["token", "doc_id", "n", "center", "center_n"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -225,7 +231,19 @@ def _buckets(docs: DataFrame, heavy: np.ndarray, n_buckets: int) -> DataFrame:
             yield rows(*join(), now < 0)
 
     dealt = docs.select("doc_id", "text").mapInArrow(deal, "bucket long, token binary, doc binary, n binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "token long, doc_id long, n int, center long")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "token long, doc_id long, n int, center long, center_n int")
+
+
+def _stars(groups: DataFrame) -> DataFrame:
+    """The pairs (center, doc_id) of round one, those that sizes allow."""
+    fits = lambda n, m: DEN * F.least(n, m) >= NUM * F.greatest(n, m)
+    rare = groups.where("doc_id <> center").where(fits("n", "center_n")).select("center", "doc_id")
+    often = groups.where("center IS NULL").select("token", "doc_id", "n")
+    held = often.groupBy("doc_id").agg(F.count(F.lit(1)).alias("held"))
+    rank = F.struct("held", (-F.col("doc_id")).alias("last"))  # of equals the smallest id
+    sides = often.join(held, "doc_id").groupBy("token").agg(F.min("doc_id").alias("lo"), F.max(rank).alias("top"))
+    centers = settle(sides.select("token", F.explode(F.array_distinct(F.array("lo", -F.col("top.last")))).alias("center")), "centers")
+    return rare.unionByName(often.join(centers, "token").where("doc_id <> center").select("center", "doc_id")).distinct()
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -237,7 +255,8 @@ def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             ok = may_link(a.to_pylist(), n.to_numpy(), b.to_pylist(), m.to_numpy())
             yield batch.select([0, 1]).filter(pa.array(ok))
 
-    s = sketches.select("doc_id", "sketch", "n")
+    wanted = settle(pairs.select("doc_id").union(pairs.select("center")).distinct(), "wanted")
+    s = settle(sketches.select("doc_id", "sketch", "n").join(wanted, "doc_id", "left_semi"), "wanted-sketches")
     both = pairs.join(s, "doc_id").join(s.select(F.col("doc_id").alias("center"), F.col("sketch").alias("c_sketch"), F.col("n").alias("c_n")), "center")
     return both.select("center", "doc_id", "sketch", "n", "c_sketch", "c_n").mapInArrow(run, "center long, doc_id long").distinct()
 
@@ -352,15 +371,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _between_components(groups: DataFrame, labels: DataFrame, sketches: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs (center, doc_id) that share a group but no component, and that sizes and sketches allow; without those tested."""
     g = groups.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    g = g.select("token", "doc_id", "n", "center", F.coalesce("component", "doc_id").alias("component"))
-    sides = [f(c).alias(f"{n}_{c}") for c in ("component", "center") for n, f in (("lo", F.min), ("hi", F.max))]
-    sizes = g.groupBy("token").agg(*sides, F.count(F.lit(1)).alias("size"))
-    # Two sets with one centre have met in round one.
-    sizes = settle(sizes.where("lo_component < hi_component AND (size > 2 OR lo_center < hi_center)").select("token", "size"), "open")
-    rows = settle(g.drop("center").join(sizes, "token"), "open-rows")
+    g = g.select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    sizes = g.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
+    sizes = settle(sizes.where("lo < hi AND size > 2").select("token", "size"), "open")  # two sets alone have met in round one
+    rows = settle(g.join(sizes, "token"), "open-rows")
     small = rows.where(F.col("size") <= HOT).select("token", "doc_id", "n", "component").repartition("token").sortWithinPartitions("token")
     pairs = small.mapInArrow(_small_groups, "center long, doc_id long").distinct().join(tested, ["center", "doc_id"], "left_anti")
-    near = _sketched(pairs, sketches)
+    near = _sketched(settle(pairs, "small-pairs"), sketches)
 
     large = rows.where(F.col("size") > HOT)
     lists = large.groupBy("doc_id").agg(F.collect_set("token").alias("tokens"))  # no longer than a document's prefix
@@ -389,7 +406,7 @@ def jaccard_components(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     first = docs.select(F.col("doc_id").cast("long"), "text").join(copies, "doc_id", "left_anti")
     groups = settle(_buckets(first, frequent, n_buckets), "groups")
     sketches = rows.where("n > 0").select("doc_id", "n", "sketch").join(copies, "doc_id", "left_anti")
-    stars = settle(groups.where("doc_id <> center").select("center", "doc_id").distinct(), "stars")
+    stars = settle(_stars(groups), "stars")
     links = settle(_linked(settle(_sketched(stars, sketches), "pairs"), docs), "links")
     between = settle(_between_components(groups, components(links), sketches, stars), "pairs")
     more = settle(_linked(between, docs), "links")
