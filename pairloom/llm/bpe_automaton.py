@@ -39,10 +39,11 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small_batches, table
 
-#: Words whose encodings a Python worker keeps at most.
-CACHED_WORDS = 400_000
+#: Words whose encodings, and arcs whose presence, a Python worker keeps at most: some 100 MB.
+CACHED_WORDS = 100_000
+CACHED_ARCS = 300_000
 NEVER = 1 << 40
 
 
@@ -110,7 +111,7 @@ class Automaton:
         key = t * self.n + x
         found = self.table.get(key)
         if found is None:
-            if len(self.table) > 4_000_000:
+            if len(self.table) >= CACHED_ARCS:
                 self.table.clear()
             found = self.table[key] = self.allowed(t, x)
         return found
@@ -147,6 +148,7 @@ class Encoder:
         self.plain = self._as_built()
         self.cut_special = re.compile("|".join(map(re.escape, sorted(self.automaton.special, key=len, reverse=True))) or r"(?!)")
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}  # the words before; those met again move up
         self.path, self.library = path, None
 
     def _as_built(self) -> bool:
@@ -167,15 +169,20 @@ class Encoder:
         return ["\0" + p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def _word(self, word: str) -> tuple[bytes, str]:
+        found = self.older.get(word)
+        if found is not None:
+            return self._keep(word, found)
         a = self.automaton
         if word[0] == "\0" and len(word) > 1:
             symbols = word[1:]
         else:
             symbols = "".join([a.symbols[b] for b in word.encode()])
         ids = a.encode_word(symbols)
+        return self._keep(word, (array("I", ids).tobytes(), " ".join([a.labels[i] for i in ids])))
+
+    def _keep(self, word: str, found: tuple[bytes, str]) -> tuple[bytes, str]:
         if len(self.cache) >= CACHED_WORDS:
-            self.cache.clear()
-        found = (array("I", ids).tobytes(), " ".join([a.labels[i] for i in ids]))
+            self.older, self.cache = self.cache, {}
         if len(word) < 200:
             self.cache[word] = found
         return found
@@ -208,6 +215,7 @@ def default_path() -> str:
 def encode(docs: DataFrame, path: str | None = None, decoded: bool = True) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers) and decoded, if asked for."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -227,6 +235,7 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = True) -> Da
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256, hashed where the texts are encoded."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)

@@ -13,7 +13,19 @@ GAP = r"[\x20\x09-\x0D]+"
 IN_WORD = r"[^\x20\x09-\x0D]"
 
 
+#: Rows of an Arrow batch: whole texts, so fewer than Spark's default.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory that a batch of whole texts takes, on both sides of the pipe to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +45,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     real size of the files.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
