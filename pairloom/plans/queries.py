@@ -412,7 +412,7 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = assembly.batches(table(spark, sf_dir, "orders").select("o_orderkey"), 64, key="o_orderkey", drop_last=True)
+    d = assembly.batches(table(spark, sf_dir, "orders").select("o_orderkey"), 64, key="o_orderkey", drop_last=True, parts=8)
     return d.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
 
 
