@@ -51,6 +51,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast at most (some 16 MB); more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """rows with (how: left_semi) or without (left_anti) the doc_ids of a settled table of ids.
+
+    Texts stay where they are as long as the ids are few enough to be broadcast, which their count tells.
+    """
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, "doc_id", how)
+
+
 def words_of(text: Column) -> Column:
     """Words of a text without nulls, as an array."""
     return F.array_remove(F.split(text, GAP, -1), "")

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import by_ids, settle, table
 from .components import components
 
 N_WORDS, NUM, DEN = 5, 4, 5  # shingle length; the similarity 4/5
@@ -256,7 +256,7 @@ def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(ok))
 
     wanted = settle(pairs.select("doc_id").union(pairs.select("center")).distinct(), "wanted")
-    s = settle(sketches.select("doc_id", "sketch", "n").join(wanted, "doc_id", "left_semi"), "wanted-sketches")
+    s = settle(by_ids(sketches.select("doc_id", "sketch", "n"), wanted, "left_semi"), "wanted-sketches")
     both = pairs.join(s, "doc_id").join(s.select(F.col("doc_id").alias("center"), F.col("sketch").alias("c_sketch"), F.col("n").alias("c_n")), "center")
     return both.select("center", "doc_id", "sketch", "n", "c_sketch", "c_n").mapInArrow(run, "center long, doc_id long").distinct()
 
@@ -271,7 +271,7 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 part = batch.slice(k, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x.as_py()).tobytes() for x in part.column(1)], pa.binary())], ["doc_id", "tokens"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
+    texts = by_ids(docs.select(F.col("doc_id").cast("long"), "text"), wanted, "left_semi")
     sets = settle(texts.mapInArrow(read, "doc_id long, tokens binary").dropDuplicates(["doc_id"]), "wanted-sets")
     parts = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
     parts = settle(parts, "parts")
@@ -323,23 +323,26 @@ def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _small_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """token, doc_id, n, component, sorted by token: pairs between components that sizes allow."""
-    seen: set[tuple[int, int]] = set()
-    found: list[tuple[int, int]] = []
+    found: list[np.ndarray] = []
+    size = 0
+
+    def drained() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found or [np.zeros((0, 2), dtype=np.int64)]), axis=0)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["center", "doc_id"])
+
     for _, rows in _grouped(batches, 1):
         doc, n, comp = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
         i, j = np.triu_indices(len(rows), 1)
         ok = (comp[i] != comp[j]) & (doc[i] != doc[j]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
         i, j = i[ok], j[ok]
-        for pair in zip(np.minimum(doc[i], doc[j]).tolist(), np.maximum(doc[i], doc[j]).tolist(), strict=True):
-            if pair not in seen:
-                found.append(pair)
-                seen.add(pair)
-        if len(seen) > 500_000:
-            seen.clear()  # only saves work: duplicates go later anyway
-        if len(found) > 10_000:
-            yield _pair_batch(found)
-            found = []
-    yield _pair_batch(found)
+        if len(i):
+            found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], axis=1))
+            size += len(i)
+        if size >= 300_000:
+            yield drained()
+            size = 0
+    yield drained()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,9 +406,9 @@ def jaccard_components(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     while n_buckets * BUCKET < total // 4:
         n_buckets *= 2
     copies = settle(members.where("class_id IS NULL OR doc_id <> class_id").select("doc_id").distinct(), "copies")
-    first = docs.select(F.col("doc_id").cast("long"), "text").join(copies, "doc_id", "left_anti")
+    first = by_ids(docs.select(F.col("doc_id").cast("long"), "text"), copies, "left_anti")
     groups = settle(_buckets(first, frequent, n_buckets), "groups")
-    sketches = rows.where("n > 0").select("doc_id", "n", "sketch").join(copies, "doc_id", "left_anti")
+    sketches = by_ids(rows.where("n > 0").select("doc_id", "n", "sketch"), copies, "left_anti")
     stars = settle(_stars(groups), "stars")
     links = settle(_linked(settle(_sketched(stars, sketches), "pairs"), docs), "links")
     between = settle(_between_components(groups, components(links), sketches, stars), "pairs")
@@ -418,7 +421,7 @@ def jaccard_components(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
 def keep_one(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """The rows of docs with the smallest doc_id of their component, with all columns."""
     others = jaccard_components(docs, heavy).where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
-    return docs.join(settle(others, "others"), "doc_id", "left_anti").select(*docs.columns)
+    return by_ids(docs, settle(others, "others"), "left_anti").select(*docs.columns)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

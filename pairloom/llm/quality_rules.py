@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, IN_WORD, settle, table, words_of
+from .common import GAP, IN_WORD, by_ids, settle, table, words_of
 
 MIN_WORDS, REPEAT_PCT = 50, 50
 MIN_DOCS, SHARE, DEPLETED_PCT = 50, 0.01, 50
@@ -133,7 +133,7 @@ def quality_rules(
 def keep_good(docs: DataFrame, **options: float) -> DataFrame:
     """The rows of docs whose doc_id the rules don't reject, with all columns."""
     rejected = settle(quality_rules(docs, **options).where(~F.col("kept")).select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return by_ids(docs, rejected, "left_anti").select(*docs.columns)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
