@@ -200,6 +200,12 @@ class Encoder:
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
 
+    def rest(self) -> None:
+        """Between tasks an idle worker keeps the newer words only."""
+        self.older = {}
+        self.automaton.table.clear()
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One for each Python worker and file."""
@@ -227,6 +233,7 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = True) -> Da
                 if decoded:
                     columns.append(pa.array([x[1] for x in done], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+        e.rest()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary" + ", decoded string" * decoded)
@@ -251,6 +258,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                     [part.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        e.rest()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
