@@ -32,7 +32,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 #: Least entropy in bits: of hexadecimal, alphanumeric and other candidates.
 THRESHOLDS = (3.0, 3.6, 3.8)
 #: Candidates that match one of these are no secrets: UUIDs, numbers with separators, documented examples.
@@ -94,11 +94,12 @@ def _highest_entropy(codes: Column) -> Column:
     return F.round(F.aggregate(steps, start, slide, lambda a: a["best"]), 9)
 
 
-def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW, thresholds: tuple[float, float, float] = THRESHOLDS) -> DataFrame:
-    """doc_id with base and all: arrays of (start, kind, end, found), by start and kind; other columns stay."""
-    text = F.coalesce("text", F.lit(""))
+def scan(
+    docs: DataFrame, allow: tuple[str, ...] = ALLOW, thresholds: tuple[float, float, float] = THRESHOLDS, keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """The columns `keep`, and base and all: arrays of (start, kind, end, found), by start and kind."""
     none = F.array().cast(_EMPTY)
-    d = docs.withColumn("_t", text)
+    d = docs.select(F.struct(*keep).alias("_kept"), F.coalesce("text", F.lit("")).alias("_t"))
     t = F.col("_t")
     d = d.withColumns(
         {
@@ -137,7 +138,7 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW, thresholds: tuple[floa
         return y["h"] >= least
 
     more = F.transform(F.filter("_c", secret), lambda y: y["x"])
-    return d.withColumn("all", F.sort_array(F.concat(b, more))).drop(*[c for c in d.columns if c[0] == "_" and c not in docs.columns])
+    return d.select("_kept.*", "base", F.sort_array(F.concat(b, more)).alias("all"))
 
 
 def as_string(spans: Column) -> Column:
@@ -147,20 +148,20 @@ def as_string(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mask: str = MASK, **options) -> DataFrame:
     """The same rows and columns, with every span in text replaced by `mask` (overlapping ones by one)."""
-    d = scan(docs, **options)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # whatever other columns are called
+    d = scan(rows, keep=("row",), **options)
+    text = F.col("row.text")
     state = F.aggregate(
         "all",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, x: F.struct(
             F.greatest(a["at"], x["end"]).alias("at"),
-            F.when(x["start"] < a["at"], a["out"])
-            .otherwise(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), F.lit(mask)))
-            .alias("out"),
+            F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).alias("out"),
         ),
     )
-    clean = F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.length("text")))
-    d = d.withColumn("text", F.when(F.size("all") > 0, clean).otherwise(F.col("text")))
-    return d.select(*docs.columns)
+    clean = F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
+    new = F.when(F.size("all") > 0, clean).otherwise(text).alias("text")
+    return d.select(*[new if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

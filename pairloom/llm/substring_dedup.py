@@ -106,16 +106,19 @@ def repeated_passages(docs: DataFrame, min_unit_words: int = MIN_UNIT_WORDS, min
 
 
 def remove(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows and columns of docs, text without its repeated passages, and removed: their original (start, end)."""
-    spans = repeated_passages(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    d = docs.join(spans, "doc_id", "left")
+    """The rows and columns of docs, text without its repeated passages, and removed_spans: their original (start, end)."""
+    spans = repeated_passages(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    d = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(spans, "doc_id", "left")
+    text = F.col("row.text")
     state = F.aggregate(
-        "removed",
+        "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"])).alias("out")),
+        lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"])).alias("out")),
     )
-    rest = F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.length("text")))
-    return d.withColumn("text", F.when(F.col("removed").isNotNull(), rest).otherwise(F.col("text"))).select(*docs.columns, "removed")
+    rest = F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
+    new = F.when(F.col("spans").isNotNull(), rest).otherwise(text).alias("text")
+    columns = [new if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != "removed_spans"]
+    return d.select(*columns, F.col("spans").alias("removed_spans"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

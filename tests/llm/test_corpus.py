@@ -1,0 +1,62 @@
+"""The registered corpus queries with SQL against DuckDB, and the pipeline against its stages done plainly."""
+
+from __future__ import annotations
+
+import glob
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pairloom.llm import queries
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = duckdb.connect()
+    for f in glob.glob(f"{sf_dir}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, sf_dir, duck, name):
+    d, expected = queries.queries()[name](spark, sf_dir), duck.sql(queries.oracle_sql()[name])
+    columns = sorted(d.columns)
+    assert columns == sorted(expected.columns)
+    places = [expected.columns.index(c) for c in columns]
+    assert sorted((tuple(r[c] for c in columns) for r in d.collect()), key=repr) == sorted((tuple(r[i] for i in places) for r in expected.fetchall()), key=repr)
+
+
+def test_names():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_pipeline(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    from pairloom.llm import bpe_automaton, mixing, ngram_jaccard, quality_rules, secret_scans
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id for r in quality_rules.quality_rules(docs).where("kept").collect()}
+    d = docs.where(F.col("doc_id").isin(list(good)))
+    one = {r.doc_id for r in ngram_jaccard.jaccard_components(d).where("doc_id = component_id").collect()}
+    clean = {r.doc_id: r.text for r in secret_scans.redact(d.where(F.col("doc_id").isin(list(one)))).collect()}
+    assert all(len(spans) == 0 or clean[i] != texts[i] for i, spans in ((r.doc_id, r["all"]) for r in secret_scans.scan(docs).collect()) if i in clean)
+    masked = secret_scans.redact(d.where(F.col("doc_id").isin(list(one))))
+    kept = {r.doc_id for r in mixing.mix(masked).where("kept").collect()}
+    library = Tokenizer.from_file(bpe_automaton.default_path())
+    got = {r.doc_id: bytes(r.ids) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert got.keys() == kept
+    for i, ids in got.items():
+        assert list(memoryview(ids).cast("I")) == library.encode(clean[i], add_special_tokens=False).ids
+
+
+def test_stages_keep_the_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf_dir).columns == docs.columns
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and corpus_pipeline.ORACLE_SQL is None
