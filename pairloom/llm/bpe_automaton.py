@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import small_batches, table
 
 #: Words whose encodings, and arcs whose presence, a Python worker keeps at most: some 100 MB.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 200_000
 CACHED_ARCS = 300_000
 NEVER = 1 << 40
 
@@ -147,9 +147,10 @@ class Encoder:
         self.automaton = Automaton(path)
         self.plain = self._as_built()
         self.cut_special = re.compile("|".join(map(re.escape, sorted(self.automaton.special, key=len, reverse=True))) or r"(?!)")
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}  # the words before; those met again move up
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the words before; those met again move up
         self.path, self.library = path, None
+        self.labels = [self.automaton.labels.get(i, "") for i in range(self.automaton.n)]
 
     def _as_built(self) -> bool:
         """Whether the file asks for the normaliser and the pattern that are built here."""
@@ -168,37 +169,33 @@ class Encoder:
         normal = self.library.normalizer.normalize_str(text)
         return ["\0" + p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        found = self.older.get(word)
-        if found is not None:
-            return self._keep(word, found)
-        a = self.automaton
-        if word[0] == "\0" and len(word) > 1:
-            symbols = word[1:]
-        else:
-            symbols = "".join([a.symbols[b] for b in word.encode()])
-        ids = a.encode_word(symbols)
-        return self._keep(word, (array("I", ids).tobytes(), " ".join([a.labels[i] for i in ids])))
-
-    def _keep(self, word: str, found: tuple[bytes, str]) -> tuple[bytes, str]:
+    def _word(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            a = self.automaton
+            symbols = word[1:] if word[0] == "\0" and len(word) > 1 else "".join([a.symbols[b] for b in word.encode()])
+            ids = array("I", a.encode_word(symbols)).tobytes()
         if len(self.cache) >= CACHED_WORDS:
             self.older, self.cache = self.cache, {}
         if len(word) < 200:
-            self.cache[word] = found
-        return found
+            self.cache[word] = ids
+        return ids
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        parts: list[tuple[bytes, str]] = []
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        parts: list[bytes] = []
         cache, at = self.cache, 0
         for m in [*self.cut_special.finditer(text), None]:
             for w in self._pieces(text[at : m.start() if m else len(text)]):
                 parts.append(cache.get(w) or self._word(w))
             if m:
-                parts.append((array("I", [self.automaton.special[m[0]]]).tobytes(), m[0]))
+                parts.append(array("I", [self.automaton.special[m[0]]]).tobytes())
                 at = m.end()
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        return b"".join(parts)
 
+    def decode(self, ids: bytes) -> str:
+        """The labels of the ids' arcs."""
+        return " ".join([self.labels[i] for i in memoryview(ids).cast("I")])
 
     def rest(self) -> None:
         """Between tasks an idle worker keeps the newer words only."""
@@ -229,9 +226,9 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = True) -> Da
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 done = [e.encode(t or "") for t in part.column(1).to_pylist()]
-                columns = [part.column(0), pa.array([x[0] for x in done], pa.binary())]
+                columns = [part.column(0), pa.array(done, pa.binary())]
                 if decoded:
-                    columns.append(pa.array([x[1] for x in done], pa.string()))
+                    columns.append(pa.array([e.decode(x) for x in done], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
         e.rest()
 
@@ -251,8 +248,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 part = batch.slice(k, 256)
                 rows = []
                 for t in part.column(1).to_pylist():
-                    ids, text = e.encode(t or "")
-                    rows.append((len(ids) // 4, sha256(ids).hexdigest(), sha256(text.encode()).hexdigest()))
+                    ids = e.encode(t or "")
+                    rows.append((len(ids) // 4, sha256(ids).hexdigest(), sha256(e.decode(ids).encode()).hexdigest()))
                 columns = list(zip(*rows, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
