@@ -79,9 +79,9 @@ def needed(n: int, m: int) -> int:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parity bits: bit i tells whether an odd number of tokens falls on i. Four to eight bits a token."""
+    """Parity bits: bit i tells whether an odd number of tokens falls on i. Two to four bits a token."""
     width = 64
-    while width < 4 * len(tokens) and width < 1 << 18:
+    while width < 2 * len(tokens) and width < 1 << 17:
         width *= 2
     return np.packbits((np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
