@@ -65,6 +65,15 @@ def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(ids, "doc_id", how)
 
 
+def computed(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns, computed before any filter that follows.
+
+    Catalyst moves a filter below a projection by writing the column's whole expression into the filter, where
+    a lambda then computes the arrays it reads anew for every element. It moves none below a generator.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def words_of(text: Column) -> Column:
     """Words of a text without nulls, as an array."""
     return F.array_remove(F.split(text, GAP, -1), "")

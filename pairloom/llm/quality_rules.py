@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, IN_WORD, by_ids, settle, table, words_of
+from .common import GAP, IN_WORD, by_ids, computed, settle, table, words_of
 
 MIN_WORDS, REPEAT_PCT = 50, 50
 MIN_DOCS, SHARE, DEPLETED_PCT = 50, 0.01, 50
@@ -72,9 +72,8 @@ def base_features(docs: DataFrame, min_words: int = MIN_WORDS, repeat_pct: int =
     )
     d = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_pct * F.col("n_words"))
-    return d.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed")
-    )
+    d = d.withColumn("base_failed", failed)
+    return computed(d, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def frequent_line_loss(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:

@@ -78,6 +78,12 @@ def test_base_features(spark, edges):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
 
 
+def test_base_features_under_a_filter(spark):
+    # The plan computes the statistics before the filter: in it, they would be computed anew for each word.
+    d = quality_rules.base_features(documents(spark, [prose(random.Random(2), 3000), "few words"])).where("base_failed")
+    assert [r.doc_id for r in d.collect()] == [1]
+
+
 def test_frequent_lines(spark):
     rng = random.Random(1)
     shared = "Read the Terms 123   of use"
