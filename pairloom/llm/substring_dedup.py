@@ -9,6 +9,9 @@ Further occurrences are candidates. Those that follow each other in a document m
 run of `min_run_words` words or more is removed. Units of fewer than `min_unit_words` words are too
 common to tell anything: they are not hashed, and go with the run around them.
 
+With `whole_lines` (as the query has it) every line with words is hashed as a whole too, and all its
+further occurrences are removed, whatever its length; the two floors then hold only inside of lines.
+
 Offsets are code points of the original text, end exclusive.
 
 Edge cases: a null or empty text has no units. Repeated rows (same doc_id) count as one document.
@@ -32,30 +35,57 @@ from .common import settle, table
 
 MIN_UNIT_WORDS, MIN_RUN_WORDS = 3, 15
 BOUNDARY = re.compile(r"[.!?][\x20\x09]+|\n")
+#: Scripts without spaces between words (Thai, Lao, Burmese, Khmer, Japanese, Chinese): each character counts as a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: In a text with such characters, their own full stops cut too.
+UNSPACED_BOUNDARY = re.compile(r"[.!?][\x20\x09]+|[。！？]|\n")
 
 
-def units_of(text: str, min_unit_words: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int, bytes]]:
-    """start, end, words and normalised bytes of the units that are hashed."""
-    out, at = [], 0
-    for m in [*BOUNDARY.finditer(text), None]:
+def pieces_of(text: str, min_unit_words: int = MIN_UNIT_WORDS, whole_lines: bool = False) -> list[tuple[int, int, int, bytes, int, bool]]:
+    """start, end, words, normalised bytes, unit and line of what is hashed.
+
+    unit numbers the units of `min_unit_words` words or more; what is hashed only as a line has -1. line is true for
+    whole lines, of any length; a line that is one unit is hashed once.
+    """
+    unspaced = not text.isascii() and UNSPACED.search(text) is not None
+    out, held, at, unit = [], [], 0, 0
+    for m in [*(UNSPACED_BOUNDARY if unspaced else BOUNDARY).finditer(text), None]:
         end = len(text) if m is None else m.start() + (m[0][0] != "\n")
-        words = text[at:end].lower().encode().split()
-        if len(words) >= min_unit_words:
-            out.append((at, end, len(words), b" ".join(words)))
+        piece = text[at:end].lower()
+        words = piece.encode().split()
+        if words:
+            n = len(UNSPACED.sub(r" \g<0> ", piece).encode().split()) if unspaced else len(words)
+            held.append((at, end, n, b" ".join(words)))
+        if m is None or m[0] == "\n":
+            line = whole_lines and len(held) == 1
+            for x in held:
+                if x[2] >= min_unit_words:
+                    out.append((*x, unit, line))
+                    unit += 1
+                elif line:
+                    out.append((*x, -1, True))
+            if whole_lines and len(held) > 1:
+                out.append((held[0][0], held[-1][1], sum(x[2] for x in held), b" ".join([x[3] for x in held]), -1, True))
+            held = []
         if m:
             at = m.end()
     return out
 
 
+def units_of(text: str, min_unit_words: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int, bytes]]:
+    """start, end, words and normalised bytes of the units that are hashed."""
+    return [x[:4] for x in pieces_of(text, min_unit_words)]
+
+
 def _digest(data: bytes) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(data)
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def units(docs: DataFrame, min_unit_words: int = MIN_UNIT_WORDS, places: bool = True) -> DataFrame:
-    """A row for each hashed unit: doc_id, d1, d2 and, with `places`, unit, again, start, end, words.
+def units(docs: DataFrame, min_unit_words: int = MIN_UNIT_WORDS, places: bool = True, whole_lines: bool = False) -> DataFrame:
+    """A row for each hashed unit or line: doc_id, d1, d2 and, with `places`, unit, line, again, start, end, words.
 
-    unit numbers the hashed units of a document; again is true behind its first occurrence there.
+    unit and line are as in pieces_of; again is true behind the first occurrence in a document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,33 +95,58 @@ def units(docs: DataFrame, min_unit_words: int = MIN_UNIT_WORDS, places: bool =
                 index, rows = [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
                     seen: set[tuple[int, int]] = set()
-                    for n, (start, end, words, data) in enumerate(units_of(text or "", min_unit_words)):
+                    for start, end, words, data, unit, line in pieces_of(text or "", min_unit_words, whole_lines):
                         d = _digest(data)
-                        rows.append((*d, n, d in seen, start, end, words))
+                        rows.append((*d, unit, line, d in seen, start, end, words))
                         index.append(i)
                         seen.add(d)
                 ids = part.column(0).take(pa.array(np.array(index, dtype=np.int32)))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
                 columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
                 n = len(kinds) if places else 2
-                names = ["doc_id", "d1", "d2", "unit", "again", "start", "end", "words"]
+                names = ["doc_id", "d1", "d2", "unit", "line", "again", "start", "end", "words"]
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns[:n], kinds[:n], strict=True)]], names[: n + 1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    more = ", unit int, again boolean, start int, end int, words int" if places else ""
+    more = ", unit int, line boolean, again boolean, start int, end int, words int" if places else ""
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, d1 long, d2 long{more}")
 
 
-def repeated_passages(docs: DataFrame, min_unit_words: int = MIN_UNIT_WORDS, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """A row for each passage to remove: doc_id, start, end, n_units, n_words, first_doc_id (of its first unit)."""
-    groups = units(docs, min_unit_words, places=False).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id"))
+def _merged(runs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Passages of runs and lines of a document as one where they overlap or only a line feed is between them.
+
+    The units of a line that a run covers count once.
+    """
+    both = runs.withColumn("is_run", F.lit(True)).unionByName(lines.withColumn("is_run", F.lit(False)))
+    in_doc = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), F.desc("is_run"))
+    before, behind = in_doc.rowsBetween(Window.unboundedPreceding, -1), in_doc.rowsBetween(1, Window.unboundedFollowing)
+    d = both.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(before) + 1, F.lit(True)))
+    by_run = (F.max(F.when(F.col("is_run"), F.col("end"))).over(before) > F.col("start")) | (F.min(F.when(F.col("is_run"), F.col("start"))).over(behind) < F.col("end"))
+    d = d.withColumn("counts", F.col("is_run") | ~F.coalesce(by_run, F.lit(False)))
+    d = d.withColumn("passage", F.sum(F.col("new").cast("int")).over(in_doc))
+    total = lambda c: F.sum(F.when(F.col("counts"), F.col(c)).otherwise(0)).alias(c)
+    return (
+        d.groupBy("doc_id", "passage")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), total("n_units"), total("n_words"), F.min_by("first_doc_id", F.struct("start", ~F.col("is_run"))).alias("first_doc_id"))
+        .drop("passage")
+    )
+
+
+def repeated_passages(docs: DataFrame, min_unit_words: int = MIN_UNIT_WORDS, min_run_words: int = MIN_RUN_WORDS, whole_lines: bool = False) -> DataFrame:
+    """A row for each passage to remove: doc_id, start, end, n_units, n_words, first_doc_id (of its first unit).
+
+    With `whole_lines`, every further occurrence of a line goes, however short it is, besides the runs of units.
+    """
+    groups = units(docs, min_unit_words, False, whole_lines).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id"))
     repeated = settle(groups.where("n > 1").drop("n"), "repeated")
-    found = units(docs, min_unit_words).join(repeated, ["d1", "d2"])
+    found = units(docs, min_unit_words, True, whole_lines).join(repeated, ["d1", "d2"])
     later = found.where((F.col("doc_id") != F.col("first_doc_id")) | F.col("again")).drop("d1", "d2", "again")
-    one = later.groupBy("doc_id", "unit").agg(*[F.first(c).alias(c) for c in ("start", "end", "words", "first_doc_id")])
+    if whole_lines:  # both ways read it
+        later = settle(later, "later")
+    one = later.where("unit >= 0").groupBy("doc_id", "unit").agg(*[F.first(c).alias(c) for c in ("start", "end", "words", "first_doc_id")])
     in_doc = Window.partitionBy("doc_id").orderBy("unit")
     runs = one.withColumn("run", F.col("unit") - F.row_number().over(in_doc))
-    return (
+    passages = (
         runs.groupBy("doc_id", "run")
         .agg(
             F.min("start").alias("start"),
@@ -103,6 +158,10 @@ def repeated_passages(docs: DataFrame, min_unit_words: int = MIN_UNIT_WORDS, min
         .where(F.col("n_words") >= min_run_words)
         .drop("run")
     )
+    if not whole_lines:
+        return passages
+    lines = later.where("line").groupBy("doc_id", "start", "end").agg(F.first("words").cast("long").alias("n_words"), F.first("first_doc_id").alias("first_doc_id"))
+    return _merged(passages, lines.withColumn("n_units", F.lit(1).cast("long")))
 
 
 def remove(docs: DataFrame, **options: int) -> DataFrame:
@@ -122,4 +181,4 @@ def remove(docs: DataFrame, **options: int) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents"), whole_lines=True)

@@ -486,6 +486,26 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(d.where("false")).count() == 0
 
 
+def test_whole_lines_of_any_length(spark):
+    rng = random.Random(14)
+    own = [prose(rng, 12, ends=False) for _ in range(12)]
+    long, short, thai = "One two three. Four five. Six", "All rights", "ไม่มีช่องว่าง"
+    texts = [f"{own[0]}\n{short}\n{long}\n{thai}", f"{short}\n{own[1]}", f"{own[2]}\n{long.upper()}\n\n{own[3]}\n{thai}", f"{own[4]} {short} {own[5]}", f"{own[6]}\n{own[6]}\n日本語の長い行、これは十五文字よりも長い。次", "日本語の長い行、これは十五文字よりも長い。別"]
+    d = documents(spark, texts)
+    got = sorted(tuple(r) for r in substring_dedup.repeated_passages(d, whole_lines=True).select("doc_id", "start", "end", "n_words", "first_doc_id").collect())
+    at = lambda i, piece, n, first, begin=0: (i, texts[i].index(piece, begin), texts[i].index(piece, begin) + len(piece), n, first)
+    sentence = "日本語の長い行、これは十五文字よりも長い。"
+    # A line inside another line stays; a sentence of a script without spaces is a unit.
+    want = [at(1, short, 2, 0), at(2, long.upper(), 6, 0), at(2, thai, len(thai), 0), at(4, own[6], 12, 4, 1), (5, 0, len(sentence), got[-1][3], 4)]
+    assert got == want and got[-1][3] >= 15
+    clean = by_id(substring_dedup.remove(d, whole_lines=True))
+    assert clean[1].text == "\n" + own[1] and clean[0].text == texts[0] and clean[3].text == texts[3]
+    # A line that a run covers counts once, and a short piece at its edge goes with it.
+    line = "So it. " + prose(rng, 20, ends=False)
+    found = substring_dedup.repeated_passages(documents(spark, [line, own[7] + "\n" + line]), whole_lines=True).collect()
+    assert [(r.doc_id, r.start, r.end, r.n_units, r.n_words) for r in found] == [(1, len(own[7]) + 1, len(own[7]) + 1 + len(line), 1, 20)]
+
+
 # All of them
 
 
