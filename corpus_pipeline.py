@@ -15,7 +15,7 @@ from pairloom.llm.common import settle, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and the lines over their host's limit go from the others."""
     return quality_rules.keep_good(docs)
 
 

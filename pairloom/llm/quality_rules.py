@@ -76,8 +76,8 @@ def base_features(docs: DataFrame, min_words: int = MIN_WORDS, repeat_pct: int =
     return computed(d, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-def frequent_line_loss(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """doc_id and line_chars_lost, for the documents that lose frequent lines."""
+def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """doc_id, host, line (hash) and chars, for the lines over the limit that documents lose."""
     d = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     lines = F.filter(F.transform(F.split("text", "\n", -1), normalise), lambda x: x != "")
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).cast("long").alias("chars")))
@@ -102,12 +102,24 @@ def frequent_line_loss(docs: DataFrame, min_docs: int = MIN_DOCS, share: float =
         .where(F.col("n") > F.col("most"))
         .select("host", "line", "first")
     )
-    return (
-        held.join(settle(over, "over"), ["host", "line"])
-        .where(F.col("doc_id") != F.col("first"))
-        .groupBy("doc_id")
-        .agg(F.sum("chars").alias("line_chars_lost"))
-    )
+    return held.join(settle(over, "over"), ["host", "line"]).where(F.col("doc_id") != F.col("first")).select("doc_id", "host", "line", "chars")
+
+
+def frequent_line_loss(lines: DataFrame) -> DataFrame:
+    """doc_id and line_chars_lost, for the documents that lose `lines` (of frequent_lines)."""
+    return lines.groupBy("doc_id").agg(F.sum("chars").alias("line_chars_lost"))
+
+
+def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows and columns of docs, text without its lines in `lines` (of frequent_lines), and n_chars, if there, anew for those."""
+    gone = settle(lines.groupBy("doc_id", "host").agg(F.collect_set("line").alias("_gone")), "gone")
+    d = docs.withColumn("host_", F.coalesce("source", F.lit("")))
+    d = d.join(gone.withColumnsRenamed({"doc_id": "_id", "host": "_host"}), (F.col("doc_id") == F.col("_id")) & (F.col("host_") == F.col("_host")), "left")
+    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_gone", F.xxhash64(normalise(x)))), "\n")
+    d = d.withColumn("text", F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return d.select(*docs.columns)
 
 
 def quality_rules(
@@ -117,22 +129,31 @@ def quality_rules(
     depleted_pct: int = DEPLETED_PCT,
     min_words: int = MIN_WORDS,
     repeat_pct: int = REPEAT_PCT,
+    frequent: DataFrame | None = None,
 ) -> DataFrame:
-    """The statistics, line_chars, line_chars_lost, depleted, base_failed and kept of every document."""
+    """The statistics, line_chars, line_chars_lost, depleted, base_failed and kept of every document.
+
+    `frequent` is what frequent_lines has found in docs, if that is known.
+    """
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.length(normalise(x)).cast("long"))
     total = F.aggregate(lines, F.lit(0).cast("long"), lambda a, n: a + n)
     base = base_features(docs.withColumn("doc_id", F.struct("doc_id", total.alias("line_chars"))), min_words, repeat_pct)
     base = base.select("doc_id.doc_id", "doc_id.line_chars", *[c for c in base.columns if c != "doc_id"])
-    lost = frequent_line_loss(docs, min_docs, share)
+    lost = frequent_line_loss(frequent_lines(docs, min_docs, share) if frequent is None else frequent)
     d = base.join(lost, "doc_id", "left").fillna(0, ["line_chars_lost"])
     depleted = 100 * F.col("line_chars_lost") > depleted_pct * F.col("line_chars")
     return d.withColumn("depleted", depleted).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
-def keep_good(docs: DataFrame, **options: float) -> DataFrame:
-    """The rows of docs whose doc_id the rules don't reject, with all columns."""
-    rejected = settle(quality_rules(docs, **options).where(~F.col("kept")).select("doc_id").distinct(), "rejected")
-    return by_ids(docs, rejected, "left_anti").select(*docs.columns)
+def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, **options: float) -> DataFrame:
+    """The rows of docs whose doc_id the rules don't reject, with all columns and without lines over the limit.
+
+    The verdicts are of the texts as they came.
+    """
+    frequent = settle(frequent_lines(docs, min_docs, share), "frequent")
+    verdicts = quality_rules(docs, min_docs, share, frequent=frequent, **options)
+    rejected = settle(verdicts.where(~F.col("kept")).select("doc_id").distinct(), "rejected")
+    return without_lines(by_ids(docs, rejected, "left_anti").select(*docs.columns), by_ids(frequent, rejected, "left_anti"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,18 @@ def test_frequent_lines(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i in range(16) if got[i].kept}
 
 
+def test_frequent_lines_leave_the_texts(spark):
+    rng = random.Random(15)
+    line = "Read the Terms 123   of use"
+    texts = [f"{prose(rng, 60, ends=False)}\n\n{line}\n{prose(rng, 9, ends=False)}" for _ in range(8)] + [prose(rng, 60) for _ in range(3)]
+    d = documents(spark, texts).withColumn("source", F.when(F.col("doc_id") == 7, "other")).withColumn("n_chars", F.lit(1).cast("long"))
+    got = by_id(quality_rules.keep_good(d, min_docs=5, share=0.1))
+    assert got.keys() == set(range(11))
+    for i, t in enumerate(texts):
+        lost = 0 < i < 7  # the first of the host keeps it, and another host has it once
+        assert got[i].text == (t.replace(line + "\n", "") if lost else t) and got[i].n_chars == (len(got[i].text) if lost else 1)
+
+
 # Token counts
 
 
