@@ -95,14 +95,17 @@ def split(rows: DataFrame, key: str = "graph_id", seed: int = 42, tenths: int =
 def batches(rows: DataFrame, size: int, seed: int = 42, key: str = "graph_id", drop_last: bool = False, parts: int = 64) -> DataFrame:
     """rows with batch: a seeded shuffle cut into batches of `size`.
 
-    Rows are dealt to `parts` by hash and numbered within them, so no single task orders all rows; each part may
-    have a last batch that is smaller, which drop_last removes.
+    Rows are dealt to `parts` by hash and numbered within them, behind the rows of the parts before, so no single task
+    orders all rows. Only the last batch of all may be smaller; drop_last removes it.
     """
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
     d = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(parts)).cast("int"))
-    in_part = Window.partitionBy("_part")
-    place = F.row_number().over(in_part.orderBy(draw, key)) - 1
-    d = d.withColumn("_batch", F.floor(place / size).cast("int")).withColumn("batch", F.concat_ws("-", "_part", "_batch"))
+    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy("_part").count()  # at most `parts` rows
+    offsets = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"), F.sum("count").over(every).alias("_all"))
+    d = d.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(draw, key)) - 1).join(F.broadcast(offsets), "_part")
+    d = d.withColumn("_batch", F.floor((F.col("_before") + F.col("_place")) / size)).withColumn("batch", F.col("_batch").cast("string"))
     if drop_last:
-        d = d.withColumn("_all", F.count(F.lit(1)).over(in_part)).where((F.col("_batch") + 1) * size <= F.col("_all")).drop("_all")
-    return d.drop("_part", "_batch")
+        d = d.where((F.col("_batch") + 1) * size <= F.col("_all"))
+    return d.drop("_part", "_batch", "_place", "_before", "_all")

@@ -134,6 +134,15 @@ def test_split_and_batches(spark):
     assert rows(b, "graph_id", "batch") == rows(assembly.batches(d, 16, parts=4), "graph_id", "batch")
 
 
+def test_batches_leave_out_one_part_at_most(spark):
+    d = spark.range(1000).select(F.col("id").alias("graph_id"))
+    sizes = sorted(r["count"] for r in assembly.batches(d, 16, parts=64).groupBy("batch").count().collect())
+    assert sizes == [8] + [16] * 62
+    whole = assembly.batches(d, 16, parts=64, drop_last=True)
+    assert whole.select("graph_id").distinct().count() == whole.count() == 992
+    assert assembly.batches(d.where("false"), 16, drop_last=True).count() == 0
+
+
 def test_dataset_store(spark, tmp_path):
     a, b = frames(spark, [atom("m", 0), atom("m", 1)], [bond("m", 0, 1)])
     path = str(tmp_path / "d")
