@@ -1,4 +1,4 @@
-"""A corpus pipeline: quality rules, near-duplicates, secrets, source mix, token ids.
+"""A corpus pipeline: quality rules, near-duplicates, secrets, source mix, token ids and their decoding.
 
 Each stage takes the documents that the one before kept; all but the last return the columns of
 `documents`. run() writes each stage's result into the folder that the cluster shares and reads it
@@ -35,9 +35,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every document."""
-    encoded = bpe_automaton.encode(docs, decoded=False)
-    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded (the text of the ids) of every document."""
+    encoded = bpe_automaton.encode(docs)
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

@@ -55,6 +55,20 @@ def test_pipeline(spark, sf_dir):
         assert list(memoryview(ids).cast("I")) == library.encode(clean[i], add_special_tokens=False).ids
 
 
+def test_last_stage_decodes(spark):
+    from tokenizers import Tokenizer
+
+    from pairloom.llm import bpe_automaton
+
+    texts = ["Hello  World's it's 123!!!", "", "日本語 é"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = Tokenizer.from_file(bpe_automaton.default_path())
+    got = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, d, "").collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].decoded == library.decode(ids, skip_special_tokens=False)
+
+
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "secret scans", "mixing sources", "BPE encoding"]
     assert corpus_pipeline.ORACLE_SQL is None
