@@ -1,22 +1,23 @@
 """Substring dedup by hashing lines, cut at the ends of sentences.
 
-Passages that documents share often start inside a line, so the units are sentences: pieces of a
-line up to `.`, `!` or `?` and a gap. Units are normalised (lower case, one space for each gap)
-and hashed to 128 bits. Digests are grouped over all documents (counts and the smallest doc_id are
-summed before the shuffle); the occurrence of the smallest doc_id, and there the first, is kept.
-
-Further occurrences are candidates. Those that follow each other in a document make a run, and a
-run of `min_run_words` words or more is removed. Units of fewer than `min_unit_words` words are too
-common to tell anything: they are not hashed, and go with the run around them.
-
-With `whole_lines` (as the query has it) every line with words is hashed as a whole too, and all its
-further occurrences are removed, whatever its length; the two floors then hold only inside of lines.
-
-Offsets are code points of the original text, end exclusive.
-
-Edge cases: a null or empty text has no units. Repeated rows (same doc_id) count as one document.
-Exact copies lose all but the first if they are long enough. An empty table gives an empty result.
-Columns other than doc_id and text are ignored (and kept by `remove`).
+Passages that documents share often start inside a line, so the units are the pieces of a line up to
+`.`, `!` or `?` and a gap (or a full stop of an unspaced script). Every unit is normalised (lower case,
+one space for each gap) and hashed to 128 bits. Digests are grouped over all documents: counts and the
+earliest occurrence are summed before the shuffle. The occurrence with the smallest doc_id, and there the
+first, is kept, and all others are repeated.
+
+Repeated units that follow each other make a run, which is removed as one span with its offsets in the
+original text. A span ends where an unrepeated unit begins, so text that occurs once is never removed.
+`min_words` is the number of words that a run must have: 1, the default, removes every repeated unit.
+
+Offsets are code points of the original text, end exclusive. In scripts without spaces each character
+counts as a word.
+
+Edge cases: a null or empty text has no units. Rows with the same doc_id and the same text are one
+document (all of them get its spans in `remove`); rows with the same doc_id but another text are separate
+documents that follow each other by the texts' hashes. Null doc_ids come last. Exact copies lose all
+but the first. An empty table gives an empty result. Columns other than doc_id and text are ignored
+(and kept by `remove`).
 """
 
 from __future__ import annotations
@@ -33,59 +34,38 @@ from pyspark.sql.window import Window
 
 from .common import settle, table
 
-MIN_UNIT_WORDS, MIN_RUN_WORDS = 3, 15
-BOUNDARY = re.compile(r"[.!?][\x20\x09]+|\n")
+#: Words of a run that the query removes: half of a passage of 50 words. README tells what it leaves in place.
+RUN_WORDS = 25
+BOUNDARY = re.compile(r"[.!?][\x20\x09]+|[。！？]|\n")
 #: Scripts without spaces between words (Thai, Lao, Burmese, Khmer, Japanese, Chinese): each character counts as a word.
-UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-#: In a text with such characters, their own full stops cut too.
-UNSPACED_BOUNDARY = re.compile(r"[.!?][\x20\x09]+|[。！？]|\n")
-
+UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 
-def pieces_of(text: str, min_unit_words: int = MIN_UNIT_WORDS, whole_lines: bool = False) -> list[tuple[int, int, int, bytes, int, bool]]:
-    """start, end, words, normalised bytes, unit and line of what is hashed.
 
-    unit numbers the units of `min_unit_words` words or more; what is hashed only as a line has -1. line is true for
-    whole lines, of any length; a line that is one unit is hashed once.
-    """
+def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
+    """start, end, words and normalised bytes of the units of a text: pieces with a word."""
     unspaced = not text.isascii() and UNSPACED.search(text) is not None
-    out, held, at, unit = [], [], 0, 0
-    for m in [*(UNSPACED_BOUNDARY if unspaced else BOUNDARY).finditer(text), None]:
+    out, at = [], 0
+    for m in [*BOUNDARY.finditer(text), None]:
         end = len(text) if m is None else m.start() + (m[0][0] != "\n")
         piece = text[at:end].lower()
         words = piece.encode().split()
         if words:
             n = len(UNSPACED.sub(r" \g<0> ", piece).encode().split()) if unspaced else len(words)
-            held.append((at, end, n, b" ".join(words)))
-        if m is None or m[0] == "\n":
-            line = whole_lines and len(held) == 1
-            for x in held:
-                if x[2] >= min_unit_words:
-                    out.append((*x, unit, line))
-                    unit += 1
-                elif line:
-                    out.append((*x, -1, True))
-            if whole_lines and len(held) > 1:
-                out.append((held[0][0], held[-1][1], sum(x[2] for x in held), b" ".join([x[3] for x in held]), -1, True))
-            held = []
+            out.append((at, end, n, b" ".join(words)))
         if m:
             at = m.end()
     return out
 
 
-def units_of(text: str, min_unit_words: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int, bytes]]:
-    """start, end, words and normalised bytes of the units that are hashed."""
-    return [x[:4] for x in pieces_of(text, min_unit_words)]
-
-
 def _digest(data: bytes) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(data)
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def units(docs: DataFrame, min_unit_words: int = MIN_UNIT_WORDS, places: bool = True, whole_lines: bool = False) -> DataFrame:
-    """A row for each hashed unit or line: doc_id, d1, d2 and, with `places`, unit, line, again, start, end, words.
+def units(docs: DataFrame, places: bool = True) -> DataFrame:
+    """A row for each unit: doc_id, t (hash of the text), d1, d2 and, with `places`, unit (its number), again, start, end, words.
 
-    unit and line are as in pieces_of; again is true behind the first occurrence in a document.
+    again is true behind the first occurrence in a document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,61 +73,39 @@ def units(docs: DataFrame, min_unit_words: int = MIN_UNIT_WORDS, places: bool =
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 index, rows = [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
+                for i, text in enumerate(part.column(2).to_pylist()):
                     seen: set[tuple[int, int]] = set()
-                    for start, end, words, data, unit, line in pieces_of(text or "", min_unit_words, whole_lines):
+                    for unit, (start, end, words, data) in enumerate(units_of(text or "")):
                         d = _digest(data)
-                        rows.append((*d, unit, line, d in seen, start, end, words))
+                        rows.append((*d, unit, d in seen, start, end, words))
                         index.append(i)
                         seen.add(d)
-                ids = part.column(0).take(pa.array(np.array(index, dtype=np.int32)))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
+                own = pa.array(np.array(index, dtype=np.int32))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
                 columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
                 n = len(kinds) if places else 2
-                names = ["doc_id", "d1", "d2", "unit", "line", "again", "start", "end", "words"]
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns[:n], kinds[:n], strict=True)]], names[: n + 1])
+                names = ["doc_id", "t", "d1", "d2", "unit", "again", "start", "end", "words"]
+                ids = [part.column(0).take(own), part.column(1).take(own)]
+                yield pa.RecordBatch.from_arrays([*ids, *[pa.array(c, t) for c, t in zip(columns[:n], kinds[:n], strict=True)]], names[: n + 2])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    more = ", unit int, line boolean, again boolean, start int, end int, words int" if places else ""
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, d1 long, d2 long{more}")
-
+    more = ", unit int, again boolean, start int, end int, words int" if places else ""
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t long, d1 long, d2 long{more}")
 
-def _merged(runs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Passages of runs and lines of a document as one where they overlap or only a line feed is between them.
 
-    The units of a line that a run covers count once.
-    """
-    both = runs.withColumn("is_run", F.lit(True)).unionByName(lines.withColumn("is_run", F.lit(False)))
-    in_doc = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), F.desc("is_run"))
-    before, behind = in_doc.rowsBetween(Window.unboundedPreceding, -1), in_doc.rowsBetween(1, Window.unboundedFollowing)
-    d = both.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(before) + 1, F.lit(True)))
-    by_run = (F.max(F.when(F.col("is_run"), F.col("end"))).over(before) > F.col("start")) | (F.min(F.when(F.col("is_run"), F.col("start"))).over(behind) < F.col("end"))
-    d = d.withColumn("counts", F.col("is_run") | ~F.coalesce(by_run, F.lit(False)))
-    d = d.withColumn("passage", F.sum(F.col("new").cast("int")).over(in_doc))
-    total = lambda c: F.sum(F.when(F.col("counts"), F.col(c)).otherwise(0)).alias(c)
-    return (
-        d.groupBy("doc_id", "passage")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), total("n_units"), total("n_words"), F.min_by("first_doc_id", F.struct("start", ~F.col("is_run"))).alias("first_doc_id"))
-        .drop("passage")
-    )
-
-
-def repeated_passages(docs: DataFrame, min_unit_words: int = MIN_UNIT_WORDS, min_run_words: int = MIN_RUN_WORDS, whole_lines: bool = False) -> DataFrame:
-    """A row for each passage to remove: doc_id, start, end, n_units, n_words, first_doc_id (of its first unit).
-
-    With `whole_lines`, every further occurrence of a line goes, however short it is, besides the runs of units.
-    """
-    groups = units(docs, min_unit_words, False, whole_lines).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id"))
+def repeated_passages(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """A row for each passage to remove: doc_id, t, start, end, n_units, n_words, first_doc_id (where its first unit stays)."""
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
+    groups = units(docs, False).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
     repeated = settle(groups.where("n > 1").drop("n"), "repeated")
-    found = units(docs, min_unit_words, True, whole_lines).join(repeated, ["d1", "d2"])
-    later = found.where((F.col("doc_id") != F.col("first_doc_id")) | F.col("again")).drop("d1", "d2", "again")
-    if whole_lines:  # both ways read it
-        later = settle(later, "later")
-    one = later.where("unit >= 0").groupBy("doc_id", "unit").agg(*[F.first(c).alias(c) for c in ("start", "end", "words", "first_doc_id")])
-    in_doc = Window.partitionBy("doc_id").orderBy("unit")
-    runs = one.withColumn("run", F.col("unit") - F.row_number().over(in_doc))
-    passages = (
-        runs.groupBy("doc_id", "run")
+    found = units(docs).join(repeated, ["d1", "d2"])
+    later = found.where((rank != F.col("first")) | F.col("again"))
+    # Rows that are repeated as a whole are one document: merged before the shuffle.
+    one = later.groupBy("doc_id", "t", "unit").agg(*[F.first(c).alias(c) for c in ("start", "end", "words")], F.first("first.doc_id").alias("first_doc_id"))
+    in_doc = Window.partitionBy("doc_id", "t").orderBy("unit")
+    return (
+        one.withColumn("run", F.col("unit") - F.row_number().over(in_doc))
+        .groupBy("doc_id", "t", "run")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
@@ -155,30 +113,50 @@ def repeated_passages(docs: DataFrame, min_unit_words: int = MIN_UNIT_WORDS, min
             F.sum("words").alias("n_words"),
             F.min_by("first_doc_id", "unit").alias("first_doc_id"),
         )
-        .where(F.col("n_words") >= min_run_words)
+        .where(F.col("n_words") >= min_words)
         .drop("run")
     )
-    if not whole_lines:
-        return passages
-    lines = later.where("line").groupBy("doc_id", "start", "end").agg(F.first("words").cast("long").alias("n_words"), F.first("first_doc_id").alias("first_doc_id"))
-    return _merged(passages, lines.withColumn("n_units", F.lit(1).cast("long")))
 
 
-def remove(docs: DataFrame, **options: int) -> DataFrame:
+def remove(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """The rows and columns of docs, text without its repeated passages, and removed_spans: their original (start, end)."""
-    spans = repeated_passages(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    d = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(spans, "doc_id", "left")
+    found = repeated_passages(docs, min_words).groupBy("doc_id", "t")
+    spans = found.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")).select(F.struct("doc_id", "t").alias("of"), "spans")
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.struct("doc_id", F.xxhash64("text").alias("t")).alias("of")).join(spans, "of", "left")
     text = F.col("row.text")
-    state = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"])).alias("out")),
+    kept = F.zip_with(
+        F.concat(F.array(F.lit(0)), F.col("spans.end")),
+        F.concat(F.col("spans.start"), F.array(F.length(text))),
+        lambda a, b: F.substring(text, a + 1, b - a),
     )
-    rest = F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-    new = F.when(F.col("spans").isNotNull(), rest).otherwise(text).alias("text")
+    new = F.when(F.col("spans").isNotNull(), F.array_join(kept, "")).otherwise(text).alias("text")
     columns = [new if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != "removed_spans"]
     return d.select(*columns, F.col("spans").alias("removed_spans"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"), whole_lines=True)
+    return repeated_passages(table(spark, sf_dir, "documents"), RUN_WORDS).drop("t")
+
+
+SQL = rf"""
+WITH p AS (
+  SELECT doc_id, text, regexp_extract_all(text, '(?s)[^\n]*?(?:[.!?][\x20\x09]+|[。！？]|\n|\z)') AS ps FROM documents WHERE text IS NOT NULL
+),
+e AS (
+  SELECT doc_id, i, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS start
+  FROM (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM p)
+),
+u AS (
+  SELECT doc_id, start, body, start + length(body) AS "end", row_number() OVER (PARTITION BY doc_id ORDER BY i) AS unit,
+    len(regexp_extract_all(regexp_replace(body, '[\x{{0e00}}-\x{{0eff}}\x{{1000}}-\x{{109f}}\x{{1780}}-\x{{17ff}}\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}\x{{f900}}-\x{{faff}}\x{{20000}}-\x{{3ffff}}]', ' \0 ', 'g'), '[^\x20\x09-\x0D]+')) AS words,
+    trim(regexp_replace(lower(body), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
+  FROM (SELECT *, CASE WHEN piece LIKE '%' || chr(10) THEN left(piece, length(piece) - 1) ELSE regexp_replace(piece, '([.!?])[\x20\x09]+$', '\1') END AS body FROM e)
+  WHERE regexp_matches(body, '[^\x20\x09-\x0D]')
+),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) AS place, first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, unit) AS first_doc_id FROM u
+),
+runs AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM r WHERE place > 1)
+SELECT doc_id, min(start)::INT AS start, max("end")::INT AS "end", count(*)::BIGINT AS n_units, sum(words)::BIGINT AS n_words, arg_min(first_doc_id, unit) AS first_doc_id
+FROM runs GROUP BY doc_id, run HAVING sum(words) >= {RUN_WORDS}
+"""

@@ -459,37 +459,34 @@ def test_components_of_a_chain(spark):
 # Substring dedup
 
 
-def passages_of(texts):
-    first, found = {}, defaultdict(list)
+def passages_of(texts, min_words):
+    first, out = {}, []
     for i, t in enumerate(texts):
-        for n, (s, e, w, data) in enumerate(substring_dedup.units_of(t or "")):
-            if data in first:
-                found[i].append((n, s, e, w, first[data]))
-            else:
-                first[data] = i
-    out = []
-    for i, later in found.items():
         run = []
-        for u in [*later, (None, 0, 0, 0, 0)]:
-            if run and u[0] != run[-1][0] + 1:
-                if sum(x[3] for x in run) >= 15:
-                    out.append((i, run[0][1], run[-1][2], len(run), sum(x[3] for x in run), run[0][4]))
-                run = []
-            run.append(u)
+        for s, e, w, data in [*substring_dedup.units_of(t or ""), (0, 0, 0, None)]:
+            if data in first:
+                run.append((s, e, w, first[data]))
+                continue
+            first[data] = i
+            if sum(x[2] for x in run) >= max(1, min_words):
+                out.append((i, run[0][0], run[-1][1], len(run), sum(x[2] for x in run), run[0][3]))
+            run = []
+            first.pop(None, None)
     return sorted(out)
 
 
-def test_repeated_passages(spark):
+@pytest.mark.parametrize("min_words", [1, substring_dedup.RUN_WORDS])
+def test_repeated_passages(spark, min_words):
     rng = random.Random(13)
     passage = prose(rng, 54)
     texts = edge_texts() + [prose(rng, 30) + " " + passage + " " + prose(rng, 20) for _ in range(4)] + ["Tail without end\n" + passage.upper() + "\nThe end."] + [prose(rng, 60) for _ in range(5)]
     d = documents(spark, texts)
-    got = sorted(tuple(r) for r in substring_dedup.repeated_passages(d).select("doc_id", "start", "end", "n_units", "n_words", "first_doc_id").collect())
-    assert got == passages_of(texts)
+    got = sorted(tuple(r) for r in substring_dedup.repeated_passages(d, min_words).select("doc_id", "start", "end", "n_units", "n_words", "first_doc_id").collect())
+    assert got == passages_of(texts, min_words)
     caught = {r[0] for r in got}
     n = len(edge_texts())
     assert set(range(n + 1, n + 5)) <= caught and not caught & {3, n, *range(n + 5, n + 10)}
-    clean = by_id(substring_dedup.remove(d))
+    clean = by_id(substring_dedup.remove(d, min_words))
     for i, t in enumerate(texts):
         out, at = "", 0
         for _, s, e, *_ in [g for g in got if g[0] == i]:
@@ -498,24 +495,24 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(d.where("false")).count() == 0
 
 
-def test_whole_lines_of_any_length(spark):
-    rng = random.Random(14)
-    own = [prose(rng, 12, ends=False) for _ in range(12)]
-    long, short, thai = "One two three. Four five. Six", "All rights", "ไม่มีช่องว่าง"
-    texts = [f"{own[0]}\n{short}\n{long}\n{thai}", f"{short}\n{own[1]}", f"{own[2]}\n{long.upper()}\n\n{own[3]}\n{thai}", f"{own[4]} {short} {own[5]}", f"{own[6]}\n{own[6]}\n日本語の長い行、これは十五文字よりも長い。次", "日本語の長い行、これは十五文字よりも長い。別"]
-    d = documents(spark, texts)
-    got = sorted(tuple(r) for r in substring_dedup.repeated_passages(d, whole_lines=True).select("doc_id", "start", "end", "n_words", "first_doc_id").collect())
-    at = lambda i, piece, n, first, begin=0: (i, texts[i].index(piece, begin), texts[i].index(piece, begin) + len(piece), n, first)
-    sentence = "日本語の長い行、これは十五文字よりも長い。"
-    # A line inside another line stays; a sentence of a script without spaces is a unit.
-    want = [at(1, short, 2, 0), at(2, long.upper(), 6, 0), at(2, thai, len(thai), 0), at(4, own[6], 12, 4, 1), (5, 0, len(sentence), got[-1][3], 4)]
-    assert got == want and got[-1][3] >= 15
-    clean = by_id(substring_dedup.remove(d, whole_lines=True))
-    assert clean[1].text == "\n" + own[1] and clean[0].text == texts[0] and clean[3].text == texts[3]
-    # A line that a run covers counts once, and a short piece at its edge goes with it.
-    line = "So it. " + prose(rng, 20, ends=False)
-    found = substring_dedup.repeated_passages(documents(spark, [line, own[7] + "\n" + line]), whole_lines=True).collect()
-    assert [(r.doc_id, r.start, r.end, r.n_units, r.n_words) for r in found] == [(1, len(own[7]) + 1, len(own[7]) + 1 + len(line), 1, 20)]
+def test_only_repeated_units_go(spark):
+    texts = ["A\nB is here. Six", "A\nInvoice 4711\nb  is HERE.", "ไม่มีช่องว่าง\nA", "日本語の長い行。次\nไม่มีช่องว่าง", "日本語の長い行。別 A", "one\none"]
+    clean = {r.doc_id: (r.text, [tuple(s) for s in r.removed_spans or []]) for r in substring_dedup.remove(documents(spark, texts)).collect()}
+    assert clean[0] == (texts[0], [])
+    assert clean[1] == ("\nInvoice 4711\n", [(0, 1), (15, 26)])
+    assert clean[2] == ("ไม่มีช่องว่าง\n", [(14, 15)]) and clean[3] == ("日本語の長い行。次\n", [(10, 23)])
+    assert clean[4] == ("別 A", [(0, 8)]) and clean[5] == ("one\n", [(4, 7)])
+    words = {(r.doc_id, r.start): r.n_words for r in substring_dedup.repeated_passages(documents(spark, texts)).collect()}
+    assert words[3, 10] == 13 and words[4, 0] == 8 and words[1, 15] == 3
+
+
+def test_passages_of_rows_that_share_an_id(spark):
+    rows = [(1, "Same line here."), (1, "Same line here."), (None, "Same line here.\nOwn words"), (None, "Own words\nLast one"), (1, "Other text. Same line here.")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = sorted((str(r.doc_id), r.text) for r in substring_dedup.remove(d).collect())
+    # Repeated rows stay alike; of rows with one id but two texts one keeps the line; null ids come last.
+    assert len(texts) == 5 and sum("Same line here." in t for i, t in texts) in (1, 2) and not any("Same" in t for i, t in texts if i == "None")
+    assert sum("Own words" in t for _, t in texts) == 1
 
 
 # All of them
