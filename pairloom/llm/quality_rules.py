@@ -1,16 +1,15 @@
 """Quality rules: text statistics and cross-document line frequency.
 
-A line that many different texts of one host hold is boilerplate. Lines are normalised and hashed
-(64 bits), different texts are counted per host and line, and a line over its host's limit is
-removed from every document but its first (smallest doc_id) in that host. A document that loses
-more than `depleted_pct` percent of the characters of its lines is rejected.
-
-The limit of a host is the larger of `min_docs` and `share` of the host's documents.
+Lines are normalised and hashed (64 bits), the distinct documents (doc_ids) that hold a line are counted
+for every host, and a line that more than `limit` documents of a host hold is removed from all of them but
+the first (smallest doc_id), so that of many copies one survives whole. The limit is the same for small and
+hot hosts. A document that loses lines is depleted, and rejected, if fewer than `min_words` words or less
+than 100 - `depleted_pct` percent of its characters remain.
 
 Edge cases: a null text counts as empty, a null source as the host ''. An empty text has all
-statistics 0 and fails the base rules. Copies of a text count once for a line. Rows with the same
-doc_id are separate documents for the base rules, but share the verdict on lines. An empty table
-gives an empty result. Columns other than doc_id, text and source are ignored.
+statistics 0 and fails the base rules. Rows with the same doc_id count as one document for the limit, and
+each is judged by its own text; a null doc_id counts as one document, which is never the first. An empty table
+gives an empty result. Columns other than doc_id, text and source are ignored (and kept by `keep_good`).
 """
 
 from __future__ import annotations
@@ -18,21 +17,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, IN_WORD, by_ids, computed, settle, table, words_of
+from .common import GAP, IN_WORD, computed, settle, table, words_of
 
 MIN_WORDS, REPEAT_PCT = 50, 50
-MIN_DOCS, SHARE, DEPLETED_PCT = 50, 0.01, 50
+LIMIT, DEPLETED_PCT = 5, 50
 
 
 def normalise(line: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.regexp_replace(line, GAP, " "), "[0-9]", "0")))
 
 
-def base_features(docs: DataFrame, min_words: int = MIN_WORDS, repeat_pct: int = REPEAT_PCT) -> DataFrame:
-    """doc_id with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def base_features(docs: DataFrame, min_words: int = MIN_WORDS, repeat_pct: int = REPEAT_PCT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    d = docs.select(F.struct(*keep).alias("kept_"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.select(
-        "doc_id",
+        "kept_",
         words_of(F.col("text")).alias("words"),
         F.length(F.regexp_replace("text", GAP, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
@@ -43,7 +42,7 @@ def base_features(docs: DataFrame, min_words: int = MIN_WORDS, repeat_pct: int =
         F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     )
     d = d.select(
-        "doc_id",
+        "kept_",
         F.size(w).cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -73,87 +72,62 @@ def base_features(docs: DataFrame, min_words: int = MIN_WORDS, repeat_pct: int =
     d = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_pct * F.col("n_words"))
     d = d.withColumn("base_failed", failed)
-    return computed(d, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-
-
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """doc_id, host, line (hash) and chars, for the lines over the limit that documents lose."""
-    d = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.filter(F.transform(F.split("text", "\n", -1), normalise), lambda x: x != "")
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).cast("long").alias("chars")))
-    distinct = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
-    # First by documents, summed before the shuffle: no line below the limit can pass it by texts.
-    counts = d.select("host", F.explode(distinct).alias("line")).groupBy("host", "line").count().where(F.col("count") > min_docs)
-    hosts = d.groupBy("host").agg(F.greatest(F.lit(min_docs), F.floor(share * F.count(F.lit(1)))).alias("most"))
-    often = settle(counts.join(hosts, "host").where(F.col("count") > F.col("most")).select("host", "line", "most"), "lines")
-    # `often` is small as a rule; whether it is broadcast depends on its measured size.
-    held = settle(
-        d.select("doc_id", "host", F.xxhash64("text").alias("text_hash"), F.explode(hashed).alias("l"))
-        .select("doc_id", "host", "text_hash", "l.line", "l.chars")
-        .join(often, ["host", "line"])
-        .groupBy("doc_id", "host", "text_hash", "line")
-        .agg(F.sum("chars").alias("chars"), F.first("most").alias("most")),
-        "held",
-    )
-    texts = held.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("first"), F.first("most").alias("most"))
-    over = (
-        texts.groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.first("most").alias("most"))
-        .where(F.col("n") > F.col("most"))
-        .select("host", "line", "first")
-    )
-    return held.join(settle(over, "over"), ["host", "line"]).where(F.col("doc_id") != F.col("first")).select("doc_id", "host", "line", "chars")
-
-
-def frequent_line_loss(lines: DataFrame) -> DataFrame:
-    """doc_id and line_chars_lost, for the documents that lose `lines` (of frequent_lines)."""
-    return lines.groupBy("doc_id").agg(F.sum("chars").alias("line_chars_lost"))
-
-
-def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The rows and columns of docs, text without its lines in `lines` (of frequent_lines), and n_chars, if there, anew for those."""
-    gone = settle(lines.groupBy("doc_id", "host").agg(F.collect_set("line").alias("_gone")), "gone")
-    d = docs.withColumn("host_", F.coalesce("source", F.lit("")))
-    d = d.join(gone.withColumnsRenamed({"doc_id": "_id", "host": "_host"}), (F.col("doc_id") == F.col("_id")) & (F.col("host_") == F.col("_host")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_gone", F.xxhash64(normalise(x)))), "\n")
-    d = d.withColumn("text", F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return computed(d, "kept_", *names).select("kept_.*", *names)
+
+
+def _key() -> Column:
+    """What tells rows apart for the lines they lose; equal rows lose the same."""
+    return F.struct("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+
+
+def frequent_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """key (of _key) and gone: the hashes of the lines over the limit that the rows of this key lose."""
+    hashes = F.array_distinct(F.transform(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), normalise), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    lines = settle(docs.select(_key().alias("key"), F.explode(hashes).alias("line")).select("key.*", "line"), "lines")
+    # First by rows, summed before the shuffle: no line below the limit can pass it by documents.
+    often = settle(lines.groupBy("host", "line").count().where(F.col("count") > limit).select("host", "line"), "often")
+    held = settle(lines.join(often, ["host", "line"]), "held")
+    n = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))
+    over = held.groupBy("host", "line").agg(n.alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > limit)
+    lost = held.join(settle(over.select("host", "line", "first"), "over"), ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    lost = lost.groupBy("doc_id", "host", "t").agg(F.collect_set("line").alias("gone"))
+    return settle(lost.select(F.struct("doc_id", "host", "t").alias("key"), "gone"), "gone")
+
+
+def judged(docs: DataFrame, limit: int, depleted_pct: int, min_words: int, repeat_pct: int) -> DataFrame:
+    """row (all columns of docs), clean (its text without the lines over the limit; null if it loses none), statistics and verdict."""
+    d = docs.select(F.struct(*docs.columns).alias("row"), _key().alias("key")).join(frequent_lines(docs, limit), "key", "left")
+    d = base_features(d.select("row", "gone", "row.text"), min_words, repeat_pct, ("row", "gone"))
+    lines, text = F.split(F.col("row.text"), "\n", -1), F.col("row.text")
+    stay = F.filter(lines, lambda x: ~F.array_contains("gone", F.xxhash64(normalise(x))))
+    d = d.withColumn("stay", F.when(F.col("gone").isNotNull(), stay))
+    d = d.withColumn("clean", F.array_join("stay", "\n"))
+    d = d.withColumn("n_lines_removed", F.coalesce(F.size(lines) - F.size("stay"), F.lit(0)).cast("long"))
+    d = d.withColumn("n_words_left", F.coalesce(F.size(words_of(F.col("clean"))).cast("long"), F.col("n_words")))
+    d = computed(d, *[c for c in d.columns if c not in ("gone", "stay")])
+    few = (F.col("n_words_left") < min_words) | (100 * F.length("clean") < (100 - depleted_pct) * F.length(text))
+    d = d.withColumn("depleted", F.coalesce(F.col("clean").isNotNull() & few, F.lit(False)))
+    return d.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
 def quality_rules(
-    docs: DataFrame,
-    min_docs: int = MIN_DOCS,
-    share: float = SHARE,
-    depleted_pct: int = DEPLETED_PCT,
-    min_words: int = MIN_WORDS,
-    repeat_pct: int = REPEAT_PCT,
-    frequent: DataFrame | None = None,
+    docs: DataFrame, limit: int = LIMIT, depleted_pct: int = DEPLETED_PCT, min_words: int = MIN_WORDS, repeat_pct: int = REPEAT_PCT
 ) -> DataFrame:
-    """The statistics, line_chars, line_chars_lost, depleted, base_failed and kept of every document.
-
-    `frequent` is what frequent_lines has found in docs, if that is known.
-    """
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.length(normalise(x)).cast("long"))
-    total = F.aggregate(lines, F.lit(0).cast("long"), lambda a, n: a + n)
-    base = base_features(docs.withColumn("doc_id", F.struct("doc_id", total.alias("line_chars"))), min_words, repeat_pct)
-    base = base.select("doc_id.doc_id", "doc_id.line_chars", *[c for c in base.columns if c != "doc_id"])
-    lost = frequent_line_loss(frequent_lines(docs, min_docs, share) if frequent is None else frequent)
-    d = base.join(lost, "doc_id", "left").fillna(0, ["line_chars_lost"])
-    depleted = 100 * F.col("line_chars_lost") > depleted_pct * F.col("line_chars")
-    return d.withColumn("depleted", depleted).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+    """The statistics, n_lines_removed, n_words_left, depleted, base_failed and kept of every row of docs."""
+    d = judged(docs.select("doc_id", "source", "text"), limit, depleted_pct, min_words, repeat_pct)
+    return d.select("row.doc_id", *[c for c in d.columns if c not in ("row", "clean")])
 
 
-def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, **options: float) -> DataFrame:
-    """The rows of docs whose doc_id the rules don't reject, with all columns and without lines over the limit.
-
-    The verdicts are of the texts as they came.
-    """
-    frequent = settle(frequent_lines(docs, min_docs, share), "frequent")
-    verdicts = quality_rules(docs, min_docs, share, frequent=frequent, **options)
-    rejected = settle(verdicts.where(~F.col("kept")).select("doc_id").distinct(), "rejected")
-    return without_lines(by_ids(docs, rejected, "left_anti").select(*docs.columns), by_ids(frequent, rejected, "left_anti"))
+def keep_good(
+    docs: DataFrame, limit: int = LIMIT, depleted_pct: int = DEPLETED_PCT, min_words: int = MIN_WORDS, repeat_pct: int = REPEAT_PCT
+) -> DataFrame:
+    """The rows of docs that the rules keep, with all columns; text without the lines over the limit, and n_chars, if there, anew for those."""
+    d = judged(docs, limit, depleted_pct, min_words, repeat_pct).where("kept")
+    new = {"text": F.coalesce("clean", "row.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("clean").cast(docs.schema["n_chars"].dataType), "row.n_chars")
+    return d.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,37 +146,31 @@ rep AS (
   SELECT doc_id, count(DISTINCT p) AS n_repeat_words
   FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id
 ),
-raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+raw AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
 dup AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM raw
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ),
 norm AS (
-  SELECT doc_id, trim(lower(regexp_replace(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')), ' ') AS line
+  SELECT doc_id, host, line AS own, trim(lower(regexp_replace(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')), ' ') AS line
   FROM raw
 ),
-total AS (SELECT doc_id, sum(length(line)) AS line_chars FROM norm GROUP BY doc_id),
-hosts AS (SELECT host, greatest({MIN_DOCS}, floor({SHARE} * count(*))) AS most FROM d GROUP BY host),
 freq AS (
-  SELECT host, line, count(DISTINCT text) AS n, min(doc_id) AS first
-  FROM norm JOIN d USING (doc_id) WHERE line <> '' GROUP BY host, line
+  SELECT host, line, min(doc_id) AS first FROM norm WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT doc_id) > {LIMIT}
 ),
-over_ AS (SELECT host, line, first FROM freq JOIN hosts USING (host) WHERE n > most),
 lost AS (
-  SELECT doc_id, sum(length(line)) AS line_chars_lost
-  FROM norm JOIN d USING (doc_id) JOIN over_ USING (host, line) WHERE doc_id <> first GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_lines_removed, sum(len(regexp_extract_all(own, '[^\x20\x09-\x0D]+'))) AS words, sum(length(own) + 1) AS chars
+  FROM norm JOIN freq USING (host, line) WHERE doc_id <> first GROUP BY doc_id
 ),
 f AS (
-  SELECT w.doc_id, total.line_chars::BIGINT AS line_chars, len(words)::BIGINT AS n_words,
+  SELECT w.doc_id, len(w.words)::BIGINT AS n_words,
     length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-    coalesce(line_chars_lost, 0)::BIGINT AS line_chars_lost
-  FROM w JOIN total USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)
+    coalesce(n_lines_removed, 0)::BIGINT AS n_lines_removed, (len(w.words) - coalesce(lost.words, 0))::BIGINT AS n_words_left,
+    chars IS NOT NULL AND (n_words_left < {MIN_WORDS} OR 100 * greatest(0, length(text) - chars) < (100 - {DEPLETED_PCT}) * length(text)) AS depleted
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)
 )
-SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PCT} * n_words) AS base_failed,
-  (100 * line_chars_lost > {DEPLETED_PCT} * line_chars) AS depleted,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PCT} * n_words)
-    AND NOT (100 * line_chars_lost > {DEPLETED_PCT} * line_chars) AS kept
+SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PCT} * n_words) AS base_failed, NOT base_failed AND NOT depleted AS kept
 FROM f
 """

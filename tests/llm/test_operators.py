@@ -87,16 +87,19 @@ def test_base_features_under_a_filter(spark):
 def test_frequent_lines(spark):
     rng = random.Random(1)
     shared = "Read the Terms 123   of use"
-    texts = [prose(rng, 80, ends=False) + "\n" + shared for _ in range(6)] + ["short\n" + shared.lower().replace("123", "456") + "\n" + shared] + [prose(rng, 60)] * 9
+    long = prose(rng, 60, ends=False)
+    texts = [prose(rng, 80, ends=False) + "\n" + shared for _ in range(6)] + ["short\n" + shared.lower().replace("123", "456") + "\n" + shared]
+    texts += [prose(rng, 60)] * 9 + [prose(rng, 46, ends=False) + "\n" + shared, prose(rng, 55, ends=False) + "\n" + long] + [long] * 6
     d = documents(spark, texts).withColumn("source", F.lit("s"))
-    got = by_id(quality_rules.quality_rules(d, min_docs=5, share=0.1))
-    line = len("read the terms 000 of use")
-    assert [got[i].line_chars_lost for i in range(7)] == [0] + [line] * 5 + [2 * line]
-    assert got[6].depleted and not any(got[i].depleted for i in range(6))
-    # Nine copies of one text are one text.
-    assert all(got[i].line_chars_lost == 0 and got[i].kept for i in range(7, 16))
-    kept = quality_rules.keep_good(d, min_docs=5, share=0.1)
-    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i in range(16) if got[i].kept}
+    got = by_id(quality_rules.quality_rules(d))
+    assert [got[i].n_lines_removed for i in range(7)] == [0, 1, 1, 1, 1, 1, 2]
+    assert [got[i].n_words_left for i in (0, 1, 6)] == [86, 80, 1]
+    # Nine copies of one text: the first one stays.
+    assert [got[i].kept for i in range(7, 16)] == [True] + [False] * 8 and not got[8].base_failed and got[8].depleted
+    # 52 words, of which 46 remain; and a document that keeps more than half of its characters or less.
+    assert got[16].depleted and not got[16].base_failed and got[17].kept and got[17].n_lines_removed == 0 and got[18].depleted
+    kept = quality_rules.keep_good(d)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i in range(len(texts)) if got[i].kept}
 
 
 def test_frequent_lines_leave_the_texts(spark):
@@ -104,13 +107,26 @@ def test_frequent_lines_leave_the_texts(spark):
     line = "Read the Terms 123   of use"
     texts = [f"{prose(rng, 60, ends=False)}\n\n{line}\n{prose(rng, 9, ends=False)}" for _ in range(8)] + [prose(rng, 60) for _ in range(3)]
     d = documents(spark, texts).withColumn("source", F.when(F.col("doc_id") == 7, "other")).withColumn("n_chars", F.lit(1).cast("long"))
-    got = by_id(quality_rules.keep_good(d, min_docs=5, share=0.1))
+    got = by_id(quality_rules.keep_good(d))
     assert got.keys() == set(range(11))
     for i, t in enumerate(texts):
         lost = 0 < i < 7  # the first of the host keeps it, and another host has it once
         assert got[i].text == (t.replace(line + "\n", "") if lost else t) and got[i].n_chars == (len(got[i].text) if lost else 1)
 
 
+def test_quality_of_rows_that_share_an_id(spark):
+    rng = random.Random(16)
+    line = "the same line in all of them"
+    rows = [(1, prose(rng, 60), "s"), (1, "too short", "s"), (None, "short too", "s"), (None, prose(rng, 70, ends=False) + "\n" + line, None)]
+    rows += [(2, prose(rng, 60, ends=False) + "\n" + line, None)] * 7 + [(3 + i, prose(rng, 60, ends=False) + "\n" + line, None) for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id or -1, r.text) for r in quality_rules.keep_good(d).collect())
+    # Five documents hold the line (null, 2, 3, 4, 5): within the limit. Each row is judged by itself.
+    assert got == sorted((i or -1, t) for i, t, _ in rows if len(t) > 20)
+    lost = quality_rules.quality_rules(d, limit=4).where("n_lines_removed > 0").collect()
+    assert sorted(r.doc_id or -1 for r in lost) == [-1, 3, 4, 5]
+
+
 # Token counts
 
 
