@@ -90,5 +90,5 @@ def words_of(text: Column) -> Column:
 
 
 def unit_interval(key: Column) -> Column:
-    """A number in [0, 1) from the md5 of a key: the same on every run and in other SQL engines."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    """A number in [0, 1) from the md5 of a key (null: an empty one): the same on every run and in other SQL engines."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))

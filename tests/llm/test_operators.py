@@ -160,15 +160,14 @@ def test_token_counts(spark, edges):
 # Mixing
 
 
-def raked(cells, rounds=mixing.ROUNDS):
+def raked(cells, rounds=mixing.MAX_ROUNDS):
     """cells: (source, lang, topic) to tokens; the same fit in plain loops."""
     total = sum(cells.values())
     goals = []
-    for k, name in enumerate(mixing.DIMS):
-        margin = Counter()
+    for k in range(3):
+        raised = Counter()
         for c, n in cells.items():
-            margin[c[k]] += n
-        raised = {v: n ** mixing.TEMPER[name] for v, n in margin.items()}
+            raised[c[k]] += n**mixing.TEMPER
         goals.append({v: x / sum(raised.values()) * total for v, x in raised.items()})
     factors = [dict.fromkeys(g, 1.0) for g in goals]
     for _ in range(rounds):
@@ -180,31 +179,55 @@ def raked(cells, rounds=mixing.ROUNDS):
     return {c: math.prod(factors[j][c[j]] for j in range(3)) for c in cells}
 
 
+THEMES = {"ocean": "salt wave tide reef shore".split(), "budget": "loan bank rate bond cash".split()}
+
+
+def themed(rng, theme):
+    words = [rng.choice(THEMES[theme]) for _ in range(8)] + [theme] + [rng.choice(WORDS) for _ in range(20)]
+    rng.shuffle(words)
+    return " ".join(words)
+
+
+def test_topics_are_found_in_the_texts(spark):
+    rng = random.Random(18)
+    texts = [themed(rng, "ocean" if i % 5 == 0 else "budget") if i % 5 < 2 else prose(rng, 30) for i in range(200)] + [None, "", "Salt, waves; TIDE!"]
+    d = documents(spark, texts)
+    topics = mixing.fit_topics(d, topics=2, anchors=5)
+    theme = {seed: next(t for t, words in THEMES.items() if seed in [t, *words]) for seed in topics}
+    assert sorted(theme.values()) == ["budget", "ocean"] or len(set(theme.values())) == 1
+    got = {r.doc_id: r.topic for r in mixing.with_topic(d, {"ocean": ["salt", "tide", "wave"], "budget": ["bank", "rate"]}).collect()}
+    assert [got[i] for i in (0, 1, 2, 200, 201, 202)] == ["ocean", "budget", "", "", "", "ocean"]
+    assert mixing.fit_topics(d.where("false")) == {}
+
+
 def test_mixing_against_loops(spark):
     rng = random.Random(3)
-    texts = [prose(rng, rng.randint(5, 40)) + rng.choice(["", " | x", "!! x"]) for _ in range(80)] + [None, "", " "]
-    d = documents(spark, texts)
-    rows = mixing.mix(d).collect()
+    texts = [prose(rng, rng.randint(5, 40)) + rng.choice(["", " salt", " bank"]) for _ in range(80)] + [None, "", " "]
+    d = documents(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))
+    topics = {"ocean": ["salt"], "budget": ["bank"]}
+    rows = mixing.mix(d, topics=topics).collect()
     cells = Counter()
     for r in rows:
-        assert r.n_tokens == len(split(texts[r.doc_id]))
         if r.n_tokens:
             cells[r.source, r.lang, r.topic] += r.n_tokens
+    assert sum(cells.values()) == sum(len(split(t)) for t in texts) and {r.topic for r in rows} == {"", "ocean", "budget"}
     want = raked(cells)
-    most = max(want.values())
     for r in rows:
         w = want.get((r.source, r.lang, r.topic), 0.0)
-        u = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:13], 16) / 2**52
-        assert r.weight == pytest.approx(w, abs=2e-6) and r.kept == (u < w / most)
-    sample = mixing.sample(d)
-    assert sample.columns == d.columns and {r.doc_id for r in sample.collect()} == {r.doc_id for r in rows if r.kept}
+        u = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:13], 16) / 2**52
+        p = min(1, mixing.KEEP * w)
+        assert r.weight == pytest.approx(w, abs=1e-4) and r.kept == (u < p) and r.residual < 1e-5
+        assert r.probability * r.loss_weight == pytest.approx(mixing.KEEP * w, abs=2e-3)
+    sample = mixing.sample(d, topics=topics)
+    assert sample.columns == d.columns and sorted(str(r.doc_id) for r in sample.collect()) == sorted(str(r.doc_id) for r in rows if r.kept)
+    assert min(want.values()) < 0.9 and max(want.values()) > 1.1
 
 
 def test_mixing_meets_given_targets(spark):
-    d = documents(spark, [prose(random.Random(i), 30) for i in range(60)]).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 2)).withColumn("lang", F.lit("en"))
-    targets = spark.createDataFrame([("source", "s0", 0.8), ("source", "s1", 0.2), ("source", "absent", 0.5), ("lang", "en", 1.0), ("topic", "prose", 1.0)], "dim string, value string, share double")
-    r = {x.source: x.t for x in mixing.mix(d, targets).groupBy("source").agg(F.sum(F.col("weight") * F.col("n_tokens")).alias("t")).collect()}
-    assert r["s0"] / r["s1"] == pytest.approx(4, abs=1e-3)
+    d = documents(spark, [prose(random.Random(i), 30) for i in range(60)]).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3)).withColumn("lang", F.lit("en"))
+    targets = spark.createDataFrame([("source", "s0", 0.8), ("source", "s1", 0.2), ("source", "absent", 0.5), ("lang", "en", 1.0), ("topic", "", 1.0)], "dim string, value string, share double")
+    r = {x.source: x.t for x in mixing.mix(d, targets, topics={}).groupBy("source").agg(F.sum(F.col("weight") * F.col("n_tokens")).alias("t")).collect()}
+    assert r["s0"] / r["s1"] == pytest.approx(4, abs=1e-3) and r["s2"] == 0
 
 
 # Top-k
@@ -536,7 +559,7 @@ def test_passages_of_rows_that_share_an_id(spark):
 
 def test_empty_tables(spark):
     none = documents(spark, ["a"]).where("false")
-    for run in (quality_rules.quality_rules, token_counts.count_tokens, mixing.mix, secret_scans.scan, bpe_automaton.digests, quality_rules.keep_good, mixing.sample, secret_scans.redact):
+    for run in (quality_rules.quality_rules, token_counts.count_tokens, mixing.mix, secret_scans.scan, bpe_automaton.digests, quality_rules.keep_good, mixing.sample, secret_scans.redact, substring_dedup.remove):
         assert run(none).count() == 0
 
 
