@@ -1,20 +1,22 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-The automaton reads tokens: its states are sets of tokens that may come next, and its language is
-the set of token sequences that the merges produce. It starts with one state in which every base
-symbol may follow every other. Then each merge (u, v) in turn adds one gadget:
+The automaton reads tokens, and its language is the set of token sequences that the merges produce. It starts
+with one state for every base symbol (the state behind it), in which every base symbol may follow. Then each merge
+(u, v) in turn adds one gadget:
 
-- the state behind u gets a copy without the arc v, since u v is now always merged,
-- wherever an arc u leads to it, a new arc labelled uv leads to the state behind v.
+- a new state, the one behind uv, is a copy of the state behind v,
+- the state behind u loses the arc v, since u v is now always merged,
+- wherever there is an arc u, there is an arc uv as well.
 
-A gadget only changes what may follow u, and the state behind uv starts as what follows v at that
-time. So the state behind a token is stored as its origin (the state behind v, as of the merge's
-rank) and the arcs removed since, and an arc uv is there where u was. `allowed` reads this
-off, and the transitions that texts use are kept in a table (state, label) -> yes or no.
+All arcs of the automaton would be 49,408 times as many labels, so a state's default is to have every arc, and the
+table holds the labels it lost. Labels are numbered so that these are few intervals: by a walk of the tree in which the
+parent of uv is u, younger children first. The arc v takes with it the arcs of all labels that begin with v and were made since
+(they would be copies of it): v's own number and those of its younger children, one interval. A state has 18 intervals on average,
+which are merged, and are looked up by bisection: this is the transition table, compiled once for each Python worker.
 
-Encoding goes through a word once, from left to right: for each place there is exactly one token
-that ends a correct sequence there, found by following arcs from the tokens that end sequences
-at earlier places. Decoding emits the labels of the arcs.
+Encoding goes through a word once, from left to right: the labels that end at each place come from a
+label trie with failure links, and for each place there is exactly one of them that the table allows behind the token
+that ends at its start. Decoding emits the labels of the arcs.
 
 Texts are normalised and cut into words as the tokenizer's file says. A text with characters
 beyond those for which the two steps are built here is normalised and cut by the library itself; merges are
@@ -32,6 +34,8 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -41,10 +45,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table
 
-#: Words whose encodings, and arcs whose presence, a Python worker keeps at most: some 100 MB.
+#: Words whose encodings a Python worker keeps at most, in each of two generations: some 50 MB.
 CACHED_WORDS = 100_000
-CACHED_ARCS = 300_000
-NEVER = 1 << 40
+#: Stands for the end of a word in the label trie: a private character, which is no byte's symbol.
+END = "\ue000"
 
 
 def byte_symbols() -> list[str]:
@@ -55,7 +59,7 @@ def byte_symbols() -> list[str]:
 
 
 class Automaton:
-    """left, right and rank of each token, and the transition table; built from a tokenizer's JSON."""
+    """The labels of a tokenizer's JSON, and the transition table that its merges make."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -66,74 +70,112 @@ class Automaton:
         self.labels = {i: t for t, i in self.ids.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.labels |= {i: t for t, i in self.special.items()}
-        n = max(self.labels) + 1
-        self.left, self.right, self.born = [-1] * n, [-1] * n, [-1] * n
-        #: Arcs that gadgets removed: (u, v) to the rank of their merge.
-        self.removed: dict[int, int] = {}
-        self.n = n
-        self.table: dict[int, bool] = {}
-        for rank, merge in enumerate(model["merges"]):
-            a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self._gadget(rank, self.ids[a], self.ids[b], self.ids[a + b])
-        self.longest = max(len(t.removesuffix(self.suffix)) for t in self.ids)
+        self.n = max(self.labels) + 1
         self.symbols = byte_symbols()
-        inner, last = {}, {}
+        merges = []
+        for merge in model["merges"]:
+            a, b = merge if isinstance(merge, list) else merge.split(" ")
+            merges.append((self.ids[a], self.ids[b], self.ids[a + b]))
+        dead: set[int] = set()  # merges whose arc was gone when their turn came: they make no token
+        while found := self._compile(merges, dead):
+            dead |= found
+        self._label_trie()
+
+    def _compile(self, merges: list[tuple[int, int, int]], dead: set[int]) -> set[int]:
+        """Numbers the labels and adds the gadgets; returns the merges that turn out to be dead."""
+        self.born = [-1] * self.n
+        children: dict[int, list[int]] = defaultdict(list)
+        for rank, (u, _, uv) in enumerate(merges):
+            if rank not in dead and self.born[uv] < 0:
+                self.born[uv] = rank
+                children[u].append(uv)
+        self.number = number = [0] * self.n
+        stop = [0] * self.n  # behind the numbers of a label's subtree
+        at, todo = 0, [t for t in range(self.n) if self.born[t] < 0]
+        while todo:
+            t = todo.pop()
+            if t < 0:
+                stop[~t] = at
+                continue
+            number[t], at = at, at + 1
+            todo.append(~t)
+            todo += children[t]  # the youngest is on top
+        ages = {t: [-self.born[c] for c in reversed(own)] for t, own in children.items()}
+
+        lost: list[list[tuple[int, int]]] = [[] for _ in range(self.n)]
+        for rank, (u, v, uv) in enumerate(merges):
+            if rank in dead:
+                continue
+            x = number[v]
+            if any(a <= x < b for a, b in lost[u]):
+                if self.born[uv] == rank:
+                    return {rank}
+                continue
+            own = children.get(v, ())
+            younger = bisect_right(ages[v], -rank) if own else 0
+            end = number[own[-1 - younger]] if younger < len(own) else stop[v]
+            if self.born[uv] == rank:
+                lost[uv] = lost[v].copy()
+            lost[u].append((x, end))
+        self.first, self.bounds = array("i", [0]), array("i")
+        for intervals in lost:
+            last = -1
+            for a, b in sorted(intervals):
+                if a <= last:
+                    last = self.bounds[-1] = max(last, b)
+                else:
+                    self.bounds.extend((a, b))
+                    last = b
+            self.first.append(len(self.bounds))
+        return set()
+
+    def _label_trie(self) -> None:
+        import ahocorasick
+
+        trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.length = [0] * self.n
         for t, i in self.ids.items():
-            if self.suffix and t.endswith(self.suffix):
-                last[t.removesuffix(self.suffix)] = i
-            else:
-                inner[t] = i
-        self.inner, self.last = inner, last if self.suffix else inner
-
-    def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
-        if self.removed.get(u * self.n + v) is None:
-            lives = self.allowed(u, v, rank)
-            self.removed[u * self.n + v] = rank
-            if lives and self.left[uv] < 0:
-                self.left[uv], self.right[uv], self.born[uv] = u, v, rank
-
-    def allowed(self, t: int, x: int, before: int = NEVER) -> bool:
-        """Whether the state behind t has an arc x, when only the merges of rank < before are in."""
-        left, right, born, removed, n = self.left, self.right, self.born, self.removed, self.n
-        while True:
-            rank = removed.get(t * n + x)
-            if rank is not None and rank < before:
-                return False
-            # The younger of the two was made last: what held when it was made decides.
-            if born[t] > born[x]:
-                before, t = born[t], right[t]
-            elif born[x] >= 0:
-                before, x = born[x] + 1, left[x]  # for u u -> uu, the state behind u has lost the arc u by then
-            else:
-                return True
+            last = bool(self.suffix) and t.endswith(self.suffix)
+            label = t.removesuffix(self.suffix) if last else t
+            if self.born[i] >= 0 or len(label) == 1:
+                self.length[i] = len(label) + last
+                trie.add_word(label + END if last else label, i)
+        trie.make_automaton()
+        self.trie = trie
 
     def step(self, t: int, x: int) -> bool:
-        key = t * self.n + x
-        found = self.table.get(key)
-        if found is None:
-            if len(self.table) >= CACHED_ARCS:
-                self.table.clear()
-            found = self.table[key] = self.allowed(t, x)
-        return found
+        """Whether the state behind t has an arc x (which leads to the state behind x)."""
+        lo = self.first[t]
+        return not (bisect_right(self.bounds, self.number[x], lo, self.first[t + 1]) - lo) & 1
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a word given in byte symbols."""
-        n, longest, inner, step = len(word), self.longest, self.inner, self.step
+        t = self.ids.get(word + self.suffix, -1)
+        if t >= 0 and self.length[t]:  # the sequence of this one token is in the language
+            return [t]
+        if self.suffix:
+            word += END
+        n = len(word)
+        length, number, first, bounds, find = self.length, self.number, self.first, self.bounds, bisect_right
         ends = [-1] * (n + 1)  # the token that ends the correct sequence of word[:i]
-        for i in range(1, n + 1):
-            known = self.last if i == n else inner
-            for j in range(max(0, i - longest), i):
-                t = known.get(word[j:i])
-                if t is None or (j and ends[j] < 0):
+        for end, x in self.trie.iter(word):
+            i = end + 1
+            if ends[i] >= 0 or (i == n - 1 and n > 1 and self.suffix):  # with word ends, the last symbol has its own labels
+                continue
+            j = i - length[x]
+            if j:
+                t = ends[j]
+                if t < 0:
+                    continue
+                lo = first[t]
+                if (find(bounds, number[x], lo, first[t + 1]) - lo) & 1:
                     continue
-                if (self.born[t] >= 0 or i - j == 1) and (j == 0 or step(ends[j], t)):
-                    ends[i] = t
-                    break
+            ends[i] = x
         out, i = [], n
         while i > 0:
             t = ends[i]
             out.append(t)
-            i -= len(self.labels[t].removesuffix(self.suffix)) if i == n else len(self.labels[t])
+            i -= length[t]
         return out[::-1]
 
 
@@ -200,7 +242,6 @@ class Encoder:
     def rest(self) -> None:
         """Between tasks an idle worker keeps the newer words only."""
         self.older = {}
-        self.automaton.table.clear()
 
 
 @lru_cache(2)

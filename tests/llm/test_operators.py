@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -407,6 +408,43 @@ def test_bpe_matches_the_library(spark, edges):
     assert by_id(bpe_automaton.digests(edges))[0].n_tokens == 0
 
 
+def test_table_of_the_automaton():
+    from tokenizers import Tokenizer
+
+    a, rng = bpe_automaton.encoder(bpe_automaton.default_path()).automaton, random.Random(20)
+    library = Tokenizer.from_file(bpe_automaton.default_path())
+    inner = [i for t, i in a.ids.items() if a.length[i] and t.isascii() and t.isalpha() and t.islower()]
+    last = [i for t, i in a.ids.items() if a.length[i] and t.endswith(a.suffix) and t.isascii() and t.removesuffix(a.suffix).isalpha() and t.islower()]
+    for _ in range(4000):
+        t, x = rng.choice(inner), rng.choice(last)
+        word = a.labels[t] + a.labels[x].removesuffix(a.suffix)
+        assert a.step(t, x) == (library.encode(word, add_special_tokens=False).ids == [t, x]), word
+
+
+def test_gadgets_by_hand(tmp_path):
+    merges = [["a", "b"], ["a", "a"], ["aa", "b"], ["ab", "a"]]
+    vocabulary = {t: i for i, t in enumerate(["a", "b", "ab", "aa", "aab", "aba"])}
+    path = tmp_path / "bpe.json"
+    path.write_text(json.dumps({"model": {"vocab": vocabulary, "merges": merges, "end_of_word_suffix": None}, "added_tokens": [], "normalizer": None, "pre_tokenizer": None}))
+    a = bpe_automaton.Automaton(str(path))
+
+    def merged(word):
+        w = list(word)
+        for u, v in merges:
+            i = 0
+            while i + 1 < len(w):
+                if w[i : i + 2] == [u, v]:
+                    w[i : i + 2] = [u + v]
+                i += 1
+        return [vocabulary[x] for x in w]
+
+    assert a.born[vocabulary["aab"]] == -1  # a b is merged first, so this merge never has its turn
+    for n in range(1, 9):
+        for bits in range(2**n):
+            word = "".join("ab"[bits >> k & 1] for k in range(n))
+            assert a.encode_word(word) == merged(word), word
+
+
 def test_word_cache_keeps_results(monkeypatch):
     monkeypatch.setattr(bpe_automaton, "CACHED_WORDS", 3)
     e, f = bpe_automaton.Encoder(bpe_automaton.default_path()), bpe_automaton.encoder(bpe_automaton.default_path())
