@@ -256,13 +256,45 @@ def test_topk_against_brute_force(spark, lists, monkeypatch):
 
 
 def test_topk_of_few_and_none(spark):
-    d = spark.createDataFrame([(0, [1.0]), (10, [2.0]), (11, [3.0])], "vec_id long, embedding array<float>")
+    d = spark.createDataFrame([(0, [1.0]), (10, [2.0]), (11, [3.0]), (None, [9.0])], "vec_id long, embedding array<float>")
     q = topk_search.quantised(d)
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in topk_search.top_k(q, q.where("vec_id % 10 = 0")).collect()) == [(0, 1, 11), (0, 2, 10), (10, 1, 11), (10, 2, 0)]
     none = q.where("false")
     assert topk_search.top_k(none, none).count() == 0
 
 
+def test_topk_of_repeated_and_large(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", 4)
+    monkeypatch.setattr(topk_search, "GATHER_BLOCKS", 1)
+    # One block has small components and the other side large ones; sums pass 53 bits; ids pass 2^43.
+    rng = random.Random(21)
+    rows = [(i * 10**13, [rng.randint(-9, 9) for _ in range(8)]) for i in range(12)] + [(5, [rng.randint(2**23, 2**24) * 2 + 1 for _ in range(8)]) for _ in range(3)]
+    d = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    queries = [(0, rows[0][1]), (0, rows[1][1]), (5, rows[-1][1])]
+    got = topk_search.top_k(d, spark.createDataFrame(queries, "vec_id long, v array<long>")).collect()
+    want = []
+    for i, q in queries:  # two queries with one id have ranks of their own
+        found = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in rows if j != i)[:5]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    kinds = [topk_search.exact(np.full((1, 4), x), np.full((1, 4), x))[0].dtype for x in (2**20, 2**30, 2**40)]
+    assert kinds == [np.float64, np.int64, object]
+
+
+def test_threshold_prunes():
+    rng = np.random.default_rng(22)
+    c, q = rng.integers(-20, 20, (500, 16)) * rng.choice([1, 1, 1, 40], (500, 1)), rng.integers(-20, 20, (30, 16)).astype(np.float64)
+    c = c[np.argsort((c**2).sum(axis=1))].astype(np.float64)
+    totals = q @ c.T
+    cuts = [int(x) for x in np.sort(totals, axis=1)[:, -5]]
+    computed = 0
+    for part in np.array_split(np.arange(500), 10):
+        for r, n, found, sums in topk_search.collect(q, c[part], cuts, 2):
+            computed += n
+            assert sorted(found.tolist()) == np.flatnonzero(totals[r, part] >= cuts[r]).tolist() and (sums == totals[r, part[found]]).all()
+    assert computed < totals.size / 2
+
+
 # Sharding
 
 
