@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -25,7 +25,9 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         jumped = least.join(up, "component").select("id", F.least("component", "up").alias("component"))
         new = settle(jumped, "labels")
         moved = new.alias("n").join(labels.alias("o"), "id").where(F.col("n.component") != F.col("o.component")).limit(1).count()
+        discard(least), discard(labels)
         labels = new
         if not moved:
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -24,9 +24,10 @@ Two documents link when the Jaccard similarity of their sets is 0.8 or more, exa
    tasks. So no link between components is lost, and copies of one text never make pairs.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing. A text of one to four
-words has one shingle, all its words. Repeated rows are copies. Rows that share a doc_id but not
-a text are taken for one of the texts. An empty table gives an empty result. Columns other
-than doc_id and text are ignored.
+words has one shingle, all its words. Rows that share a doc_id are one document: its links are those of all its
+texts, so they are in one component (for the join each text of such an id gets an id of its own). doc_id is a whole number; rows
+without one link with nothing, have no component, and stay in `keep_one`, which else keeps one row of each component. An empty
+table gives an empty result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -392,10 +393,8 @@ def _between_components(groups: DataFrame, labels: DataFrame, sketches: DataFram
     return near.unionByName(met.join(tested, ["center", "doc_id"], "left_anti")).distinct()
 
 
-def jaccard_components(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    spark = docs.sparkSession
-    rows, repeated = _sets(docs)
+def _components(docs: DataFrame, rows: DataFrame, repeated: DataFrame, heavy: int, same: DataFrame | None = None) -> DataFrame:
+    """doc_id, n, component of every row of a table in which a doc_id has one text; `same` are more links (a, b)."""
     classes = settle(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id")), "classes")
     members = settle(rows.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc_id", "n", "class_id"), "members")
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -412,16 +411,53 @@ def jaccard_components(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     stars = settle(_stars(groups), "stars")
     links = settle(_linked(settle(_sketched(stars, sketches), "pairs"), docs), "links")
     between = settle(_between_components(groups, components(links), sketches, stars), "pairs")
-    more = settle(_linked(between, docs), "links")
-    labels = settle(components(links.unionByName(more)), "components")
+    every = links.unionByName(settle(_linked(between, docs), "links"))
+    if same is not None:
+        of = members.where("class_id IS NOT NULL").select("doc_id", "class_id").distinct()
+        ends = same.join(of.withColumnsRenamed({"doc_id": "a", "class_id": "ca"}), "a").join(of.withColumnsRenamed({"doc_id": "b", "class_id": "cb"}), "b")
+        every = every.unionByName(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    labels = settle(components(every), "components")
     out = members.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    rows, repeated = _sets(docs)
+    several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("n", "s1", "s2").alias("k")).where("k > 1").select("doc_id")
+    several = settle(several, "several")
+    if not several.limit(1).count():
+        return _components(docs, rows, repeated, heavy)
+    # Ids with several texts: each of these texts gets an id of its own and a link to the others.
+    whose = docs.join(several.withColumn("known", F.lit(True)), "doc_id", "left").select(
+        F.col("doc_id").alias("own"), F.when(F.col("known"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("doc_id"), "text"
+    )
+    whose = settle(whose, "several-texts")
+    alone = whose.select("doc_id", "text")
+    of = settle(whose.where("own <> doc_id").select("own", "doc_id").distinct(), "several-ids")
+    same = of.join(of.groupBy("own").agg(F.min("doc_id").alias("a")), "own").select("a", F.col("doc_id").alias("b"))
+    rows, repeated = _sets(alone)
+    out = settle(_components(alone, rows, repeated, heavy, same).join(of, "doc_id", "left"), "several-components")
+    out = out.select(F.coalesce("own", "doc_id").alias("doc_id"), "n_shingles", "component_id")
+    # A document without words may be one with words elsewhere: what its texts have in common is the id.
+    least = out.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    out = out.join(settle(least, "several-least"), "component_id", "left")
+    best = settle(out.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("least").alias("best")), "several-best")
+    return out.join(best, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("best", "least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component, with all columns."""
-    others = jaccard_components(docs, heavy).where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
-    return by_ids(docs, settle(others, "others"), "left_anti").select(*docs.columns)
+    """The rows of docs with the smallest doc_id of their component, one for each, with all columns."""
+    found = jaccard_components(docs, heavy)
+    kind = docs.schema["doc_id"].dataType
+    others = found.where("doc_id <> component_id").select(F.col("doc_id").cast(kind)).distinct()
+    kept = by_ids(docs, settle(others, "others"), "left_anti").select(*docs.columns)
+    again = settle(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").cast(kind)), "again")
+    if not again.limit(1).count():
+        return kept
+    one = by_ids(kept, again, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
+    return by_ids(kept, again, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

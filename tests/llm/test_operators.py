@@ -555,6 +555,17 @@ def test_jaccard_threshold_is_exact():
         assert all(o for o, w in zip(ok, want, strict=True) if w)
 
 
+def test_jaccard_of_rows_that_share_an_id(spark):
+    rng = random.Random(23)
+    x, y, z = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(1, x), (2, x), (2, y), (3, y + " more"), (4, z), (4, z), (5, z + " more"), (6, None), (6, y), (7, ""), (8, ""), (None, x), (9, prose(rng, 50))]
+    d = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, component string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_jaccard.jaccard_components(d).collect())
+    component = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 1, 7: 7, 8: 8, 9: 9, None: 0}
+    assert got == sorted((i or 0, len(shingle_set(t)), component[i]) for i, t in rows)
+    assert sorted(r.doc_id or 0 for r in ngram_jaccard.keep_one(d).collect()) == [0, 1, 4, 7, 8, 9]
+
+
 def test_jaccard_empty_table(spark):
     assert ngram_jaccard.jaccard_components(documents(spark, ["a"]).where("false")).count() == 0
 
