@@ -4,10 +4,12 @@ Documents that share a link key (by default: equal texts) are linked. Every docu
 shard drawn from its id. Then, again and again, the members of a key count their shards (summed
 before the shuffle), and members outside the key's best shard ask to move there: the one with most
 members of those with room for the others; one more shard, drawn anew each round, is a candidate
-too. A shard takes only as many as its quota has room for. At the end an exact step makes the counts of all shards
+too. A shard takes only as many as its quota has room for. This ends when no member asks to move, or when a round
+has, for `PATIENCE` rounds, not brought down the number of those that do. Then an exact step makes the counts of all shards
 equal or one apart: full shards give up documents, unlinked ones first, and the others take them.
 
-Law: `rows`. A group of links that fits a shard's quota ends in one shard; a larger one is cut.
+Law: `rows`. A group of links larger than a shard is cut; so may be a group that no shard has room for, or
+that the exact step takes documents from. `cut_groups` counts them.
 
 Only numbers per shard (a parameter, not data) reach the driver. Ranks within a shard are taken in
 buckets of ids whose sizes are then summed, so no shard's rows meet in one task.
@@ -24,20 +26,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle, table
+from .common import discard, settle, table
 
-SHARDS, ROUNDS, SLACK = 24, 8, 0.25
+SHARDS, SLACK = 24, 0.25
+#: Rounds without fewer members that ask to move after which propagation ends.
+PATIENCE = 4
 #: Rows of a shard that one bucket of its ranking may hold, on average.
 BUCKET_ROWS = 500_000
 
 
 def _ranked(df: DataFrame, by: str, first: Column, buckets: int) -> DataFrame:
     """Adds `rank` (from 0) within each value of `by`; rows with a smaller `first` (0 or 1) come first."""
-    d = df.withColumn("_b", first.cast("int") * buckets + F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets)).cast("int"))
+    d = df.withColumn("_b", first.cast("int") * buckets + F.pmod(F.xxhash64("doc_id", "key", "_row"), F.lit(buckets)).cast("int"))
     counts = d.groupBy(by, "_b").count()
     before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(by, "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
-    within = Window.partitionBy(by, "_b").orderBy("key", "doc_id")
+    within = Window.partitionBy(by, "_b").orderBy("key", "doc_id", "_row")
     d = d.withColumn("_r", F.row_number().over(within) - 1)
     return d.join(offsets, [by, "_b"]).withColumn("rank", F.col("_o") + F.col("_r")).drop("_o", "_r", "_b")
 
@@ -52,18 +56,21 @@ def _counts(df: DataFrame, column: str, shards: int) -> list[int]:
 
 
 def balanced_label_propagation(
-    nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK
+    nodes: DataFrame, shards: int = SHARDS, slack: float = SLACK, patience: int = PATIENCE
 ) -> DataFrame:
     """nodes: doc_id, key (equal keys link) and any more columns. Adds shard (int) and slot (long)."""
+    columns = nodes.columns
     sizes = settle(nodes.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("linked")), "linked")
     start = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(shards)).cast("int")
     d = nodes.join(sizes, "key", "left").fillna(False, ["linked"]).withColumn("shard", start)
-    d = settle(d, "labels")
+    d = settle(d.withColumn("_row", F.monotonically_increasing_id()), "labels")  # tells repeated rows apart, and stays as it is written
     counts = _counts(d, "shard", shards)
     total = sum(counts)
     buckets = max(16, total // (shards * BUCKET_ROWS))
     quota = int(total / shards * (1 + slack)) + 1
-    for turn in range(rounds):
+    history: list[int] = []
+    turn = 0
+    while True:
         room = [max(0, quota - c) for c in counts]
         votes = d.where("linked").groupBy("key", "shard").count()
         drawn = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(shards)).cast("int").alias("shard")
@@ -81,13 +88,17 @@ def balanced_label_propagation(
         best = everyone.select("key", F.array_max(rated)["shard"].alias("target"))
         wish = d.join(settle(best, "votes"), "key", "left").withColumn("moving", F.coalesce(F.col("target") != F.col("shard"), F.lit(False)))
         wish = settle(wish, "wishes")
-        if not wish.where("moving").limit(1).count():
+        # Members outside their key's best shard: what is left to do. It cannot fall for ever, so this ends.
+        history.append(wish.where("moving").count())
+        if not history[-1] or len(history) > patience and min(history[-patience:]) >= min(history[:-patience]):
+            discard(wish)
             break
         movers = _ranked(wish.where("moving"), "target", F.lit(0), buckets)
         taken = F.when(F.col("rank") < _lookup(room, F.col("target")), F.col("target")).otherwise(F.col("shard"))
         moved = movers.withColumn("shard", taken.cast("int"))
-        d = settle(wish.where("NOT moving").select(*d.columns).unionByName(moved.select(*d.columns)), "labels")
-        counts = _counts(d, "shard", shards)
+        old, d = d, settle(wish.where("NOT moving").select(*d.columns).unionByName(moved.select(*d.columns)), "labels")
+        counts, turn = _counts(d, "shard", shards), turn + 1
+        discard(old), discard(wish)
     # Exact quotas: the fullest shards get the rows that are left over.
     order = sorted(range(shards), key=lambda s: (-counts[s], s))
     goal = [total // shards] * shards
@@ -105,7 +116,13 @@ def balanced_label_propagation(
         out = ranked.withColumn("_p", F.when(F.col("rank") < _lookup(spare, F.col("shard")), place))
         shard = F.when(F.col("_p").isNotNull(), _lookup(takers, taker)).otherwise(F.col("shard")).cast("int")
         d = settle(out.withColumn("shard", shard).select(*d.columns), "labels")
-    return _ranked(d, "shard", F.lit(0), buckets).withColumnRenamed("rank", "slot")
+    return _ranked(d, "shard", F.lit(0), buckets).select(*columns, "shard", F.col("rank").alias("slot"))
+
+
+def cut_groups(sharded: DataFrame) -> DataFrame:
+    """key, n and n_shards of the groups of links that are in more than one shard."""
+    parts = sharded.groupBy("key", "shard").count()
+    return parts.groupBy("key").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("n_shards")).where("n_shards > 1")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
