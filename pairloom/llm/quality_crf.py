@@ -7,12 +7,13 @@ quality is the mean of the marginals, weighted by the lines' characters that are
 by a logistic curve.
 
 Training reads a bounded sample: the `max_train` labelled documents (not held out) that a hash of
-their ids puts first. Their line features are made in tasks, and only these reach the driver.
+their ids puts first, of these the ones of at most `LINES_A_DOCUMENT` lines, and as many as have `MAX_LINES` lines together.
+Their line features are made in tasks, and only these reach the driver.
 Scoring is one pass over whole texts without a shuffle.
 
 Edge cases: null, empty and blank texts score 0. If the training rows have one class only, or
 there are none, every other text scores the share of label 1 (0.5 without rows). Labels other than
-0 and 1 are not used. Repeated rows give repeated results; an empty table an empty one. Columns
+0 and 1 are not used, nor are those of a document with both. Of rows that share a doc_id the smallest text is learnt from. Repeated rows give repeated results; an empty table an empty one. Columns
 other than doc_id and text are ignored.
 """
 
@@ -26,10 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table
 
 MAX_TRAIN, THRESHOLD = 4000, 0.3
+MAX_LINES, LINES_A_DOCUMENT = 200_000, 2000
 STEPS, RATE, L2 = 150, 0.1, 1e-3
 
 UPPER, LOWER, DIGIT, SPACE, SYMBOL, PIPE, BANG, STOP, COMMA, OTHER = range(10)
@@ -219,8 +222,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Crf:
-    rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    chosen = rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # the bound of the sample
+    rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
+    chosen = rows.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # the bound of the sample
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    sample = sample.withColumn("n_lines", n_lines).where(F.col("n_lines") <= LINES_A_DOCUMENT)
+    in_order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # of at most max_train rows
+    fits = sample.select("doc_id", F.sum("n_lines").over(in_order).alias("so_far")).where(F.col("so_far") <= MAX_LINES).select("doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,8 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Crf
             columns = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["y", "x", "w"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = sample.select("text", F.col("quality").cast("int")).mapInArrow(features, "y int, x binary, w binary").collect()
+    found = sample.join(F.broadcast(fits), "doc_id").select("text", F.col("quality").cast("int")).mapInArrow(features, "y int, x binary, w binary").collect()
     documents = [(np.frombuffer(r.x, dtype=np.float32).reshape(-1, 3 * N_FEATURES), np.frombuffer(r.w, dtype=np.float32), r.y) for r in found]
     documents.sort(key=lambda d: (len(d[0]), d[0].tobytes()))
     return fit(documents)

@@ -15,7 +15,8 @@ words can be counted one by one: sums of whole scores are exact. If some piece d
 no whole number, texts are counted whole. Words repeat, so a Python worker keeps the results of a
 bounded number of them.
 
-The default vocabulary is the pieces and scores of a public SentencePiece file.
+The default vocabulary is the pieces and scores of a public SentencePiece file. That is a BPE model, whose scores are
+ranks and no log probabilities (no unigram file is at hand): the segmentation is the unigram model's best under these scores.
 
 Edge cases: a null or empty text has 0 tokens and score 0. Repeated rows give repeated results; an
 empty table an empty one. Columns other than doc_id and text are ignored.
