@@ -30,7 +30,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens meet the target shares of sources, languages and topics."""
+    """A sample whose tokens, weighted by loss_weight, meet the target shares of sources, languages and topics."""
     return mixing.sample(docs)
 
 
@@ -45,7 +45,7 @@ STAGES = [
     ("n-gram Jaccard join", one_of_each),
     ("secret scans", without_secrets),
     ("mixing sources", mixed),
-    ("BPE encoding", token_ids),
+    ("BPE encoding and decoding", token_ids),
 ]
 
 #: Neither the similarity join nor the encoding can be expressed in SQL.
