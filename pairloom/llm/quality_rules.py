@@ -82,32 +82,29 @@ def _key() -> Column:
 
 
 def frequent_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """key (of _key) and gone: the hashes of the lines over the limit that the rows of this key lose."""
-    hashes = F.array_distinct(F.transform(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), normalise), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    lines = settle(docs.select(_key().alias("key"), F.explode(hashes).alias("line")).select("key.*", "line"), "lines")
-    # First by rows, summed before the shuffle: no line below the limit can pass it by documents.
+    """key (of _key), what the rows of this key lose by the limit: n_lost, words_lost, chars_lost (line feeds included), and gone, the lines' hashes."""
+    own = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.struct(normalise(x).alias("v"), (F.length(x) + 1).alias("chars")))
+    n_words = lambda v: F.length(v) - F.length(F.replace(v, F.lit(" "), F.lit(""))) + 1
+    found = F.transform(F.filter(own, lambda x: x["v"] != ""), lambda x: F.struct(F.xxhash64(x["v"]).alias("line"), n_words(x["v"]).alias("words"), x["chars"].alias("chars")))
+    lines = settle(docs.select(_key().alias("key"), F.posexplode(found).alias("pos", "l")).select("key.*", "pos", "l.*"), "lines")
+    # First by occurrences, summed before the shuffle: no line below the limit can pass it by documents.
     often = settle(lines.groupBy("host", "line").count().where(F.col("count") > limit).select("host", "line"), "often")
     held = settle(lines.join(often, ["host", "line"]), "held")
     n = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))
     over = held.groupBy("host", "line").agg(n.alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > limit)
     lost = held.join(settle(over.select("host", "line", "first"), "over"), ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    lost = lost.groupBy("doc_id", "host", "t").agg(F.collect_set("line").alias("gone"))
-    return settle(lost.select(F.struct("doc_id", "host", "t").alias("key"), "gone"), "gone")
-
-
-def judged(docs: DataFrame, limit: int, depleted_pct: int, min_words: int, repeat_pct: int) -> DataFrame:
-    """row (all columns of docs), clean (its text without the lines over the limit; null if it loses none), statistics and verdict."""
-    d = docs.select(F.struct(*docs.columns).alias("row"), _key().alias("key")).join(frequent_lines(docs, limit), "key", "left")
-    d = base_features(d.select("row", "gone", "row.text"), min_words, repeat_pct, ("row", "gone"))
-    lines, text = F.split(F.col("row.text"), "\n", -1), F.col("row.text")
-    stay = F.filter(lines, lambda x: ~F.array_contains("gone", F.xxhash64(normalise(x))))
-    d = d.withColumn("stay", F.when(F.col("gone").isNotNull(), stay))
-    d = d.withColumn("clean", F.array_join("stay", "\n"))
-    d = d.withColumn("n_lines_removed", F.coalesce(F.size(lines) - F.size("stay"), F.lit(0)).cast("long"))
-    d = d.withColumn("n_words_left", F.coalesce(F.size(words_of(F.col("clean"))).cast("long"), F.col("n_words")))
-    d = computed(d, *[c for c in d.columns if c not in ("gone", "stay")])
-    few = (F.col("n_words_left") < min_words) | (100 * F.length("clean") < (100 - depleted_pct) * F.length(text))
-    d = d.withColumn("depleted", F.coalesce(F.col("clean").isNotNull() & few, F.lit(False)))
+    once = lost.groupBy("doc_id", "host", "t", "pos", "line").agg(F.first("words").alias("words"), F.first("chars").alias("chars"))  # rows may be repeated
+    total = lambda c: F.sum(c).cast("long").alias(f"{c}_lost")
+    lost = once.groupBy("doc_id", "host", "t").agg(F.count(F.lit(1)).alias("n_lost"), total("words"), total("chars"), F.collect_set("line").alias("gone"))
+    return settle(lost.select(F.struct("doc_id", "host", "t").alias("key"), "n_lost", "words_lost", "chars_lost", "gone"), "gone")
+
+
+def _judged(base: DataFrame, depleted_pct: int, min_words: int) -> DataFrame:
+    """base (statistics, n_chars and losses, where there are any) with n_lines_removed, n_words_left, depleted and kept."""
+    none = F.lit(0).cast("long")
+    d = base.withColumn("n_lines_removed", F.coalesce("n_lost", none)).withColumn("n_words_left", F.col("n_words") - F.coalesce("words_lost", none))
+    few = 100 * F.greatest(none, F.col("text_chars") - F.col("chars_lost")) < (100 - depleted_pct) * F.col("text_chars")
+    d = d.withColumn("depleted", F.col("n_lost").isNotNull() & ((F.col("n_words_left") < min_words) | F.coalesce(few, F.lit(False))))
     return d.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
@@ -115,15 +112,22 @@ def quality_rules(
     docs: DataFrame, limit: int = LIMIT, depleted_pct: int = DEPLETED_PCT, min_words: int = MIN_WORDS, repeat_pct: int = REPEAT_PCT
 ) -> DataFrame:
     """The statistics, n_lines_removed, n_words_left, depleted, base_failed and kept of every row of docs."""
-    d = judged(docs.select("doc_id", "source", "text"), limit, depleted_pct, min_words, repeat_pct)
-    return d.select("row.doc_id", *[c for c in d.columns if c not in ("row", "clean")])
+    lost = frequent_lines(docs, limit).drop("gone")
+    d = docs.select(_key().alias("key"), F.length(F.coalesce("text", F.lit(""))).alias("text_chars"), "text")
+    d = base_features(d, min_words, repeat_pct, ("key", "text_chars")).join(lost, "key", "left")  # the texts stay where they are
+    d = _judged(d, depleted_pct, min_words)
+    return d.select("key.doc_id", *[c for c in d.columns if c not in ("key", "text_chars", "n_lost", "words_lost", "chars_lost")])
 
 
 def keep_good(
     docs: DataFrame, limit: int = LIMIT, depleted_pct: int = DEPLETED_PCT, min_words: int = MIN_WORDS, repeat_pct: int = REPEAT_PCT
 ) -> DataFrame:
     """The rows of docs that the rules keep, with all columns; text without the lines over the limit, and n_chars, if there, anew for those."""
-    d = judged(docs, limit, depleted_pct, min_words, repeat_pct).where("kept")
+    d = docs.select(F.struct(*docs.columns).alias("row"), _key().alias("key"), F.length(F.coalesce("text", F.lit(""))).alias("text_chars"), "text")
+    d = base_features(d, min_words, repeat_pct, ("row", "key", "text_chars")).where(~F.col("base_failed"))
+    d = _judged(d.join(frequent_lines(docs, limit), "key", "left"), depleted_pct, min_words).where("kept")
+    rest = F.filter(F.split(F.col("row.text"), "\n", -1), lambda x: ~F.array_contains("gone", F.xxhash64(normalise(x))))
+    d = d.withColumn("clean", F.when(F.col("gone").isNotNull(), F.array_join(rest, "\n")))
     new = {"text": F.coalesce("clean", "row.text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.coalesce(F.length("clean").cast(docs.schema["n_chars"].dataType), "row.n_chars")
