@@ -1 +1,5 @@
 """Readers and writers: pair tables, molecule blocks, lookups, datasets."""
+
+from . import datasets, lookups, molblocks, pairs
+
+__all__ = ["datasets", "lookups", "molblocks", "pairs"]

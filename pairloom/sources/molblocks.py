@@ -29,29 +29,48 @@ def _lines() -> Column:
     return F.split("block", "\r?\n", -1)
 
 
+def _number(line: Column, start: int, width: int, kind: str) -> Column:
+    return F.trim(F.substring(line, start, width)).try_cast(kind)
+
+
 def molecules(blocks: DataFrame) -> DataFrame:
-    """mol_key, name (the block's first line), n_atoms and n_bonds, valid: whether the counts can be read and met."""
-    n_atoms, n_bonds = (F.expr(f"try_cast(trim(substring(get(split(block, '\\r?\\n', -1), 3), {a}, 3)) AS int)") for a in (1, 4))
-    d = blocks.select("mol_key", "block", F.trim(F.get(_lines(), F.lit(0))).alias("name"), n_atoms.alias("n_atoms"), n_bonds.alias("n_bonds"))
-    enough = F.size(_lines()) >= 4 + F.col("n_atoms") + F.col("n_bonds")
-    return d.withColumn("valid", F.coalesce(enough & (F.col("n_atoms") > 0), F.lit(False)))
+    """mol_key, name (the block's first line), n_atoms, n_bonds, and valid: whether counts, coordinates and bonds can be read.
+
+    A block that can't be read makes no error: it is not valid, and its molecule is missing from atoms and bonds.
+    """
+    counts = F.coalesce(F.get(_lines(), F.lit(3)), F.lit(""))
+    d = blocks.select("mol_key", "block", F.trim(F.get(_lines(), F.lit(0))).alias("name"), _number(counts, 1, 3, "int").alias("n_atoms"), _number(counts, 4, 3, "int").alias("n_bonds"))
+    enough = (F.col("n_atoms") > 0) & (F.col("n_bonds") >= 0) & (F.size(_lines()) >= 4 + F.col("n_atoms") + F.col("n_bonds"))
+    placed = F.forall("_places", lambda a: a["x"].isNotNull() & a["y"].isNotNull() & a["z"].isNotNull())
+    end = lambda e: F.coalesce((e >= 0) & (e < F.col("n_atoms")), F.lit(False))
+    joined = F.forall("_bonds", lambda b: end(b["begin"]) & end(b["end"]))
+    d = d.withColumn("_ok", F.coalesce(enough, F.lit(False)))
+    d = d.withColumn("_places", F.when(F.col("_ok"), _places())).withColumn("_bonds", F.when(F.col("_ok"), _bond_fields()))
+    d = d.withColumn("valid", F.col("_ok") & F.coalesce(placed & joined, F.lit(False)))
+    return d.drop("_ok", "_places", "_bonds")
+
+
+def _places() -> Column:
+    """The coordinates of a block's atoms."""
+    lines = F.slice(_lines(), F.lit(5), F.col("n_atoms"))
+    return F.transform(lines, lambda x: F.struct(*[_number(x, 1 + 10 * i, 10, "double").alias(c) for i, c in enumerate("xyz")]))
+
+
+def _bond_fields() -> Column:
+    lines = F.slice(_lines(), F.lit(5) + F.col("n_atoms"), F.col("n_bonds"))
+    return F.transform(
+        lines, lambda x: F.struct((_number(x, 1, 3, "int") - 1).alias("begin"), (_number(x, 4, 3, "int") - 1).alias("end"), _number(x, 7, 3, "int").alias("kind"))
+    )
 
 
 def atoms(blocks: DataFrame) -> DataFrame:
     """mol_key, idx (from 0), symbol, x, y, z, formalcharge, atomic_number, is_metal of the valid blocks."""
     m = molecules(blocks).where("valid")
-    rows = m.select("mol_key", "block", F.posexplode(F.slice(_lines(), F.lit(5), F.col("n_atoms"))).alias("idx", "line"))
-    part = lambda start, n: F.trim(F.substring("line", start, n))
     charge_lines = F.filter(_lines(), lambda x: x.startswith("M  CHG"))
     numbers = F.flatten(F.transform(charge_lines, lambda x: F.slice(F.split(F.trim(F.substring(x, 10, 1000)), " +"), 1, 1000)))
-    d = rows.select(
-        "mol_key",
-        "idx",
-        part(32, 3).alias("symbol"),
-        *[part(1 + 10 * i, 10).cast("double").alias(c) for i, c in enumerate("xyz")],
-        numbers.alias("numbers"),
-    )
-    d = d.withColumn("n", F.size("numbers"))
+    symbols = F.transform(F.slice(_lines(), F.lit(5), F.col("n_atoms")), lambda x: F.trim(F.substring(x, 32, 3)))
+    d = m.select("mol_key", numbers.alias("numbers"), F.posexplode(F.arrays_zip(symbols.alias("symbol"), _places().alias("p"))).alias("idx", "a"))
+    d = d.select("mol_key", "idx", "a.symbol", "a.p.*", "numbers", F.size("numbers").alias("n"))
     last = "array_max(filter(sequence(0, n - 2, 2), i -> get(numbers, i) = cast(idx + 1 AS string)))"
     charge = F.when(F.col("n") >= 2, F.expr(f"try_cast(get(numbers, {last} + 1) AS int)"))
     number = F.nullif(F.array_position(F.array(*[F.lit(e) for e in ELEMENTS]), F.col("symbol")), F.lit(0)).cast("int")
@@ -60,15 +79,14 @@ def atoms(blocks: DataFrame) -> DataFrame:
 
 
 def bonds(blocks: DataFrame) -> DataFrame:
-    """mol_key, begin, end (from 0), bond_type, type_number and length of the valid blocks."""
-    m = molecules(blocks).where("valid")
-    lines = F.slice(_lines(), F.lit(5) + F.col("n_atoms"), F.col("n_bonds"))
-    rows = m.where("n_bonds > 0").select("mol_key", F.explode(lines).alias("line"))
-    number = lambda start: F.trim(F.substring("line", start, 3)).cast("int")
+    """mol_key, begin, end (from 0), bond_type, type_number and length of the valid blocks.
+
+    Both ends of a bond are in the block's own row, so nothing is joined.
+    """
+    m = molecules(blocks).where("valid AND n_bonds > 0").select("mol_key", _places().alias("p"), _bond_fields().alias("b"))
+    placed = F.transform("b", lambda b: F.struct(b["begin"].alias("begin"), b["end"].alias("end"), b["kind"].alias("kind"), F.get("p", b["begin"]).alias("f"), F.get("p", b["end"]).alias("t")))
+    b = m.select("mol_key", F.inline(placed))
     names = F.array(F.lit("SINGLE"), F.lit("DOUBLE"), F.lit("TRIPLE"), F.lit("AROMATIC"))
-    b = rows.select("mol_key", (number(1) - 1).alias("begin"), (number(4) - 1).alias("end"), F.coalesce(F.get(names, number(7) - 1), F.lit("OTHER")).alias("bond_type"))
-    a = atoms(blocks)
-    ends = {s: a.select("mol_key", F.col("idx").alias(c), *[F.col(x).alias(f"{s}{x}") for x in "xyz"]) for s, c in (("b", "begin"), ("e", "end"))}
-    b = b.join(ends["b"], ["mol_key", "begin"]).join(ends["e"], ["mol_key", "end"])
-    length = euclidean([F.col(f"b{x}") for x in "xyz"], [F.col(f"e{x}") for x in "xyz"])
+    b = b.withColumn("bond_type", F.coalesce(F.get(names, F.col("kind") - 1), F.lit("OTHER")))
+    length = euclidean([F.col(f"f.{x}") for x in "xyz"], [F.col(f"t.{x}") for x in "xyz"])
     return b.select("mol_key", "begin", "end", "bond_type", type_number(F.col("bond_type")).alias("type_number"), length.alias("length"))

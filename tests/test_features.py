@@ -55,6 +55,16 @@ def test_read_pairs(spark, tmp_path):
     assert ok.count() == 2 and bad.count() == 1
 
 
+def test_header_is_sniffed_for_each_file(spark, tmp_path):
+    folder = tmp_path / "some pairs"
+    folder.mkdir()
+    (folder / "a.csv").write_text("key1,key2,aux,label,tag\nA1,B2,0,1,X1\n")
+    (folder / "b.csv").write_text("A3,B4,0,2,X2\nA5,B6,0,2,X3\n")
+    (folder / "c.csv").write_text("")
+    assert sorted(r.tag for r in ps.read_pairs(spark, str(folder)).collect()) == ["X1", "X2", "X3"]
+    assert ps.read_pairs(spark, str(folder / "c.csv")).count() == 0
+
+
 def test_lookup_with_resolver(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "cas string")
     tier = spark.createDataFrame([("a", "A")], "cas string, value string")
