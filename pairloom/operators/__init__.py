@@ -1 +1,5 @@
-"""Operators on molecules, pair graphs, edge channels, datasets, networks and metrics; DataFrames in and out."""
+"""Operators on molecules, pairs of them, and networks over pair graphs."""
+
+from . import adjacency, assembly, graphconv, metrics, molecules, network, pairs, ranges, scoring, training
+
+__all__ = ["adjacency", "assembly", "graphconv", "metrics", "molecules", "network", "pairs", "ranges", "scoring", "training"]

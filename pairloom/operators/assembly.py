@@ -56,6 +56,17 @@ def samples(data: Dataset) -> DataFrame:
     return d.select(*data.graphs.columns, F.col("v.features").alias("x"), F.coalesce("e.src", none).alias("src"), F.coalesce("e.dst", none).alias("dst"))
 
 
+def reversed_samples(rows: DataFrame) -> DataFrame:
+    """The same pairs (rows of `samples`) in the other order: the second graph's nodes come first."""
+    # Under names of their own: in a lambda, n1 would be the n1 that the same select makes.
+    rows_ = rows.withColumns({"_n1": F.col("n1").cast("int"), "_n2": F.col("n2").cast("int")})
+    n1, n2 = F.col("_n1"), F.col("_n2")
+    moved = lambda c: F.transform(c, lambda i: F.when(i < n1, i + n2).otherwise(i - n1).cast("int")).alias(c)
+    x = F.concat(F.slice("x", n1 + 1, n2), F.slice("x", F.lit(1), n1)).alias("x")
+    new = {"n1": F.col("n2").alias("n1"), "n2": F.col("n1").alias("n2"), "x": x, "src": moved("src"), "dst": moved("dst")}
+    return rows_.select(*[new.get(c, F.col(c)) for c in rows.columns])
+
+
 def node_mask(n: Column, node_id: Column) -> Column:
     return (node_id < n).cast("float")
 
@@ -92,17 +103,17 @@ def split(rows: DataFrame, key: str = "graph_id", seed: int = 42, tenths: int =
     return rows.where(~held), rows.where(held)
 
 
-def batches(rows: DataFrame, size: int, seed: int = 42, key: str = "graph_id", drop_last: bool = False, parts: int = 64) -> DataFrame:
-    """rows with batch: a seeded shuffle cut into batches of `size`.
+def batches(rows: DataFrame, size: int, seed: int = 42, key: str = "graph_id", drop_last: bool = False) -> DataFrame:
+    """rows with batch: a seeded shuffle (the order of md5 of seed and key) cut into batches of `size`.
 
-    Rows are dealt to `parts` by hash and numbered within them, behind the rows of the parts before, so no single task
-    orders all rows. Only the last batch of all may be smaller; drop_last removes it.
+    Rows are dealt to 4096 parts by the first digits of the md5 and numbered within them, behind the rows of the parts
+    before, so no single task orders all rows. Only the last batch of all may be smaller; drop_last removes it.
     """
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    d = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(parts)).cast("int"))
+    d = rows.withColumn("_part", F.substring(draw, 1, 3))
     every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = d.groupBy("_part").count()  # at most `parts` rows
+    counts = d.groupBy("_part").count()  # at most 4096 rows
     offsets = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"), F.sum("count").over(every).alias("_all"))
     d = d.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(draw, key)) - 1).join(F.broadcast(offsets), "_part")
     d = d.withColumn("_batch", F.floor((F.col("_before") + F.col("_place")) / size)).withColumn("batch", F.col("_batch").cast("string"))

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranges import before_row
 
 
 def _pair_counts(rows: DataFrame) -> DataFrame:
@@ -101,6 +102,5 @@ def best_epoch(log: DataFrame) -> DataFrame:
 
 def improvements(log: DataFrame) -> DataFrame:
     """The epochs at which a checkpoint is written: score above all before and above 0. The log has a row an epoch."""
-    before = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    d = log.withColumn("_b", F.coalesce(F.max("score").over(before), F.lit(0.0)))
-    return d.where(F.col("score") > F.greatest(F.col("_b"), F.lit(0.0))).select("epoch", "score")
+    d = before_row(log, "epoch", F.col("score"), "_b", largest=True)
+    return d.where(F.col("score") > F.greatest(F.coalesce("_b", F.lit(0.0)), F.lit(0.0))).select("epoch", "score")

@@ -25,9 +25,10 @@ class Dataset:
 
 
 def save(data: Dataset, path: str) -> None:
-    """All three tables are written by graph, so that later joins on graph_id read what lies together."""
+    """All three tables are written in ranges of graph_id, sorted by it: a filter on graph_id reads few files and row groups."""
     for name in ("graphs", "nodes", "edges"):
-        getattr(data, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        rows = getattr(data, name)
+        rows.repartitionByRange("graph_id").sortWithinPartitions("graph_id").write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load(spark: SparkSession, path: str) -> Dataset:

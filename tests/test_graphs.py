@@ -128,17 +128,17 @@ def test_split_and_batches(spark):
     d = spark.range(1000).select(F.col("id").alias("graph_id"))
     train, held = assembly.split(d)
     assert train.count() + held.count() == 1000 and 60 < held.count() < 140
-    b = assembly.batches(d, 16, parts=4)
+    b = assembly.batches(d, 16)
     assert b.count() == 1000 and b.groupBy("batch").count().agg(F.max("count")).first()[0] == 16
-    assert assembly.batches(d, 16, parts=4, drop_last=True).groupBy("batch").count().agg(F.min("count")).first()[0] == 16
-    assert rows(b, "graph_id", "batch") == rows(assembly.batches(d, 16, parts=4), "graph_id", "batch")
+    assert assembly.batches(d, 16, drop_last=True).groupBy("batch").count().agg(F.min("count")).first()[0] == 16
+    assert rows(b, "graph_id", "batch") == rows(assembly.batches(d, 16), "graph_id", "batch")
 
 
 def test_batches_leave_out_one_part_at_most(spark):
     d = spark.range(1000).select(F.col("id").alias("graph_id"))
-    sizes = sorted(r["count"] for r in assembly.batches(d, 16, parts=64).groupBy("batch").count().collect())
+    sizes = sorted(r["count"] for r in assembly.batches(d, 16).groupBy("batch").count().collect())
     assert sizes == [8] + [16] * 62
-    whole = assembly.batches(d, 16, parts=64, drop_last=True)
+    whole = assembly.batches(d, 16, drop_last=True)
     assert whole.select("graph_id").distinct().count() == whole.count() == 992
     assert assembly.batches(d.where("false"), 16, drop_last=True).count() == 0
 
@@ -170,3 +170,37 @@ def test_coordinates(spark):
     a, _ = frames(spark, [atom("m", 0), atom("k", 0), atom("k", 1)], [])
     other = a.where("NOT (mol_key = 'k' AND idx = 1)")
     assert rows(molecules.same_coordinates(a, other), "mol_key", "valid") == [("k", False), ("m", True)]
+
+
+def test_scoring_tells_errors(spark):
+    from pairloom.operators import network, scoring
+
+    a, b = frames(spark, [atom("m", i) for i in range(3)] + [atom("k", i) for i in range(2)] + [atom("si", 0, "Si")], [bond("m", 0, 1), bond("m", 1, 2), bond("k", 0, 1)])
+    p = pair(spark, ("m", "k"), ("m", "si"), ("m", "none"), (None, "k"), ("m", "m"))
+    params = network.initial_params(seed=3)
+    got = {r.graph_id: r for r in scoring.score_pairs(p, a, b, params, pad_to=5).collect()}
+    assert {i: r.error for i, r in got.items()} == {
+        "g0": None, "g1": "atoms or bonds outside the vocabularies", "g2": "no molecule: none", "g3": "no molecule: null", "g4": "more nodes than the padded size",
+    }
+    assert sum(got["g0"].probs) == pytest.approx(1) and got["g0"]["class"] and got["g2"].probs is None
+
+
+def test_reversed_samples(spark):
+    a, b = frames(spark, [atom("m", i) for i in range(3)] + [atom("k", i, "N") for i in range(2)], [bond("m", 0, 1), bond("m", 1, 2), bond("k", 0, 1)])
+    whole = [assembly.samples(assembly.build_dataset(p, a, b)) for p in (pair(spark, ("m", "k")), pair(spark, ("k", "m")))]
+    x, y = assembly.reversed_samples(whole[0]).first(), whole[1].first()
+    edges = lambda r: sorted(zip(r.src, r.dst, strict=True))
+    assert (x.n1, x.n2, x.x, edges(x)) == (y.n1, y.n2, y.x, edges(y))
+
+
+def test_ranges(spark):
+    from pairloom.operators import network, ranges
+
+    rng = list(range(500)) + [7] * 5
+    d = spark.createDataFrame([(x, (x * 37) % 101) for x in rng], "k int, v int").repartition(5)
+    got = sorted((r.k, r.position) for r in network.with_position(d, "k").collect())
+    assert [p for _, p in got] == list(range(1, 506)) and [k for k, _ in got] == sorted(rng)
+    unique = d.dropDuplicates(["k"])
+    top = {r.k: r.top for r in ranges.before_row(unique, "k", F.col("v"), "top", largest=True, ranges=16).collect()}
+    assert all(top[k] == (max((i * 37) % 101 for i in range(k)) if k else None) for k in range(500))
+    assert network.with_position(d.where("false"), "k").count() == 0

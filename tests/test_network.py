@@ -96,6 +96,21 @@ def test_training_lowers_the_loss(spark):
     assert after < before
 
 
+def test_training_goes_on_from_a_checkpoint(spark, tmp_path):
+    items = graphs(24)
+    d = sample_frame(spark, items, [i % 3 for i in range(24)]).persist()
+    run = lambda epochs, folder: training.fit(d, d, small_params(), epochs, 8, checkpoints=folder)
+    best, last, log = run(3, None)
+    run(2, str(tmp_path / "state"))
+    again = run(3, str(tmp_path / "state"))  # only the third epoch is left
+    assert [x["epoch"] for x in again[2]] == [1, 2, 3] and again[2][2]["loss"] == pytest.approx(log[2]["loss"])
+    for one, other in ((best, again[0]), (last, again[1])):
+        assert one.keys() == other.keys() and all(np.allclose(one[k], other[k]) for k in one)
+    assert training.load_state(spark, str(tmp_path / "none")) is None
+    network.save_params(spark, best, str(tmp_path / "best"))
+    assert all(np.allclose(best[k], v) for k, v in network.read_params(spark.read.parquet(str(tmp_path / "best"))).items())
+
+
 def test_plateau():
     p = training.Plateau(patience=1)
     assert [p.rate(x, 1.0) for x in (1.0, 1.0, 1.0, 0.5)] == [1.0, 1.0, 0.5, 1.0]
