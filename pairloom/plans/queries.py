@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
-from ..operators import adjacency, assembly, graphconv, metrics, molecules, network, training
+from ..operators import adjacency, assembly, graphconv, metrics, molecules, network, scoring, training
 from ..operators import pairs as pg
-from ..sources import lookups, molblocks
+from ..sources import datasets, lookups, molblocks
 from ..sources import pairs as pair_source
 from . import order_graph as og
 from .order_graph import table
@@ -333,12 +334,13 @@ def node_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT a.label, sqrt(list_sum(list_transform(range(1, 4), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) * 20 AS d
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
+  FROM embeddings a JOIN embeddings b ON a.vec_id // 16 = b.vec_id // 16 AND a.vec_id < b.vec_id)
 SELECT label, CASE WHEN d < 2 THEN 0 WHEN d >= 6 THEN 9 ELSE floor((d - 2) * 2)::INT + 1 END AS bin, count(*) AS n FROM p GROUP BY ALL""")
 def distance_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spots = table(spark, sf_dir, "embeddings").select("label", "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")])
-    other = spots.select("label", *[F.col(c).alias(f"o{c}") for c in ("vec_id", "x", "y", "z")])
-    d = spots.join(other, "label").where("vec_id < ovec_id")
+    # Sixteen vectors are a graph: all pairs are made within graphs, which are small by definition.
+    spots = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("graph_id"), "label", "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")])
+    other = spots.select("graph_id", *[F.col(c).alias(f"o{c}") for c in ("vec_id", "x", "y", "z")])
+    d = spots.join(other, "graph_id").where("vec_id < ovec_id")
     length = ft.euclidean([F.col(c) for c in "xyz"], [F.col(f"o{c}") for c in "xyz"]) * 20
     return d.groupBy("label", ft.distance_bin(length).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -410,10 +412,11 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)))
 
 
-@query()
+@query("""SELECT o_orderkey, batch::VARCHAR AS batch FROM (
+  SELECT o_orderkey, (row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) - 1) // 64 AS batch, count(*) OVER () AS n FROM orders
+) WHERE (batch + 1) * 64 <= n""")
 def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = assembly.batches(table(spark, sf_dir, "orders").select("o_orderkey"), 64, key="o_orderkey", drop_last=True, parts=8)
-    return d.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    return assembly.batches(table(spark, sf_dir, "orders").select("o_orderkey"), 64, key="o_orderkey", drop_last=True)
 
 
 # Graph convolution
@@ -468,24 +471,99 @@ def batch_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphconv.batch_statistics(nodes, WIDTH).select("batch", *cells("mean", WIDTH, "m"), *cells("var", WIDTH, "v"))
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Samples of all pairs, in both directions."""
-    atoms, bonds, pairs = og.atoms(spark, sf_dir), og.bonds(spark, sf_dir), og.pairs(spark, sf_dir)
-    both = (assembly.build_dataset(p, atoms, bonds, strict=False, denied=[]) for p in (pairs, pg.reversed_pairs(pairs)))
-    return tuple(assembly.samples(d) for d in both)
+def _small_params() -> network.Params:
+    """A network of width 4, 3, 2, 2, 4 with round numbers, which SQL can hold as well."""
+    p = network.initial_params(4, 7, [("conv1", 4, 3), ("conv2", 3, 2)], [("fc1", 2, 2)])
+    shift = {"gamma": 0.9, "beta": 0.2, "mean": 0.1, "var": 0.3, "bias": 0.15, "weight": 0.0}
+    return {k: (v + shift[k.split(".")[1]] * (1 + 0.1 * np.arange(v.shape[-1]))).round(2) for k, v in p.items()}
+
+
+def _linear_sql(p: network.Params, layer: str, x: list[str]) -> list[str]:
+    w, b = p[f"{layer}.weight"], p[f"{layer}.bias"]
+    return [f"({b[j]}::DOUBLE" + "".join(f" + {c} * {w[i, j]}::DOUBLE" for i, c in enumerate(x)) + ")" for j in range(len(b))]
+
+
+def _norm_sql(p: network.Params, k: int, x: list[str]) -> list[str]:
+    g, b, m, v = (p[f"bn{k}.{n}"] for n in ("gamma", "beta", "mean", "var"))
+    return [f"greatest(({c} - {m[j]}) / sqrt({v[j]} + 1e-5) * {g[j]} + {b[j]}, 0)" for j, c in enumerate(x)]
+
+
+def _named(cells: list[str], name: str) -> str:
+    return ", ".join(f"{c} AS {name}{j}" for j, c in enumerate(cells))
+
+
+def _forward_sql(pad_to: int | None) -> str:
+    """The small network over the molecules: probabilities, prediction and loss (the label is graph_id % 4)."""
+    p = _small_params()
+    mean = lambda c, pad: f"avg({c})" if pad_to is None else f"(sum({c}) + ({pad_to} - count(*)) * max({pad})) / {pad_to}"
+    return f"""{og.sql()}{NODE_SQL},
+pad1 AS (SELECT {_named(_norm_sql(p, 1, _linear_sql(p, "conv1", ["0"] * 4)), "z")}),
+pad2 AS (SELECT {_named(_norm_sql(p, 2, _linear_sql(p, "conv2", ["z0", "z1", "z2"])), "y")} FROM pad1),
+h1 AS (SELECT graph_id, node_id, {_named(_norm_sql(p, 1, _linear_sql(p, "conv1", ["f0", "f1", "f2", "f3"])), "h")} FROM prop),
+prop2 AS (SELECT l.graph_id, l.dst AS node_id, {", ".join(f"sum(h{k} / sqrt(a.d * b.d)) AS g{k}" for k in range(3))}
+  FROM loops l JOIN h1 n ON n.graph_id = l.graph_id AND n.node_id = l.src JOIN deg a ON a.graph_id = l.graph_id AND a.node_id = l.src
+  JOIN deg b ON b.graph_id = l.graph_id AND b.node_id = l.dst GROUP BY ALL),
+h2 AS (SELECT graph_id, {_named(_norm_sql(p, 2, _linear_sql(p, "conv2", ["g0", "g1", "g2"])), "h")} FROM prop2),
+pool AS (SELECT graph_id, {", ".join(f"{mean(f'h{k}', f'y{k}')} AS m{k}" for k in range(2))} FROM h2, pad2 GROUP BY graph_id),
+fc AS (SELECT graph_id, {_named(_norm_sql(p, 3, _linear_sql(p, "fc1", ["m0", "m1"])), "e")} FROM pool),
+lo AS (SELECT graph_id, [{", ".join(_linear_sql(p, "fc_out", ["e0", "e1"]))}] AS v FROM fc),
+pr AS (SELECT graph_id, v, list_transform(v, lambda x: exp(x) / list_sum(list_transform(v, lambda y: exp(y)))) AS p FROM lo)
+SELECT graph_id, list_position(v, list_max(v)) - 1 AS pred, round(-ln(p[graph_id % 4 + 1]), 6) AS loss, {", ".join(f"round(p[{k + 1}], 6) AS p{k}" for k in range(4))} FROM pr"""
+
+
+def _molecule_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _small_nodes(spark, sf_dir)
+    label = (F.col("graph_id") % 4).cast("int").alias("label")
+    graphs = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).select("graph_id", "n", label, F.lit("").alias("tag"))
+    return assembly.samples(datasets.Dataset(graphs, nodes, edges))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str, pad_to: int | None) -> DataFrame:
+    d = network.evaluate(_molecule_samples(spark, sf_dir), _small_params(), pad_to)
+    return d.select("graph_id", "pred", r6("loss").alias("loss"), *cells("probs", 4, "p"))
+
+
+@query(_forward_sql(None))
+def network_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir, None)
+
+
+@query(_forward_sql(16))
+def network_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir, 16)
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of all pairs."""
+    return assembly.samples(assembly.build_dataset(og.pairs(spark, sf_dir), og.atoms(spark, sf_dir), og.bonds(spark, sf_dir), strict=False, denied=[]))
 
 
 @query()
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    params = network.initial_params(seed=42)
-    ab, ba = (network.probabilities(network.logits(s, params)) for s in _samples(spark, sf_dir))
+    params, rows = network.initial_params(seed=42), _samples(spark, sf_dir)
+    ab, ba = (network.probabilities(network.logits(s, params)) for s in (rows, assembly.reversed_samples(rows)))
     d = network.both_directions(ab, ba).withColumn("class", ft.class_name(F.col("pred")))
     return d.select("graph_id", "pred", "class", *cells("probs", 4, "p"))
 
 
+#: Pairs of which some have a key without a molecule, and some a bond outside the vocabularies.
+_ERRORS = "SELECT *, CASE WHEN key1 % 7 = 0 THEN -key1 ELSE key1 END AS k1 FROM pairs"
+
+
+@query(f"""{og.sql(5)}, w AS ({_ERRORS}), bad AS (SELECT DISTINCT mol_key FROM bonds WHERE type_number > 4),
+s AS (SELECT w.graph_id, k1, key2, CASE WHEN a.n IS NULL THEN 'no molecule: ' || k1 WHEN b.n IS NULL THEN 'no molecule: ' || key2
+    WHEN k1 IN (SELECT mol_key FROM bad) OR key2 IN (SELECT mol_key FROM bad) THEN 'atoms or bonds outside the vocabularies' END AS error
+  FROM w LEFT JOIN sizes a ON a.mol_key = k1 LEFT JOIN sizes b ON b.mol_key = key2)
+SELECT graph_id, k1 AS key1, key2, error, error IS NULL AS scored FROM s""")
+def score_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = og.pairs(spark, sf_dir).withColumn("key1", F.when(F.col("key1") % 7 == 0, -F.col("key1")).otherwise(F.col("key1")))
+    d = scoring.score_pairs(p, og.atoms(spark, sf_dir), og.bonds(spark, sf_dir, 5), network.initial_params(seed=42))
+    return d.select("graph_id", "key1", "key2", "error", (F.aggregate("probs", F.lit(0.0), lambda a, x: a + x) > 0.999).eqNullSafe(F.lit(True)).alias("scored"))
+
+
 @query()
 def score_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = network.evaluate(_samples(spark, sf_dir)[0], network.initial_params(seed=42), pad_to=64)
+    d = network.evaluate(_samples(spark, sf_dir), network.initial_params(seed=42), pad_to=64)
     return d.select("graph_id", "label", "pred", r6("loss").alias("loss"), *cells("probs", 4, "p"))
 
 
@@ -495,17 +573,19 @@ BATCHES_A_STEP = 1
 
 @query()
 def train_one_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ab, _ = _samples(spark, sf_dir)
-    ab = ab.persist()
+    ab = _samples(spark, sf_dir).persist()
     train, held = assembly.split(ab)
     params, loss = training.train_epoch(train, network.initial_params(seed=42), training.Adam(), 1, batches_a_step=BATCHES_A_STEP)
     d = metrics.accuracy_summary(network.evaluate(held, params)).withColumn("loss", F.lit(loss))
-    return d.select(r6("macro_accuracy").alias("macro_accuracy"), r6("overall_accuracy").alias("overall_accuracy"), F.round("loss", 3).alias("loss"))
+    out = d.select(r6("macro_accuracy").alias("macro_accuracy"), r6("overall_accuracy").alias("overall_accuracy"), F.round("loss", 3).alias("loss"))
+    found = spark.createDataFrame(out.collect(), out.schema)  # one row
+    ab.unpersist()
+    return found
 
 
 @query()
 def finetune_last_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ab, _ = _samples(spark, sf_dir)
+    ab = _samples(spark, sf_dir)
     params = training.finetune_last_layer(ab, network.initial_params(seed=12), [1.0, 1.0, 1.0, 2.0])
     return network.evaluate(ab, params).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("loss"), 3).alias("loss"))
 
