@@ -318,6 +318,16 @@ def test_sharding_laws(spark):
     assert len(shards["huge"]) >= 120 / (len(texts) // 24 + 1)
 
 
+def test_sharding_of_one_repeated_row(spark):
+    d = spark.createDataFrame([(None, "same")] * 70 + [(1, "same")] * 31, "doc_id long, text string")
+    rows = sharding.shard_documents(d).collect()
+    sizes = Counter(r.shard for r in rows)
+    assert len(rows) == 101 and len(sizes) == 24 and set(sizes.values()) == {4, 5}
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(n)) for s, n in sizes.items())
+    cut = sharding.cut_groups(sharding.shard_documents(d)).collect()
+    assert [(r.n, r.n_shards) for r in cut] == [(101, 24)]
+
+
 def test_sharding_few_rows(spark):
     assert sharding.shard_documents(documents(spark, ["a", "a", None])).count() == 3
     assert sharding.shard_documents(documents(spark, []).where("false")).count() == 0
