@@ -15,6 +15,8 @@ MODULES = {
     "op8_bpe_automaton": "bpe_automaton",
     "op9_ngram_jaccard": "ngram_jaccard",
     "op10_substring_dedup": "substring_dedup",
+    "op11_fill_in_middle": "fill_in_middle",
+    "op13_centroid_clustering": "centroid_clustering",
 }
 
 
