@@ -16,6 +16,7 @@ MODULES = {
     "op9_ngram_jaccard": "ngram_jaccard",
     "op10_substring_dedup": "substring_dedup",
     "op11_fill_in_middle": "fill_in_middle",
+    "op12_personal_data": "personal_data",
     "op13_centroid_clustering": "centroid_clustering",
 }
 
