@@ -22,12 +22,12 @@ lose one of the overall best k; a window picks these. Ties go to the smaller id.
 What the threshold saves depends on the data: vectors of one length in random directions leave early in no list,
 so their local scores are all computed once, and some 2 % of them are collected and resolved.
 
-Edge cases: vectors that are null or have null, NaN or infinite components take no part, nor do rows without an id. Shorter
-vectors count as filled up with zeros. Empty vectors score 0. Repeated ids are separate
+Edge cases: vectors that are null or have null, NaN or infinite components take no part, nor do rows without an id, nor vectors
+whose integers have a squared length of 2^63 or more: of the others no score passes 64 bits. Shorter
+vectors count as filled up with zeros; a block holds fewer vectors if they are long. Empty vectors score 0. Repeated ids are separate
 candidates, none of which a query with that id may find; each row of a repeated query id is a query of its own, with its own
 ranks. With fewer candidates than k, all are returned. An empty table gives an empty result. Further columns are
-ignored. Scores are exact: where sums could pass 53 bits, 64-bit integers are used, and beyond those Python's (the
-result's column holds 64 bits).
+ignored. Scores are exact: where sums could pass 53 bits, 64-bit integers are used, and where their bounds could pass 63 bits Python's.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,6 +47,8 @@ from .common import settle, table
 K, LISTS, GATHERED = 5, 2, 32
 #: Rows of a block of candidates and of queries; queries that are scored at once; candidate blocks of the first phase.
 BLOCK, QUERY_BLOCK, AT_ONCE, GATHER_BLOCKS = 8192, 4096, 256, 16
+#: Integers of a block at most, unless one vector has more.
+CELLS = 1 << 22
 #: Tasks of the grid for each block of candidates, at most `TASKS`.
 TASKS = 4096
 
@@ -55,17 +57,20 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and v: floor(scale * x) of every component, for the rows that take part."""
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    # A little below 2^63, for the rounding of the sum.
+    fine &= F.aggregate(e, F.lit(0.0), lambda a, x: a + F.pow(F.floor(x.cast("double") * scale).cast("double"), 2.0)) < float(2**63 - 2**20)
     return vectors.where(F.col("vec_id").isNotNull() & e.isNotNull() & fine).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")
     )
 
 
 def _pack(rows: DataFrame, size: int) -> DataFrame:
-    """key (a hash), ids and rows as binaries of 64-bit integers, n and dim; at most `size` rows a block."""
+    """key (of the task and the block in it), ids and rows as binaries of integers, n and dim; at most `size` rows a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         vectors: list[list[int]] = []
+        task, made, widest = TaskContext.get().partitionId(), 0, 0
 
         def block() -> pa.RecordBatch:
             dim = max(map(len, vectors))
@@ -74,16 +79,17 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
                 m[i, : len(v)] = v
             small = m.size == 0 or (m.min() >= -(2**15) and m.max() < 2**15)
             a, data = np.array(ids, dtype=np.int64).tobytes(), m.astype(np.int16 if small else np.int64).tobytes()
-            key = xxhash.xxh3_64_intdigest(a + data) >> 1
-            columns = ([key], [a], [data], [len(ids)], [dim])
+            columns = ([(task << 32) + made], [a], [data], [len(ids)], [dim])
             ids.clear(), vectors.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["key", "ids", "m", "n", "dim"])
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(i), vectors.append(v)
-                if len(ids) == size:
+                if ids and (len(ids) == size or (len(ids) + 1) * max(widest, len(v)) > CELLS):
                     yield block()
+                    made, widest = made + 1, 0
+                ids.append(i), vectors.append(v)
+                widest = max(widest, len(v))
         if ids:
             yield block()
 
@@ -91,9 +97,7 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _matrix(data: bytes, n: int, dim: int, width: int) -> np.ndarray:
-    wide = np.zeros((n, width), dtype=np.int64)
-    wide[:, :dim] = np.frombuffer(data, dtype=np.int16 if len(data) == 2 * n * dim else np.int64).reshape(n, dim)
-    return wide
+    return np.frombuffer(data, dtype=np.int16 if len(data) == 2 * n * dim else np.int64).reshape(n, dim)[:, :width].astype(np.int64)
 
 
 def exact(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +114,8 @@ def _parts(width: int, lists: int) -> list[slice]:
 
 
 def _meeting(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, candidate ids, query vectors and candidate vectors."""
-    width = max(row["dim"], row["q_dim"])
+    """Query ids, candidate ids, query vectors and candidate vectors, as wide as the narrower block: what is beyond meets zeros."""
+    width = min(row["dim"], row["q_dim"])
     q, c = exact(_matrix(row["q_m"], row["q_n"], row["q_dim"], width), _matrix(row["m"], row["n"], row["dim"], width))
     return np.frombuffer(row["q_ids"], dtype=np.int64), np.frombuffer(row["ids"], dtype=np.int64), q, c
 

@@ -281,6 +281,38 @@ def test_topk_of_repeated_and_large(spark, monkeypatch):
     assert kinds == [np.float64, np.int64, object]
 
 
+def _brute_top(rows, queries, k=5):
+    out = []
+    for i, q in queries:
+        found = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in rows if j != i)[:k]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
+    return sorted(out)
+
+
+def test_topk_of_equal_files(spark, tmp_path):
+    """Blocks of equal bytes are blocks of their own, as candidates and as queries."""
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(8).normal(size=(8, 4)).astype(np.float32).tolist())]
+    path = str(tmp_path / "v")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(path)
+    d = topk_search.quantised(spark.read.parquet(path, path))
+    whole = [(r.vec_id, r.v) for r in d.collect()]
+    assert len(whole) == 16
+    queries = d.where("vec_id in (0, 5)")
+    want = _brute_top(whole, [(i, v) for i, v in whole if i in (0, 5)])
+    assert sorted(tuple(r) for r in topk_search.top_k(d, queries).collect()) == want
+    assert len(want) == 20
+
+
+def test_topk_of_large_and_wide_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "CELLS", 5000)
+    rows = [(i, [float(i + j) for j in range(4)]) for i in range(12)]
+    rows += [(20, [1e30, 0.0]), (21, [5e6, 5e6]), (22, [0.5] * 3000), (23, []), (24, [2.0] + [0.0] * 2999)]
+    d = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i != 20]
+    got = topk_search.top_k(d, d.where("vec_id % 2 = 0")).collect()
+    assert sorted(tuple(r) for r in got) == _brute_top(whole, [(i, v) for i, v in whole if i % 2 == 0])
+
+
 def test_threshold_prunes():
     rng = np.random.default_rng(22)
     c, q = rng.integers(-20, 20, (500, 16)) * rng.choice([1, 1, 1, 40], (500, 1)), rng.integers(-20, 20, (30, 16)).astype(np.float64)
