@@ -1,7 +1,7 @@
 """Molecule blocks (V2000): name, atoms and bonds read with string functions.
 
-What needs perception (aromaticity, hybridisation, donors, rings, stereo) is not derived here; a producer that
-has it joins its columns to `atoms`.
+`atoms` and `bonds` give what a block says; `rows` gives molecule rows, of which `operators.perception` derives the rest
+(aromaticity, hybridisation, donors, rings, stereo). A block that holds many records is split by `read_records`.
 """
 
 from __future__ import annotations
@@ -9,14 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.elements import ELEMENTS
 from ..functions.features import euclidean, is_metal, type_number
-
-# Element symbols by atomic number.
-ELEMENTS = (
-    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd "
-    "Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac "
-    "Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
-).split()
+from .rows import with_rings
 
 
 def read_mol_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -90,3 +85,39 @@ def bonds(blocks: DataFrame) -> DataFrame:
     b = b.withColumn("bond_type", F.coalesce(F.get(names, F.col("kind") - 1), F.lit("OTHER")))
     length = euclidean([F.col(f"f.{x}") for x in "xyz"], [F.col(f"t.{x}") for x in "xyz"])
     return b.select("mol_key", "begin", "end", "bond_type", type_number(F.col("bond_type")).alias("type_number"), length.alias("length"))
+
+
+def rows(blocks: DataFrame) -> DataFrame:
+    """Molecule rows of blocks (mol_key, block): all atoms with coordinates, bonds by order. Hydrogens are those of the block; what a valence leaves open stays implicit."""
+    m = molecules(blocks)
+    symbols = F.transform(F.slice(_lines(), F.lit(5), F.col("n_atoms")), lambda x: F.trim(F.substring(x, 32, 3)))
+    m = m.select("mol_key", "valid", F.when(F.col("valid"), symbols).alias("symbols"), F.when(F.col("valid"), _charges()).alias("charges"), F.when(F.col("valid"), _places()).alias("places"), F.when(F.col("valid"), _bond_fields()).alias("fields"))
+    numbers = F.array(*[F.lit(e) for e in ELEMENTS])
+    m = m.withColumn("numbers", F.transform("symbols", lambda s: F.array_position(numbers, s).cast("int")))
+    kinds = "transform(fields, b -> named_struct('begin', b.begin, 'end', b.end, 'order', b.kind))"
+    atoms_ = """transform(symbols, (s, i) -> named_struct('symbol', s, 'number', numbers[i], 'charge', coalesce(get(filter(charges, c -> c.atom = i + 1), size(filter(charges, c -> c.atom = i + 1)) - 1).charge, 0), 'isotope', 0, 'hs', -1, 'tag', '',
+      'around', cast(array() AS array<int>), 'x', places[i].x, 'y', places[i].y, 'z', places[i].z))"""
+    error = (
+        F.when(~F.col("valid"), "the block can't be read")
+        .when(F.array_contains("numbers", 0), "an unknown element")
+        .when(F.exists("fields", lambda b: ~F.coalesce(b["kind"].between(1, 4), F.lit(False))), "a bond of unknown order")
+    )
+    return with_rings(m.select("mol_key", error.alias("error"), F.expr(atoms_).alias("atoms"), F.expr(kinds).alias("bonds")))
+
+
+def _charges() -> Column:
+    """Atom numbers (from 1) and charges of the block's charge lines."""
+    lines = F.filter(_lines(), lambda x: x.startswith("M  CHG"))
+    numbers = F.flatten(F.transform(lines, lambda x: F.transform(F.split(F.trim(F.substring(x, 10, 1000)), " +"), lambda n: n.try_cast("int"))))
+    places = F.transform(F.filter(F.transform(numbers, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda p: (p["i"] % 2 == 0) & p["v"].isNotNull()), lambda p: p["i"])
+    return F.transform(places, lambda i: F.struct(F.get(numbers, i).alias("atom"), F.coalesce(F.get(numbers, i + 1), F.lit(0)).alias("charge")))
+
+
+def read_records(spark: SparkSession, path: str, key: str | None = None, ending: str = "$$$$\n") -> DataFrame:
+    """mol_key and block of every record of files of many records (SDF), which are split wherever a record ends: no file is read whole.
+
+    The key is the record's first line, or `key`, an SQL expression over `block`. `ending` is the line between records as it is
+    written, with \\r\\n where files have it. A record's data fields stay in the block, behind its `M  END`.
+    """
+    d = spark.read.option("lineSep", ending).text(path).select(F.col("value").alias("block")).where("trim(block) != ''")
+    return d.select((F.expr(key) if key else F.trim(F.get(_lines(), F.lit(0)))).alias("mol_key"), "block")
