@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cycles
+
 
 def both_ways(bonds: DataFrame) -> DataFrame:
     """Every bond once from each end: begin and end swapped for the second."""
@@ -65,7 +70,7 @@ def spiro_atoms(rings: DataFrame) -> DataFrame:
     return single.select("mol_key", "idx").distinct()
 
 
-#: Atom types that the default change of the hydrogen-bond criterion makes donors.
+# Atom types that the default change of the hydrogen-bond criterion makes donors.
 DONOR_CHANGES = {"sp C": True, "sp2 C": True, "sp3 C": True, "aromatic C": True, "carboncationic C": True}
 
 
@@ -91,3 +96,32 @@ def same_coordinates(left: DataFrame, right: DataFrame) -> DataFrame:
     for c in "xyz":
         same &= F.col(c).eqNullSafe(F.col(f"r{c}"))
     return l.join(r, ["mol_key", "idx"], "full").groupBy("mol_key").agg(F.bool_and(same).alias("valid"))
+
+
+def rings(bonds: DataFrame) -> DataFrame:
+    """mol_key, ring_id and atom_ids (in order): the smallest rings of each molecule, from its bonds alone (see functions.cycles).
+
+    A molecule is one row meanwhile. Repeated bonds count once; bonds from an atom to itself and those with a null end not at all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for ends in batch.column(1).to_pylist():
+                names = sorted({x for e in ends for x in e.values()})
+                place = {x: i for i, x in enumerate(names)}
+                found.append([[names[i] for i in r] for r in cycles.rings(len(names), [(place[e["a"]], place[e["b"]]) for e in ends])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.list_(pa.int64())))], ["mol_key", "rings"])
+
+    end = lambda f: f(F.col("begin").cast("long"), F.col("end").cast("long"))
+    pairs = bonds.where("begin != end").select("mol_key", F.struct(end(F.least).alias("a"), end(F.greatest).alias("b")).alias("e"))
+    whole = pairs.groupBy("mol_key").agg(F.array_sort(F.collect_set("e")).alias("e"))
+    kind = bonds.schema["mol_key"].dataType.simpleString()
+    return whole.mapInArrow(run, f"mol_key {kind}, rings array<array<long>>").select("mol_key", F.posexplode("rings").alias("ring_id", "atom_ids"))
+
+
+def ring_bonds(rings: DataFrame) -> DataFrame:
+    """mol_key, begin, end (begin < end) and size (of the smallest ring) of the bonds that are in rings."""
+    pairs = F.transform("atom_ids", lambda a, i: F.struct(a.alias("a"), F.get("atom_ids", F.pmod(i + 1, F.size("atom_ids"))).alias("b")))
+    d = rings.select("mol_key", F.size("atom_ids").alias("size"), F.explode(pairs).alias("p"))
+    return d.groupBy("mol_key", F.least("p.a", "p.b").alias("begin"), F.greatest("p.a", "p.b").alias("end")).agg(F.min("size").alias("size"))

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
-from ..operators import adjacency, assembly, graphconv, metrics, molecules, network, scoring, training
+from ..operators import adjacency, assembly, canonical, graphconv, metrics, molecules, network, perception, scoring, training
 from ..operators import pairs as pg
-from ..sources import datasets, lookups, molblocks
+from ..sources import datasets, lookups, molblocks, smiles
 from ..sources import pairs as pair_source
 from . import order_graph as og
+from . import order_molecules as om
 from .order_graph import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +213,60 @@ def coordinate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return molecules.same_coordinates(a, a.withColumn("x", F.when(F.col("pk") % 97 == 5, F.col("x") + 0.5).otherwise(F.col("x"))))
 
 
+# Perception
+
+
+@query(f"{om.CLOSED_SQL} SELECT mol_key, \"begin\", \"end\", size::BIGINT AS size FROM size_")
+def ring_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = molecules.ring_bonds(molecules.rings(om.closed_bonds(spark, sf_dir)))
+    return d.withColumn("size", F.col("size").cast("long"))
+
+
+@query(f"{om.CLOSED_SQL} SELECT mol_key, len(list_distinct(list_concat(list(\"begin\"), list(\"end\")))) AS n_cyclic FROM size_ GROUP BY mol_key")
+def cyclic_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = molecules.rings(om.closed_bonds(spark, sf_dir)).select("mol_key", F.explode("atom_ids").alias("idx"))
+    return d.groupBy("mol_key").agg(F.countDistinct("idx").alias("n_cyclic"))
+
+
+def _perceived(spark: SparkSession, sf_dir: str, hydrogens: bool) -> DataFrame:
+    return perception.perceived(smiles.rows(om.strings(spark, sf_dir)), hydrogens)
+
+
+@query(f"{om.SQL} SELECT mol_key, idx::BIGINT AS idx, symbol, hydrogens::BIGINT AS hydrogens, hybridization, is_cyclic, is_aromatic, is_donor, is_acceptor FROM expected_atoms")
+def smiles_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = perception.atom_table(_perceived(spark, sf_dir, False))
+    long = lambda c, n: F.col(c).cast("long").alias(n)
+    return d.select("mol_key", long("idx", "idx"), "symbol", long("totalnumHs", "hydrogens"), "hybridization", "is_cyclic", "is_aromatic", "is_donor", "is_acceptor")
+
+
+@query(f"{om.SQL} SELECT mol_key, least(\"begin\", \"end\")::BIGINT AS \"begin\", greatest(\"begin\", \"end\")::BIGINT AS \"end\", bond_type, is_ring, coalesce(is_conjugated, false) AS is_conjugated FROM expected_bonds")
+def smiles_bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = perception.bond_table(_perceived(spark, sf_dir, False))
+    return d.select("mol_key", F.least("begin", "end").cast("long").alias("begin"), F.greatest("begin", "end").cast("long").alias("end"), "bond_type", "is_ring", "is_conjugated")
+
+
+@query(f"""{om.SQL} SELECT mol_key, sum(1 + hydrogens)::BIGINT AS n_atoms, sum(hydrogens)::BIGINT AS n_h, bool_and(true) AS implicit_gone, count(*)::BIGINT AS heavy FROM expected_atoms GROUP BY mol_key""")
+def explicit_hydrogens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = perception.atom_table(_perceived(spark, sf_dir, True))
+    h = F.col("symbol") == "H"
+    gone = F.bool_and((F.col("implicitvalence") == 0) & (F.col("totalnumHs") == 0)).alias("implicit_gone")
+    return d.groupBy("mol_key").agg(F.count(F.lit(1)).alias("n_atoms"), F.count_if(h).alias("n_h"), gone, F.count_if(~h).alias("heavy"))
+
+
+@query(f"{om.SQL} SELECT DISTINCT mol_key, true AS same FROM pieces")
+def canonical_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = om.strings(spark, sf_dir)
+    both = d.select("mol_key", F.explode(F.array("smiles", "other_end")).alias("smiles"))
+    found = canonical.canonical(smiles.rows(both))
+    return found.groupBy("mol_key").agg(((F.min("canonical") == F.max("canonical")) & (F.count("canonical") == 2)).alias("same"))
+
+
+@query(om.CENTRES_SQL)
+def stereo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = perception.atom_table(perception.perceived(molblocks.rows(om.centres(spark, sf_dir)), hydrogens=False))
+    return d.where("idx = 0").select("mol_key", "chirality")
+
+
 # Pair graphs
 
 
