@@ -1,12 +1,16 @@
-"""From pairs of keys to scores in one call, with an error for each pair that has none."""
+"""From pairs of keys, or of structures, to scores in one call, with an error for each pair that has none."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import argmax, class_name
-from . import assembly, network
+from ..sources import lookups, molblocks, smiles
+from ..sources.shared import written
+from . import assembly, network, perception
 
 
 def score_pairs(
@@ -32,3 +36,55 @@ def score_pairs(
     other = F.when(F.col("pred").isNull(), F.lit("atoms or bonds outside the vocabularies"))
     error = F.coalesce(missing(1), missing(2), too_large, other)
     return d.select("graph_id", "key1", "key2", "probs", "pred", class_name(F.col("pred")).alias("class"), error.alias("error"))
+
+
+#: What an input of `score_structures` may be.
+INPUTS = ("smiles", "cas", "mol_block", "sdf")
+
+
+def structures(
+    inputs: DataFrame, kind: str = "smiles", tiers: list[DataFrame] | None = None, resolver: Callable[[str], str | None] | None = None, blocks: DataFrame | None = None
+) -> DataFrame:
+    """Perceived molecule rows, by key, of inputs (mol_key, input). An input without a structure has an error in its row.
+
+    smiles: strings. cas: registry numbers; their strings come from `tiers` (tables of cas, value) or the resolver. mol_block: the
+    blocks themselves. sdf: keys of `blocks` (mol_key, block), such as `molblocks.read_records` or `read_mol_blocks` give. Hydrogens of
+    strings become atoms; blocks keep the atoms they have.
+    """
+    if kind not in INPUTS:
+        raise ValueError(f"unknown kind of input: {kind}; known are {', '.join(INPUTS)}")
+    if kind in ("mol_block", "sdf"):
+        found = inputs.select("mol_key", F.col("input").alias("block"))
+        if kind == "sdf":
+            found = inputs.join(blocks.select(F.col("mol_key").alias("input"), "block"), "input", "left").select("mol_key", "block")
+        return perception.perceived(molblocks.rows(found.withColumn("block", F.coalesce("block", F.lit("")))), hydrogens=False)
+    if kind == "cas":
+        known = lookups.resolve(inputs.withColumnRenamed("input", "cas"), "cas", tiers or [], resolver=resolver)
+        made = smiles.rows(known.where("value IS NOT NULL"), text="value")
+        none = known.where("value IS NULL").select("mol_key", F.concat(F.lit("no structure is known for "), F.coalesce("cas", F.lit("null"))).alias("error"))
+        made = made.unionByName(none, allowMissingColumns=True)
+    else:
+        made = smiles.rows(inputs, text="input")
+    return perception.perceived(made, hydrogens=True)
+
+
+def score_structures(
+    pairs: DataFrame, params: network.Params, kind: str = "smiles", mode: str = "OnlyCovalentBond", pad_to: int | None = None, **source
+) -> DataFrame:
+    """graph_id, input1, input2, n1, n2, probs, pred, class and error of pairs (graph_id, input1, input2), from structures to scores in one call.
+
+    Each distinct input is read and perceived once, and written to the shared folder; see `structures` for kinds and sources. error
+    tells which of the two inputs can't be used and why, or what `score_pairs` says; the other pairs are scored. Modes with distances
+    need coordinates, so blocks.
+    """
+    key = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")), 256)
+    given = pairs.select("graph_id", "input1", "input2", key("input1").alias("key1"), key("input2").alias("key2"))
+    inputs = given.select(F.explode(F.array(F.struct(F.col("key1").alias("mol_key"), F.col("input1").alias("input")), F.struct(F.col("key2").alias("mol_key"), F.col("input2").alias("input")))).alias("i")).select("i.*")
+    made = written(structures(inputs.groupBy("mol_key").agg(F.first("input").alias("input")), kind, **source))
+    scored = score_pairs(given, perception.atom_table(made), perception.bond_table(made), params, mode, pad_to)
+    d = given.join(scored.drop("key1", "key2"), "graph_id")
+    for side, word in ((1, "first"), (2, "second")):
+        facts = made.select(F.col("mol_key").alias(f"key{side}"), F.size("atoms").alias(f"n{side}"), F.concat(F.lit(f"{word} input: "), "error").alias(f"error{side}"))
+        d = d.join(facts, f"key{side}", "left")
+    error = F.coalesce("error1", "error2", "error")
+    return d.select("graph_id", "input1", "input2", *[F.when(F.col(f"error{s}").isNull(), F.col(f"n{s}")).alias(f"n{s}") for s in (1, 2)], "probs", "pred", "class", error.alias("error"))

@@ -616,6 +616,19 @@ def score_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("graph_id", "key1", "key2", "error", (F.aggregate("probs", F.lit(0.0), lambda a, x: a + x) > 0.999).eqNullSafe(F.lit(True)).alias("scored"))
 
 
+@query(f"""{om.SQL}, size_ AS (SELECT mol_key, sum(1 + hydrogens)::BIGINT AS n FROM expected_atoms GROUP BY mol_key),
+p AS (SELECT p.graph_id, a.n AS n1, b.n AS n2, p.graph_id % 7 = 0 AS broken FROM pairs p JOIN size_ a ON a.mol_key = p.key1 JOIN size_ b ON b.mol_key = p.key2)
+SELECT graph_id, CASE WHEN NOT broken THEN n1 END AS n1, n2, CASE WHEN broken THEN 'first input: a branch, ring closure, bond or part is not finished' END AS error, NOT broken AS scored FROM p""")
+def score_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = om.strings(spark, sf_dir)
+    side = lambda k: s.select(F.col("mol_key").alias(f"key{k}"), F.col("smiles").alias(f"input{k}"))
+    p = og.pairs(spark, sf_dir).select("graph_id", "key1", "key2").join(side(1), "key1").join(side(2), "key2")
+    p = p.withColumn("input1", F.when(F.col("graph_id") % 7 == 0, F.concat("input1", F.lit("("))).otherwise(F.col("input1")))
+    d = scoring.score_structures(p, network.initial_params(seed=42))
+    one = (F.abs(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-6).eqNullSafe(F.lit(True)).alias("scored")
+    return d.select("graph_id", F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "error", one)
+
+
 @query()
 def score_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = network.evaluate(_samples(spark, sf_dir), network.initial_params(seed=42), pad_to=64)
