@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import argmax, class_name
 from ..sources import lookups, molblocks, smiles
-from ..sources.shared import written
+from ..sources.shared import spread, written
 from . import assembly, network, perception
 
 
@@ -80,7 +80,7 @@ def score_structures(
     key = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")), 256)
     given = pairs.select("graph_id", "input1", "input2", key("input1").alias("key1"), key("input2").alias("key2"))
     inputs = given.select(F.explode(F.array(F.struct(F.col("key1").alias("mol_key"), F.col("input1").alias("input")), F.struct(F.col("key2").alias("mol_key"), F.col("input2").alias("input")))).alias("i")).select("i.*")
-    made = written(structures(inputs.groupBy("mol_key").agg(F.first("input").alias("input")), kind, **source))
+    made = written(structures(spread(inputs.groupBy("mol_key").agg(F.first("input").alias("input"))), kind, **source))
     scored = score_pairs(given, perception.atom_table(made), perception.bond_table(made), params, mode, pad_to)
     d = given.join(scored.drop("key1", "key2"), "graph_id")
     for side, word in ((1, "first"), (2, "second")):

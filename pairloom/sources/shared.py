@@ -24,3 +24,11 @@ def written(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as the session has shuffle partitions, for work that costs much more than its rows' bytes tell.
+
+    Adaptive execution joins small partitions by their size; it keeps a number that is asked for without keys.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
