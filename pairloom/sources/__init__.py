@@ -1,5 +1,5 @@
 """Readers and writers: pair tables, molecule blocks, lookups, datasets."""
 
-from . import datasets, lookups, molblocks, pairs, rows, smiles
+from . import datasets, lookups, molblocks, npz, pairs, rows, smiles
 
-__all__ = ["datasets", "lookups", "molblocks", "pairs", "rows", "smiles"]
+__all__ = ["datasets", "lookups", "molblocks", "npz", "pairs", "rows", "smiles"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,34 +49,43 @@ def resolve(spark: SparkSession, path: str, build: Callable[[], Dataset] | None
     return load(spark, path)
 
 
+#: A graph of an archive in a row.
+GRAPH_ROW = "graph_id string, n1 int, n2 int, n int, label int, tag string, x array<array<float>>, src array<int>, dst array<int>, attr array<array<float>>"
+
+
+def graph_row(graph_id: str, z: Mapping[str, np.ndarray], i: int) -> dict:
+    """Row i of an archive's arrays. Padding goes; an edge is a pair of nodes whose channels' sum isn't 0."""
+    v, a, n = z["V"], z["A"], int(z["graph_size"][i])
+    src, dst = np.nonzero(a[i].sum(axis=1))
+    n1, n2 = z["subgraph_size"][i].tolist() if "subgraph_size" in z else (None, None)
+    return {
+        "graph_id": graph_id, "n1": n1, "n2": n2, "n": n, "label": int(z["labels"][i]), "tag": str(z["tags"][i]), "x": v[i, :n].astype("float32").tolist(),
+        "src": src.tolist(), "dst": dst.tolist(), "attr": a[i][src, :, dst].astype("float32").tolist(),
+    }
+
+
+def tables_of(rows: DataFrame) -> Dataset:
+    """The three tables of graphs in rows."""
+    nodes = rows.select("graph_id", F.posexplode("x").alias("node_id", "features"))
+    edges = rows.select("graph_id", F.explode(F.arrays_zip("src", "dst", "attr")).alias("e")).select("graph_id", "e.src", "e.dst", F.col("e.attr").alias("edge_attr"))
+    return Dataset(rows.select("graph_id", "n1", "n2", "n", "label", "tag"), nodes, edges)
+
+
 def read_npz(spark: SparkSession, path: str) -> Dataset:
-    """The tables of one or more .npz archives, each read in one task (pickled members are refused).
+    """The tables of one or more .npz archives, each read whole in one task, from any store that Spark reads (pickled members are refused).
 
-    Padding goes; graph_id is file name and place. An edge is a pair of nodes whose channels' sum isn't 0.
+    graph_id is file name and place. `npz.read` takes large archives, by ranges.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                z = np.load(io.BytesIO(content), allow_pickle=False)
-                v, a, sizes = z["V"], z["A"], z["graph_size"]
-                for i, n in enumerate(sizes.tolist()):
-                    src, dst = np.nonzero(a[i].sum(axis=1))
-                    n1, n2 = z["subgraph_size"][i].tolist() if "subgraph_size" in z else (None, None)
-                    yield pd.DataFrame(
-                        {
-                            "graph_id": [f"{name.rsplit('/', 1)[-1]}#{i}"], "n1": [n1], "n2": [n2], "n": [n], "label": [int(z["labels"][i])], "tag": [str(z["tags"][i])],
-                            "x": [v[i, :n].astype("float32").tolist()], "src": [src.tolist()], "dst": [dst.tolist()],
-                            "attr": [a[i][src, :, dst].astype("float32").tolist()],
-                        }
-                    )
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    kind = "graph_id string, n1 int, n2 int, n int, label int, tag string, x array<array<float>>, src array<int>, dst array<int>, attr array<array<float>>"
-    d = files.mapInPandas(rows, kind)
-    nodes = d.select("graph_id", F.posexplode("x").alias("node_id", "features"))
-    edges = d.select("graph_id", F.explode(F.arrays_zip("src", "dst", "attr")).alias("e")).select("graph_id", "e.src", "e.dst", F.col("e.attr").alias("edge_attr"))
-    return Dataset(d.select("graph_id", "n1", "n2", "n", "label", "tag"), nodes, edges)
+                archive = np.load(io.BytesIO(content), allow_pickle=False)
+                z = {k: archive[k] for k in archive.files if k in ("V", "A", "graph_size", "labels", "tags", "subgraph_size")}
+                for i in range(len(z["graph_size"])):
+                    yield pd.DataFrame({k: [x] for k, x in graph_row(f"{name.rsplit('/', 1)[-1]}#{i}", z, i).items()})
+
+    return tables_of(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, GRAPH_ROW))
 
 
 def prediction_rows(scored: DataFrame) -> DataFrame:
