@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.features import distance_bin, euclidean
 from .pairs import interaction_channels
 
-#: Accepted spellings of the modes, in lower case.
+# Accepted spellings of the modes, in lower case, and their numbers of channels.
 MODES = {
     "onlycovalentbond": "covalent", "withbondlenth": "length", "withbondlength": "length", "withdistancematrix": "distance",
     "isringandconjugated": "ring", "withringandconjugated": "ring", "allfeature": "all",

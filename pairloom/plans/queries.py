@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import features as ft
 from ..operators import adjacency, assembly, canonical, graphconv, metrics, molecules, network, perception, scoring, training
 from ..operators import pairs as pg
-from ..sources import datasets, lookups, molblocks, smiles
+from ..sources import datasets, lookups, molblocks, shared, smiles
 from ..sources import pairs as pair_source
 from . import order_graph as og
 from . import order_molecules as om
@@ -456,6 +456,24 @@ def padded_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("graph_id", F.col("node_id").cast("long").alias("node_id"), F.col("mask").cast("double").alias("mask"), *cells("features", 2))
 
 
+@query(f"{og.sql()} SELECT graph_id, n1 AS size1, n2 AS size2, n = n1 + n2 AS whole FROM graphs")
+def subgraph_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = assembly.require_rows(_graphs(spark, sf_dir)).withColumn("s", assembly.subgraph_size())
+    return d.select("graph_id", *[F.get("s", F.lit(k)).cast("long").alias(f"size{k + 1}") for k in (0, 1)], (F.col("n") == F.aggregate("s", F.lit(0), lambda a, x: a + x)).alias("whole"))
+
+
+@query(f"""{og.sql(5)}, g AS ({_GOOD_SQL}), e AS (SELECT graph_id, b AS src, e AS dst FROM pbonds UNION ALL SELECT graph_id, e, b FROM pbonds)
+SELECT g.graph_id, g.n, (SELECT count(*) FROM pnodes p WHERE p.graph_id = g.graph_id) AS n_nodes, (SELECT count(*) FROM e WHERE e.graph_id = g.graph_id) AS n_edges, g.label FROM g""")
+def dataset_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset that is built, stored, and found stored the second time."""
+    path = shared.folder(spark)
+    datasets.resolve(spark, path, lambda: _dataset(spark, sf_dir))
+    data = datasets.resolve(spark, path)
+    count = lambda d, n: d.groupBy("graph_id").agg(F.count(F.lit(1)).alias(n))
+    d = data.graphs.select("graph_id", F.col("n").cast("long").alias("n"), "label").join(count(data.nodes, "n_nodes"), "graph_id", "left").join(count(data.edges, "n_edges"), "graph_id", "left")
+    return d.select("graph_id", "n", "label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_nodes", "n_edges")])
+
+
 @query("SELECT label, count(l) AS count FROM (SELECT unnest([0, 1, 2, 3]) AS label) LEFT JOIN (SELECT (quality + 2 * toxic)::INT AS l FROM labels) ON l = label GROUP BY label")
 def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.label_histogram(table(spark, sf_dir, "labels").select((F.col("quality") + 2 * F.col("toxic")).alias("label")))
@@ -651,6 +669,64 @@ def train_one_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+#: Rate, decay and class weights of the step below; batches are md5 classes of graphs.
+STEP_RATE, STEP_DECAY, STEP_WEIGHTS, STEP_BATCHES = 0.01, 0.3, [1.0, 1.0, 1.0, 2.0], 16
+
+
+def _batch_norm_sql(p: network.Params, k: int, source: str, columns: list[str], out: str, key: str) -> str:
+    """CTE `out` of rows of `source` (batch, the columns): normalised by the batch's own statistics, then rectified."""
+    g, b = p[f"bn{k}.gamma"], p[f"bn{k}.beta"]
+    cell = lambda j, c: f"greatest(({c} - avg({c}) OVER w) / sqrt(var_pop({c}) OVER w + 1e-5) * {g[j]} + {b[j]}, 0) AS h{j}"
+    return f"{out} AS (SELECT batch, {key}, {', '.join(cell(j, c) for j, c in enumerate(columns))} FROM {source} WINDOW w AS (PARTITION BY batch))"
+
+
+def _step_sql() -> str:
+    """One optimizer step of the small network's last layer: forward with batch statistics, weighted loss, gradient, decay and Adam."""
+    p = _small_params()
+    wide, classes = 2, 4
+    w0 = p["fc_out.weight"]
+    batch = f"graph_id % {STEP_BATCHES} AS batch"
+    select = lambda cells: ", ".join(f"{c} AS z{j}" for j, c in enumerate(cells))
+    weight = "(CASE label " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(STEP_WEIGHTS)) + " END)::DOUBLE"
+    return f"""{og.sql()}{NODE_SQL},
+c1 AS (SELECT {batch}, graph_id, node_id, {select(_linear_sql(p, "conv1", ["f0", "f1", "f2", "f3"]))} FROM prop),
+{_batch_norm_sql(p, 1, "c1", ["z0", "z1", "z2"], "h1", "graph_id, node_id")},
+prop2 AS (SELECT l.graph_id, l.dst AS node_id, {", ".join(f"sum(h{k} / sqrt(a.d * b.d)) AS g{k}" for k in range(3))}
+  FROM loops l JOIN h1 n ON n.graph_id = l.graph_id AND n.node_id = l.src JOIN deg a ON a.graph_id = l.graph_id AND a.node_id = l.src
+  JOIN deg b ON b.graph_id = l.graph_id AND b.node_id = l.dst GROUP BY ALL),
+c2 AS (SELECT {batch}, graph_id, node_id, {select(_linear_sql(p, "conv2", ["g0", "g1", "g2"]))} FROM prop2),
+{_batch_norm_sql(p, 2, "c2", ["z0", "z1"], "h2", "graph_id, node_id")},
+pool AS (SELECT batch, graph_id, avg(h0) AS m0, avg(h1) AS m1 FROM h2 GROUP BY ALL),
+c3 AS (SELECT batch, graph_id, {select(_linear_sql(p, "fc1", ["m0", "m1"]))} FROM pool),
+{_batch_norm_sql(p, 3, "c3", ["z0", "z1"], "h3", "graph_id")},
+lo AS (SELECT batch, graph_id, (graph_id % 4)::INT AS label, h0, h1, [{", ".join(_linear_sql(p, "fc_out", ["h0", "h1"]))}] AS v FROM h3),
+pr AS (SELECT *, {weight} AS w, list_transform(v, lambda x: exp(x) / list_sum(list_transform(v, lambda y: exp(y)))) AS p FROM lo),
+s AS (SELECT *, w / sum(w) OVER (PARTITION BY batch) AS u FROM pr),
+g AS (SELECT batch, {", ".join(f"sum(u * h{i} * (p[{j + 1}] - (label = {j})::INT)) AS g{i}_{j}" for i in range(wide) for j in range(classes))},
+  {", ".join(f"sum(u * (p[{j + 1}] - (label = {j})::INT)) AS b{j}" for j in range(classes))}, -sum(u * ln(p[label + 1])) AS loss, count(*) AS n FROM s GROUP BY batch),
+m AS (SELECT {", ".join(f"avg(g{i}_{j}) + {STEP_DECAY} * {w0[i, j]}::DOUBLE AS g{i}_{j}" for i in range(wide) for j in range(classes))},
+  {", ".join(f"avg(b{j}) + {STEP_DECAY} * {p['fc_out.bias'][j]}::DOUBLE AS b{j}" for j in range(classes))}, sum(loss * n) / sum(n) AS loss FROM g)
+SELECT unnest([{", ".join(f"'weight{i}{j}'" for i in range(wide) for j in range(classes))}, {", ".join(f"'bias{j}'" for j in range(classes))}]) AS parameter,
+  unnest([{", ".join(f"round({w0[i, j]}::DOUBLE - {STEP_RATE} * g{i}_{j} / (abs(g{i}_{j}) + 1e-8), 6)" for i in range(wide) for j in range(classes))},
+    {", ".join(f"round({p['fc_out.bias'][j]}::DOUBLE - {STEP_RATE} * b{j} / (abs(b{j}) + 1e-8), 6)" for j in range(classes))}]) AS value,
+  unnest([{", ".join(f"round(g{i}_{j}, 6)" for i in range(wide) for j in range(classes))}, {", ".join(f"round(b{j}, 6)" for j in range(classes))}]) AS gradient, round(loss, 6) AS loss FROM m"""
+
+
+@query(_step_sql())
+def train_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _molecule_samples(spark, sf_dir).withColumn("batch", (F.col("graph_id") % STEP_BATCHES).cast("string"))
+    params = _small_params()
+    grads, _, loss, n = training.step_gradients(rows, params, STEP_WEIGHTS, 0, dropout=0.0)
+    new = training.Adam(STEP_RATE, STEP_DECAY).update(params, grads, training.trained_names(params, 1))
+    told = []
+    for name in ("weight", "bias"):
+        for at in np.ndindex(params[f"fc_out.{name}"].shape):
+            g = grads[f"fc_out.{name}"][at] + STEP_DECAY * params[f"fc_out.{name}"][at]
+            told.append((name + "".join(map(str, at)), float(new[f"fc_out.{name}"][at]), float(g), loss / n))
+    d = spark.createDataFrame(told, "parameter string, value double, gradient double, loss double")  # as large as the layer
+    return d.select("parameter", *[r6(c).alias(c) for c in ("value", "gradient", "loss")])
+
+
 @query()
 def finetune_last_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     ab = _samples(spark, sf_dir)
@@ -771,6 +847,16 @@ def macro_precision_recall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(*[r6(c).alias(c) for c in d.columns])
 
 
+@query(f"""{_PRED} SELECT label AS "True Label", pred AS "Predicted Label", label = pred AS "Correct", {", ".join(f'(pred = {k})::INT::DOUBLE AS "P({c})"' for k, c in enumerate(ft.CLASS_NAMES))} FROM r""")
+def prediction_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result table as it comes back from its file."""
+    path = shared.folder(spark)
+    probs = F.array(*[(F.col("pred") == k).cast("double") for k in range(4)])
+    datasets.write_predictions(_predictions(spark, sf_dir).withColumn("probs", probs), path)
+    kinds = ", ".join(f"`P({c})` double" for c in ft.CLASS_NAMES)
+    return spark.read.csv(path, f"`True Label` int, `Predicted Label` int, `Correct` boolean, {kinds}", header=True)
+
+
 _LOSS = """WITH r AS (SELECT doc_id % 16 AS batch, quality + 2 * toxic AS label, (doc_id % 100) / 37.0::DOUBLE AS loss FROM labels),
 b AS (SELECT batch, sum(w * loss) / sum(w) AS loss, count(*) AS n FROM (SELECT *, ([1.0::DOUBLE, 1.0, 1.0, 2.0])[label + 1] AS w FROM r) GROUP BY batch)"""
 
