@@ -712,21 +712,45 @@ SELECT unnest([{", ".join(f"'weight{i}{j}'" for i in range(wide) for j in range(
   unnest([{", ".join(f"round(g{i}_{j}, 6)" for i in range(wide) for j in range(classes))}, {", ".join(f"round(b{j}, 6)" for j in range(classes))}]) AS gradient, round(loss, 6) AS loss FROM m"""
 
 
+def _stepped(spark: SparkSession, sf_dir: str, params: network.Params) -> tuple[network.Params, network.Params, float]:
+    """Parameters behind the step, gradients and loss."""
+    rows = _molecule_samples(spark, sf_dir).withColumn("batch", (F.col("graph_id") % STEP_BATCHES).cast("string"))
+    grads, _, loss, n = training.step_gradients(rows, params, STEP_WEIGHTS, 0, dropout=0.0)
+    return training.Adam(STEP_RATE, STEP_DECAY).update(params, grads, training.trained_names(params, 1)), grads, loss / n
+
+
 @query(_step_sql())
 def train_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _molecule_samples(spark, sf_dir).withColumn("batch", (F.col("graph_id") % STEP_BATCHES).cast("string"))
     params = _small_params()
-    grads, _, loss, n = training.step_gradients(rows, params, STEP_WEIGHTS, 0, dropout=0.0)
-    new = training.Adam(STEP_RATE, STEP_DECAY).update(params, grads, training.trained_names(params, 1))
+    new, grads, loss = _stepped(spark, sf_dir, params)
     told = []
     for name in ("weight", "bias"):
         for at in np.ndindex(params[f"fc_out.{name}"].shape):
             g = grads[f"fc_out.{name}"][at] + STEP_DECAY * params[f"fc_out.{name}"][at]
-            told.append((name + "".join(map(str, at)), float(new[f"fc_out.{name}"][at]), float(g), loss / n))
+            told.append((name + "".join(map(str, at)), float(new[f"fc_out.{name}"][at]), float(g), loss))
     d = spark.createDataFrame(told, "parameter string, value double, gradient double, loss double")  # as large as the layer
     return d.select("parameter", *[r6(c).alias(c) for c in ("value", "gradient", "loss")])
 
 
+def _stored_sql() -> str:
+    """Layers of the small network behind that step: their parameters, those that the last level trains, and the values' sum."""
+    p = _small_params()
+    fixed = [(layer, sum(v.size for k, v in own.items()), sum(float(v.sum()) for v in own.values())) for layer in dict.fromkeys(k.split(".")[0] for k in p) if layer != "fc_out" for own in [{k: v for k, v in p.items() if k.split(".")[0] == layer and k.split(".")[1] not in ("mean", "var")}]]
+    rows = ", ".join(f"('{layer}', {n}, 0, {total!r}::DOUBLE)" for layer, n, total in fixed)
+    return f"""SELECT layer, n::BIGINT AS n, trained::BIGINT AS trained, round(total, 4) AS total FROM (VALUES {rows}) t(layer, n, trained, total)
+UNION ALL SELECT 'fc_out', count(*), count(*), round(sum(value), 4) FROM ({_step_sql()})"""
+
+
+@query(_stored_sql())
+def stored_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The network behind the step above, stored, read back and checked."""
+    params, path = _small_params(), shared.folder(spark)
+    network.save_params(spark, _stepped(spark, sf_dir, params)[0], path)
+    network.load_params(spark, path, params)
+    d = spark.read.parquet(path).where(~F.col("name").isin("mean", "var"))
+    return d.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.count_if(network.trainable(1)).alias("trained"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query()
 def finetune_last_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     ab = _samples(spark, sf_dir)
