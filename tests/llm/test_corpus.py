@@ -30,7 +30,7 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):

@@ -156,7 +156,7 @@ def test_added_spans_on_held_out_texts(spark):
     assert clean and sum(len(r.spans) for r in pd_.find(documents(spark, clean), model).collect()) < 0.05 * len(clean)
 
 
-EDGES = [None, "", " \n", "a@b.c", "é a@b.c é", "4111 1111 1111 1111", "1.2.3.4", "+1 (743) 555-3824", "a@b.c.@x.y", "mail a@b.c, a@b.c", "x" * 200_000, "1 " * 50_000]
+EDGES = [None, "", " \n", "a@b.c", "é a@b.c é", "4111 1111 1111 1111", "1.2.3.4", "+1 (743) 555-3824", "a@b.c.@x.y", "mail a@b.c, a@b.c", "x" * 20_000, "1 " * 50_000]
 
 
 def test_query_columns_and_edges(spark, tmp_path):
