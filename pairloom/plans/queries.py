@@ -669,8 +669,8 @@ def train_one_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-#: Rate, decay and class weights of the step below; batches are md5 classes of graphs.
-STEP_RATE, STEP_DECAY, STEP_WEIGHTS, STEP_BATCHES = 0.01, 0.3, [1.0, 1.0, 1.0, 2.0], 16
+#: Rate, decay and class weights of the step below; a batch has graphs of so many consecutive numbers.
+STEP_RATE, STEP_DECAY, STEP_WEIGHTS, STEP_BATCH = 0.01, 0.3, [1.0, 1.0, 1.0, 2.0], 1024
 
 
 def _batch_norm_sql(p: network.Params, k: int, source: str, columns: list[str], out: str, key: str) -> str:
@@ -685,7 +685,7 @@ def _step_sql() -> str:
     p = _small_params()
     wide, classes = 2, 4
     w0 = p["fc_out.weight"]
-    batch = f"graph_id % {STEP_BATCHES} AS batch"
+    batch = f"graph_id // {STEP_BATCH} AS batch"
     select = lambda cells: ", ".join(f"{c} AS z{j}" for j, c in enumerate(cells))
     weight = "(CASE label " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(STEP_WEIGHTS)) + " END)::DOUBLE"
     return f"""{og.sql()}{NODE_SQL},
@@ -714,7 +714,7 @@ SELECT unnest([{", ".join(f"'weight{i}{j}'" for i in range(wide) for j in range(
 
 def _stepped(spark: SparkSession, sf_dir: str, params: network.Params) -> tuple[network.Params, network.Params, float]:
     """Parameters behind the step, gradients and loss."""
-    rows = _molecule_samples(spark, sf_dir).withColumn("batch", (F.col("graph_id") % STEP_BATCHES).cast("string"))
+    rows = _molecule_samples(spark, sf_dir).withColumn("batch", F.floor(F.col("graph_id") / STEP_BATCH).cast("string"))
     grads, _, loss, n = training.step_gradients(rows, params, STEP_WEIGHTS, 0, dropout=0.0)
     return training.Adam(STEP_RATE, STEP_DECAY).update(params, grads, training.trained_names(params, 1)), grads, loss / n
 
