@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from pairloom.llm import queries
+from tests.llm.plain_mixing import bounded, draw
 
 
 @pytest.fixture(scope="module")
@@ -99,7 +100,13 @@ def test_pipeline(spark, tmp_path):
         masked.append((i, t, lang, source))
     assert sum("[secret]" in t for _, t, *_ in masked) >= 1 and not any("AKIA" in t for _, t, *_ in masked)
     # Mix
-    kept = {r.doc_id for r in mixing.mix(spark.createDataFrame(masked, "doc_id long, text string, lang string, source string")).where("kept").collect()}
+    topics = {r.doc_id: r.topic for r in mixing.with_topic(spark.createDataFrame(masked, "doc_id long, text string, lang string, source string")).collect()}
+    cell = {i: (source, lang, topics[i]) for i, _, lang, source in masked}
+    cells = Counter()
+    for i, t, *_ in masked:
+        cells[cell[i]] += len(split(t))
+    weights, _, _ = bounded(cells, mixing.KEEP, mixing.TEMPER)
+    kept = {i for i, n in cell.items() if draw(i) < mixing.KEEP * weights[n]}
     assert 0 < len(kept) < len(masked)
     # Encoding
     library = Tokenizer.from_file(bpe_automaton.default_path())

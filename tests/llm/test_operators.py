@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.llm import bpe_automaton, components, mixing, ngram_jaccard, quality_crf, quality_rules, secret_scans, sharding, substring_dedup, token_counts, topk_search
+from tests.llm.plain_mixing import bounded, draw, margins
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, host string, key string, row string, base string, rank int"
 WORDS = [f"w{i}" for i in range(400)]
@@ -219,9 +220,48 @@ def test_mixing_against_loops(spark):
         p = min(1, mixing.KEEP * w)
         assert r.weight == pytest.approx(w, abs=2e-3) and (r.kept == (u < p) or abs(u - p) < 1e-3) and r.residual <= mixing.TOLERANCE
         assert r.probability * r.loss_weight == pytest.approx(mixing.KEEP * w, abs=5e-3)
-    sample = mixing.sample(d, topics=topics)
-    assert sample.columns == d.columns and sorted(str(r.doc_id) for r in sample.collect()) == sorted(str(r.doc_id) for r in rows if r.kept)
     assert min(want.values()) < 0.9 and max(want.values()) > 1.1
+    # The sample without weights
+    want, goals, gap = bounded(cells, mixing.KEEP, mixing.TEMPER)
+    weights, residual = mixing.bounded_weights(mixing.with_topic(d, topics))
+    got = {tuple(r[c] for c in mixing.DIMS): r.w for r in weights.collect()}
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(w, rel=1e-6) for c, w in want.items()) and residual == pytest.approx(gap, abs=1e-6)
+    sample = mixing.sample(d, topics=topics)
+    drawn = [str(r.doc_id) for r in rows if draw(r.doc_id) < mixing.KEEP * want.get((r.source, r.lang, r.topic), 0)]
+    assert sample.columns == d.columns and sorted(str(r.doc_id) for r in sample.collect()) == sorted(drawn)
+
+
+@pytest.mark.parametrize("keep", [0.5, 0.9])
+def test_unweighted_sample_meets_its_targets(spark, keep):
+    """Margins of the probabilities' tokens are those of the targets, however rare a source is; so are those of the draw, nearly."""
+    rng = random.Random(31)
+    rows = [(i, "w " * rng.randint(20, 60), rng.choices(["hot", "mid", "cold", "one"], [900, 80, 19, 1])[0], rng.choices(["en", "de", None], [80, 15, 5])[0]) for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    cells = Counter()
+    for _, t, source, lang in rows:
+        cells[source, lang or "", ""] += len(t) // 2
+    total = sum(cells.values())
+    weights, residual = mixing.bounded_weights(mixing.with_topic(d, {}), keep=keep)
+    w = {tuple(r[c] for c in mixing.DIMS): r.w for r in weights.collect()}
+    _, goals, _ = bounded(cells, keep, mixing.TEMPER)
+    assert residual <= 2e-3 and max(w.values()) <= 1 / keep + 1e-12 and len(w) == len(cells)
+    kept = margins({(s, g or "", ""): 0.0 for _, _, s, g in rows})
+    for r in mixing.sample(d, keep=keep, topics={}).collect():
+        for k, v in enumerate((r.source, r.lang or "", "")):
+            kept[k][v] += len(r.text) // 2
+    for k in range(3):
+        for v, goal in goals[k].items():
+            assert sum(n * w[c] for c, n in cells.items() if c[k] == v) / total == pytest.approx(goal, rel=2e-3)
+            assert kept[k][v] / (keep * total) == pytest.approx(goal, abs=0.02)
+
+
+def test_unweighted_sample_of_given_targets(spark):
+    """A target beyond what its source has ends there, and the others get the rest."""
+    d = documents(spark, ["w " * 10] * 100).withColumn("source", F.when(F.col("doc_id") < 10, "rare").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 2))).withColumn("lang", F.lit("en"))
+    targets = spark.createDataFrame([("source", "rare", 0.5), ("source", "s0", 0.2), ("source", "s1", 0.2), ("source", "absent", 0.1), ("lang", "en", 1.0), ("topic", "", 1.0)], "dim string, value string, share double")
+    weights, residual = mixing.bounded_weights(mixing.with_topic(d, {}), targets, keep=0.5)
+    w = {r.source: r.w for r in weights.collect()}
+    assert residual <= 1e-4 and w["rare"] == pytest.approx(2) and w["s0"] == pytest.approx(0.4 / 0.45) and w["s1"] == pytest.approx(0.4 / 0.45)
 
 
 def test_mixing_meets_given_targets(spark):
