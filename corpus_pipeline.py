@@ -30,7 +30,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens, weighted by loss_weight, meet the target shares of sources, languages and topics."""
+    """A sample whose tokens meet the target shares of sources, languages and topics, as far as the documents can fill them."""
     return mixing.sample(docs)
 
 
