@@ -202,7 +202,9 @@ def test_topics_are_found_in_the_texts(spark):
     assert mixing.fit_topics(d.where("false")) == {}
 
 
-def test_mixing_against_loops(spark):
+@pytest.mark.parametrize("one_task", [0, 100_000])
+def test_mixing_against_loops(spark, one_task, monkeypatch):
+    monkeypatch.setattr(mixing, "ONE_TASK_CELLS", one_task)
     rng = random.Random(3)
     texts = [prose(rng, rng.randint(5, 40)) + rng.choice(["", " salt", " bank"]) for _ in range(80)] + [None, "", " "]
     d = documents(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))
