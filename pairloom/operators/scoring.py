@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.features import argmax, class_name
+from ..functions.features import class_name
 from ..sources import lookups, molblocks, smiles
 from ..sources.shared import spread, written
 from . import assembly, network, perception
@@ -27,8 +27,7 @@ def score_pairs(
     rows = assembly.samples(data)
     if pad_to is not None:
         rows = rows.where(F.col("n") <= pad_to)
-    ab, ba = (network.probabilities(network.logits(s, params, pad_to)) for s in (rows, assembly.reversed_samples(rows)))
-    scored = network.both_directions(ab, ba).select("graph_id", "probs", argmax(F.col("probs")).alias("pred"))
+    scored = network.both_orders(rows, params, pad_to)
     known = atoms.groupBy(F.col("mol_key").alias("key1")).agg(F.count(F.lit(1)).alias("n1"))
     d = given.join(known, "key1", "left").join(known.select(F.col("key1").alias("key2"), F.col("n1").alias("n2")), "key2", "left").join(scored, "graph_id", "left")
     missing = lambda k: F.when(F.col(f"n{k}").isNull(), F.concat(F.lit("no molecule: "), F.coalesce(F.col(f"key{k}").cast("string"), F.lit("null"))))

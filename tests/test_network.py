@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import metrics, network, training
+from pairloom.operators import assembly, metrics, network, training
 
 SMALL = {"convs": [("conv1", 3, 5), ("conv2", 5, 4)], "dense": [("fc1", 4, 4)]}
 
@@ -69,6 +69,42 @@ def test_padding_nodes_take_part_in_pooling():
         network.pooled(p, x, s, d, pad_to=1)
 
 
+def test_graphs_beyond_the_padded_size_follow_the_same_formula():
+    p = {"conv1.weight": np.ones((1, 1)), "conv1.bias": np.ones(1), "bn1.gamma": np.ones(1), "bn1.beta": np.zeros(1), "bn1.mean": np.zeros(1), "bn1.var": np.ones(1) - 1e-5}
+    x, none = np.array([[1.0], [3.0], [5.0]]), np.array([], dtype=np.int64)
+    # Nodes 2, 4 and 6 behind the layer, padding nodes 1: the first graph has two nodes, the second one.
+    got = network.pooled_batch(p, x, np.array([2, 1]), none, none, 1, longer="extend")
+    assert got.ravel() == pytest.approx([2 + 4 - 1, 6])
+    with pytest.raises(ValueError, match="does not fit"):
+        network.pooled_batch(p, x, np.array([2, 1]), none, none, 1)
+
+
+def test_batches_of_graphs_score_as_single_ones():
+    p, items = small_params(), graphs(9)
+    items[3] = (items[3][0], np.array([0, 0, 1, 1]), np.array([1, 1, 0, 1]))  # repeated edges and a loop
+    sizes = np.array([len(x) for x, _, _ in items])
+    first = np.cumsum(sizes) - sizes
+    src, dst = (np.concatenate([g[k] + f for g, f in zip(items, first, strict=True)]) for k in (1, 2))
+    got = network.pooled_batch(p, np.concatenate([x for x, _, _ in items]), sizes, src, dst, 6)
+    for row, (x, s, d) in zip(got, items, strict=True):
+        a, pad = network.normalised_adjacency(len(x), s, d), np.zeros((1, 3))
+        for k in (1, 2):
+            x, pad = (network._normed(h @ p[f"conv{k}.weight"] + p[f"conv{k}.bias"], p, k) for h in (a @ x, pad))
+        assert np.allclose(row, (x.sum(axis=0) + (6 - len(x)) * pad[0]) / 6)
+
+
+def test_both_orders_as_two_assemblies_and_a_join(spark, monkeypatch):
+    monkeypatch.setattr(network, "NODES_AT_ONCE", 5)
+    p, items = small_params(), graphs(7)
+    d = sample_frame(spark, items, [0] * 7).withColumn("n1", F.lit(1)).withColumn("n2", F.size("x") - 1)
+    ab, ba = (network.probabilities(network.logits(s, p, 5)) for s in (d, assembly.reversed_samples(d)))
+    want = {r.graph_id: r for r in network.both_directions(ab, ba).collect()}
+    scored = network.both_orders(d, p, 5)
+    assert "Join" not in scored._jdf.queryExecution().toString() and "Join" not in network.evaluate(d, p)._jdf.queryExecution().toString()
+    got = {r.graph_id: r for r in scored.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k].probs, want[k].probs) and got[k]["pred"] == want[k]["pred"] for k in want)
+
+
 def test_parameter_table_round_trip(spark):
     p = small_params()
     q = network.read_params(network.params_table(spark, p))
