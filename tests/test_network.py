@@ -132,6 +132,25 @@ def test_training_lowers_the_loss(spark):
     assert after < before
 
 
+def test_steps_of_one_batch_as_a_loop_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(training, "STEPS_A_TASK", 2)
+    monkeypatch.setattr(training, "step_gradients", lambda *a: pytest.fail("a job for each step"))
+    d = sample_frame(spark, graphs(39), [i % 3 for i in range(39)]).persist()
+    adam, one = training.Adam(0.01), training.Adam(0.01)
+    got, loss = training.train_epoch(d, small_params(), adam, 1, batch_size=8)
+    cut, p, total = {}, small_params(), []
+    for r in training.cut_batches(d, 8, 43, drop_last=True).orderBy("graph_id").collect():
+        cut.setdefault(int(r.batch), []).append(r)
+    for k in sorted(cut):
+        rows = [(np.array(r.x), np.array(r.src), np.array(r.dst)) for r in cut[k]]
+        found, _, grads, stats = training.batch_gradient(p, rows, np.array([r.label for r in cut[k]]), np.ones(3), network.DROPOUT, np.random.default_rng([43, *str(k).encode()]))
+        p = one.update(p, grads, training.trained_names(p))
+        p |= {n: 0.9 * p[n] + 0.1 * v for n, v in stats.items()}
+        total.append(found)
+    assert len(total) == 4 and adam.step == 4 and loss == pytest.approx(np.mean(total))
+    assert got.keys() == p.keys() and all(np.allclose(got[n], p[n]) for n in p) and all(np.allclose(adam.m[n], one.m[n]) for n in one.m)
+
+
 def test_training_goes_on_from_a_checkpoint(spark, tmp_path):
     items = graphs(24)
     d = sample_frame(spark, items, [i % 3 for i in range(24)]).persist()
