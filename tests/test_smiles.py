@@ -123,3 +123,14 @@ def test_records_are_split(spark, tmp_path):
         assert {r.mol_key for r in by_field.collect()} == {f"x{i}" for i in range(300)}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_few_molecules_are_python_objects_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from pairloom.sources import rows
+
+    monkeypatch.setattr(rows, "ROWS_AT_ONCE", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10))], ["k"])
+    parts = list(rows.slices(iter([batch, batch.slice(0, 0)])))
+    assert [p.num_rows for p in parts] == [4, 4, 2] and [k for p in parts for k in p.column(0).to_pylist()] == list(range(10))
