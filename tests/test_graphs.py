@@ -204,3 +204,27 @@ def test_ranges(spark):
     top = {r.k: r.top for r in ranges.before_row(unique, "k", F.col("v"), "top", largest=True, ranges=16).collect()}
     assert all(top[k] == (max((i * 37) % 101 for i in range(k)) if k else None) for k in range(500))
     assert network.with_position(d.where("false"), "k").count() == 0
+
+
+def test_places_are_dealt_by_rows_and_each_part_counts_once(spark, tmp_path, monkeypatch):
+    from pairloom.plans import order_graph as og
+
+    rows = [(k, p) for k in range(40) for p in (3, 1, 3, 2, 1)] + [(None, 1), (None, 1), (7, None), (7, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(og, "ITEMS_A_TASK", 10)
+    d = og.places(spark, str(tmp_path))
+    assert d.rdd.getNumPartitions() == 21  # 204 rows, though they are small enough for one
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Repartition") == 1
+    got = {(r.mol_key, r.idx, r.pk, r.next_pk) for r in d.collect()}
+    assert got == {(k, *r) for k in range(40) if k != 7 for r in ((0, 1, 2), (1, 2, 3), (2, 3, None))} | {(7, 0, None, 1), (7, 1, 1, 2), (7, 2, 2, 3), (7, 3, 3, None), (None, 0, 1, None)}
+
+
+def test_neighbours_meet_by_molecule(spark):
+    from pairloom.operators import molecules
+
+    atoms = spark.createDataFrame([("m", 0, "C", True), ("m", 1, "H", False), ("n", 0, "O", True), (None, 0, "C", True)], "mol_key string, idx int, symbol string, is_donor boolean")
+    bonds = spark.createDataFrame([("m", 0, 1), ("n", 0, 5), ("n", 0, None), ("k", 0, 1), (None, 0, 0)], "mol_key string, begin int, end int")
+    d = molecules.with_neighbours(atoms, bonds)
+    assert sorted(tuple(r) for r in d.collect()) == [("m", 0, "C", True, 1, "H"), ("m", 1, "H", False, 0, "C")]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
