@@ -21,7 +21,28 @@ def read_mol_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines() -> Column:
-    return F.split("block", "\r?\n", -1)
+    return F.col("_lines")
+
+
+def _split(blocks: DataFrame) -> DataFrame:
+    """blocks with their lines, split once: behind a generator, from which Catalyst copies no expression into those that read it."""
+    return blocks.select(F.inline(F.array(F.struct("mol_key", "block", F.split("block", "\r?\n", -1).alias("_lines")))))
+
+
+def _read(blocks: DataFrame) -> DataFrame:
+    """molecules, with _lines, and _places and _bonds of the blocks that have enough lines; each is made once."""
+    d = _split(blocks)
+    counts = F.coalesce(F.get(_lines(), F.lit(3)), F.lit(""))
+    name = F.trim(F.get(_lines(), F.lit(0)))
+    d = d.select(F.inline(F.array(F.struct("mol_key", "block", "_lines", name.alias("name"), _number(counts, 1, 3, "int").alias("n_atoms"), _number(counts, 4, 3, "int").alias("n_bonds")))))
+    enough = (F.col("n_atoms") > 0) & (F.col("n_bonds") >= 0) & (F.size(_lines()) >= 4 + F.col("n_atoms") + F.col("n_bonds"))
+    ok = F.coalesce(enough, F.lit(False))
+    made = F.struct("mol_key", "block", "_lines", "name", "n_atoms", "n_bonds", ok.alias("_ok"), F.when(ok, _places()).alias("_places"), F.when(ok, _bond_fields()).alias("_bonds"))
+    d = d.select(F.inline(F.array(made)))
+    placed = F.forall("_places", lambda a: a["x"].isNotNull() & a["y"].isNotNull() & a["z"].isNotNull())
+    end = lambda e: F.coalesce((e >= 0) & (e < F.col("n_atoms")), F.lit(False))
+    joined = F.forall("_bonds", lambda b: end(b["begin"]) & end(b["end"]))
+    return d.withColumn("valid", F.col("_ok") & F.coalesce(placed & joined, F.lit(False))).drop("_ok")
 
 
 def _number(line: Column, start: int, width: int, kind: str) -> Column:
@@ -33,16 +54,7 @@ def molecules(blocks: DataFrame) -> DataFrame:
 
     A block that can't be read makes no error: it is not valid, and its molecule is missing from atoms and bonds.
     """
-    counts = F.coalesce(F.get(_lines(), F.lit(3)), F.lit(""))
-    d = blocks.select("mol_key", "block", F.trim(F.get(_lines(), F.lit(0))).alias("name"), _number(counts, 1, 3, "int").alias("n_atoms"), _number(counts, 4, 3, "int").alias("n_bonds"))
-    enough = (F.col("n_atoms") > 0) & (F.col("n_bonds") >= 0) & (F.size(_lines()) >= 4 + F.col("n_atoms") + F.col("n_bonds"))
-    placed = F.forall("_places", lambda a: a["x"].isNotNull() & a["y"].isNotNull() & a["z"].isNotNull())
-    end = lambda e: F.coalesce((e >= 0) & (e < F.col("n_atoms")), F.lit(False))
-    joined = F.forall("_bonds", lambda b: end(b["begin"]) & end(b["end"]))
-    d = d.withColumn("_ok", F.coalesce(enough, F.lit(False)))
-    d = d.withColumn("_places", F.when(F.col("_ok"), _places())).withColumn("_bonds", F.when(F.col("_ok"), _bond_fields()))
-    d = d.withColumn("valid", F.col("_ok") & F.coalesce(placed & joined, F.lit(False)))
-    return d.drop("_ok", "_places", "_bonds")
+    return _read(blocks).drop("_lines", "_places", "_bonds")
 
 
 def _places() -> Column:
@@ -60,11 +72,11 @@ def _bond_fields() -> Column:
 
 def atoms(blocks: DataFrame) -> DataFrame:
     """mol_key, idx (from 0), symbol, x, y, z, formalcharge, atomic_number, is_metal of the valid blocks."""
-    m = molecules(blocks).where("valid")
+    m = _read(blocks).where("valid")
     charge_lines = F.filter(_lines(), lambda x: x.startswith("M  CHG"))
     numbers = F.flatten(F.transform(charge_lines, lambda x: F.slice(F.split(F.trim(F.substring(x, 10, 1000)), " +"), 1, 1000)))
     symbols = F.transform(F.slice(_lines(), F.lit(5), F.col("n_atoms")), lambda x: F.trim(F.substring(x, 32, 3)))
-    d = m.select("mol_key", numbers.alias("numbers"), F.posexplode(F.arrays_zip(symbols.alias("symbol"), _places().alias("p"))).alias("idx", "a"))
+    d = m.select("mol_key", numbers.alias("numbers"), F.posexplode(F.arrays_zip(symbols.alias("symbol"), F.col("_places").alias("p"))).alias("idx", "a"))
     d = d.select("mol_key", "idx", "a.symbol", "a.p.*", "numbers", F.size("numbers").alias("n"))
     last = "array_max(filter(sequence(0, n - 2, 2), i -> get(numbers, i) = cast(idx + 1 AS string)))"
     charge = F.when(F.col("n") >= 2, F.expr(f"try_cast(get(numbers, {last} + 1) AS int)"))
@@ -78,7 +90,7 @@ def bonds(blocks: DataFrame) -> DataFrame:
 
     Both ends of a bond are in the block's own row, so nothing is joined.
     """
-    m = molecules(blocks).where("valid AND n_bonds > 0").select("mol_key", _places().alias("p"), _bond_fields().alias("b"))
+    m = _read(blocks).where("valid AND n_bonds > 0").select("mol_key", F.col("_places").alias("p"), F.col("_bonds").alias("b"))
     placed = F.transform("b", lambda b: F.struct(b["begin"].alias("begin"), b["end"].alias("end"), b["kind"].alias("kind"), F.get("p", b["begin"]).alias("f"), F.get("p", b["end"]).alias("t")))
     b = m.select("mol_key", F.inline(placed))
     names = F.array(F.lit("SINGLE"), F.lit("DOUBLE"), F.lit("TRIPLE"), F.lit("AROMATIC"))
@@ -89,9 +101,9 @@ def bonds(blocks: DataFrame) -> DataFrame:
 
 def rows(blocks: DataFrame) -> DataFrame:
     """Molecule rows of blocks (mol_key, block): all atoms with coordinates, bonds by order. Hydrogens are those of the block; what a valence leaves open stays implicit."""
-    m = molecules(blocks)
+    m = _read(blocks)
     symbols = F.transform(F.slice(_lines(), F.lit(5), F.col("n_atoms")), lambda x: F.trim(F.substring(x, 32, 3)))
-    m = m.select("mol_key", "valid", F.when(F.col("valid"), symbols).alias("symbols"), F.when(F.col("valid"), _charges()).alias("charges"), F.when(F.col("valid"), _places()).alias("places"), F.when(F.col("valid"), _bond_fields()).alias("fields"))
+    m = m.select("mol_key", "valid", F.when(F.col("valid"), symbols).alias("symbols"), F.when(F.col("valid"), _charges()).alias("charges"), F.when(F.col("valid"), F.col("_places")).alias("places"), F.when(F.col("valid"), F.col("_bonds")).alias("fields"))
     numbers = F.array(*[F.lit(e) for e in ELEMENTS])
     m = m.withColumn("numbers", F.transform("symbols", lambda s: F.array_position(numbers, s).cast("int")))
     kinds = "transform(fields, b -> named_struct('begin', b.begin, 'end', b.end, 'order', b.kind))"
@@ -120,4 +132,4 @@ def read_records(spark: SparkSession, path: str, key: str | None = None, ending:
     written, with \\r\\n where files have it. A record's data fields stay in the block, behind its `M  END`.
     """
     d = spark.read.option("lineSep", ending).text(path).select(F.col("value").alias("block")).where("trim(block) != ''")
-    return d.select((F.expr(key) if key else F.trim(F.get(_lines(), F.lit(0)))).alias("mol_key"), "block")
+    return d.select((F.expr(key) if key else F.trim(F.get(F.split("block", "\r?\n", -1), F.lit(0)))).alias("mol_key"), "block")

@@ -104,3 +104,9 @@ def test_molblock(spark):
 @pytest.mark.parametrize(("z", "metal"), [(1, False), (3, True), (11, True), (14, False), (26, True), (32, False), (118, True)])
 def test_metals(spark, z, metal):
     assert one(spark, ft.is_metal(F.col("v")), "int", [z]) == [metal]
+
+
+def test_a_block_is_split_once(spark):
+    d = spark.createDataFrame([("w", "block")], "mol_key string, block string")
+    for made in (molblocks.molecules(d), molblocks.atoms(d), molblocks.bonds(d)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("split(block") <= 1
