@@ -202,6 +202,12 @@ def test_topics_are_found_in_the_texts(spark):
     assert mixing.fit_topics(d.where("false")) == {}
 
 
+def test_topics_count_over_all_texts(spark, monkeypatch):
+    d = documents(spark, [themed(random.Random(i), "ocean") for i in range(40)] + ["other words"] * 200)
+    monkeypatch.setattr(mixing, "unit_interval", lambda key: F.lit(1e9))  # nothing is ever drawn
+    assert mixing.fit_topics(d, topics=2, anchors=5) and mixing.fit_topics(d, topics=2, anchors=5, sample=2000) == {}
+
+
 @pytest.mark.parametrize("one_task", [0, 100_000])
 def test_mixing_against_loops(spark, one_task, monkeypatch):
     monkeypatch.setattr(mixing, "ONE_TASK_CELLS", one_task)
