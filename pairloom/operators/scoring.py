@@ -11,6 +11,7 @@ from ..functions.features import class_name
 from ..sources import lookups, molblocks, smiles
 from ..sources.shared import spread, written
 from . import assembly, network, perception
+from .adjacency import BONDS_ONLY, mode_of
 
 
 def score_pairs(
@@ -20,7 +21,13 @@ def score_pairs(
 
     probs is the mean over both orders of a pair. error says why a pair has no scores: a key without atoms, atoms or
     bonds outside the vocabularies, or more nodes than pad_to; it is null for the others. graph_id tells pairs apart.
+
+    Where edges are bonds, the convolutions see each molecule once, however many pairs it is in; its sums are written to the shared
+    folder. With distances, which join both molecules, every pair is a graph of its own.
     """
+    if mode_of(mode) in BONDS_ONLY:
+        known = written(network.sums(assembly.molecule_samples(atoms, bonds, mode), params, ("n",)).withColumn("reason", F.lit(None).cast("string")))
+        return _from_sums(pairs.select("graph_id", "key1", "key2"), known, params, pad_to).drop("n1", "n2")
     given = pairs.select("graph_id", "key1", "key2")
     whole = given.select("graph_id", "key1", "key2", F.lit(0).alias("label"), F.lit("").alias("tag"), F.lit("").alias("last"))
     data = assembly.build_dataset(whole, atoms, bonds, mode, strict=False, denied=[])
@@ -37,6 +44,19 @@ def score_pairs(
     return d.select("graph_id", "key1", "key2", "probs", "pred", class_name(F.col("pred")).alias("class"), error.alias("error"))
 
 
+def _from_sums(pairs: DataFrame, known: DataFrame, params: network.Params, pad_to: int | None) -> DataFrame:
+    """pairs (with key1, key2) and n1, n2, probs, pred, class and error, from known: mol_key, n, total and reason (why there is no molecule) of every key."""
+    side = lambda k: known.select(*[F.col(c).alias(f"{name}{k}") for c, name in (("mol_key", "key"), ("n", "n"), ("total", "total"), ("reason", "reason"))])
+    d = pairs.join(side(1), "key1", "left").join(side(2), "key2", "left").withColumn("n", F.col("n1") + F.col("n2"))
+    d = network.from_sums(d, params, pad_to)
+    told = [F.concat(F.lit(f"{word} input: "), f"reason{k}") for k, word in ((1, "first"), (2, "second"))]
+    missing = lambda k: F.when(F.col(f"n{k}").isNull(), F.concat(F.lit("no molecule: "), F.coalesce(F.col(f"key{k}").cast("string"), F.lit("null"))))
+    too_large = F.when(F.col("n") > (pad_to or 1 << 62), F.lit("more nodes than the padded size"))
+    other = F.when(F.col("pred").isNull(), F.lit("atoms or bonds outside the vocabularies"))
+    error = F.coalesce(*told, missing(1), missing(2), too_large, other)
+    return d.select(*pairs.columns, "n1", "n2", "probs", "pred", class_name(F.col("pred")).alias("class"), error.alias("error"))
+
+
 #: What an input of `score_structures` may be.
 INPUTS = ("smiles", "cas", "mol_block", "sdf")
 
@@ -77,10 +97,15 @@ def score_structures(
     need coordinates, so blocks.
     """
     key = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")), 256)
-    given = pairs.select("graph_id", "input1", "input2", key("input1").alias("key1"), key("input2").alias("key2"))
-    inputs = given.select(F.explode(F.array(F.struct(F.col("key1").alias("mol_key"), F.col("input1").alias("input")), F.struct(F.col("key2").alias("mol_key"), F.col("input2").alias("input")))).alias("i")).select("i.*")
-    made = written(structures(spread(inputs.groupBy("mol_key").agg(F.first("input").alias("input"))), kind, **source))
-    scored = score_pairs(given, perception.atom_table(made), perception.bond_table(made), params, mode, pad_to)
+    given = written(pairs.select("graph_id", "input1", "input2", key("input1").alias("key1"), key("input2").alias("key2")))
+    inputs = given.select(F.explode(F.array("input1", "input2")).alias("input")).distinct().groupBy(key("input").alias("mol_key")).agg(F.first("input").alias("input"))
+    made = written(structures(spread(inputs), kind, **source))
+    atoms, bonds = perception.atom_table(made), perception.bond_table(made)
+    if mode_of(mode) in BONDS_ONLY:
+        facts = made.select("mol_key", F.when(F.col("error").isNull(), F.size("atoms")).alias("n"), F.col("error").alias("reason"))
+        known = written(facts.join(network.sums(assembly.molecule_samples(atoms, bonds, mode), params), "mol_key", "left"))
+        return _from_sums(given, known, params, pad_to).drop("key1", "key2").select("graph_id", "input1", "input2", "n1", "n2", "probs", "pred", "class", "error")
+    scored = score_pairs(given, atoms, bonds, params, mode, pad_to)
     d = given.join(scored.drop("key1", "key2"), "graph_id")
     for side, word in ((1, "first"), (2, "second")):
         facts = made.select(F.col("mol_key").alias(f"key{side}"), F.size("atoms").alias(f"n{side}"), F.concat(F.lit(f"{word} input: "), "error").alias(f"error{side}"))

@@ -56,3 +56,26 @@ def test_blocks_and_records(spark, params, tmp_path):
 def test_unknown_kind(spark, params):
     with pytest.raises(ValueError, match="unknown kind"):
         scored(spark, params, [(1, "C", "C")], kind="inchi")
+
+
+def test_a_molecule_is_convolved_once_for_all_its_pairs(spark, params, monkeypatch):
+    """Where edges are bonds, scores come from each molecule's sums; they are those of the pairs' graphs."""
+    from pairloom.operators import assembly, perception
+    from pairloom.sources import smiles
+
+    texts = [CAFFEINE, ACID, "CCO", "C1CC1N", "[Na+]"]
+    made = perception.perceived(smiles.rows(spark.createDataFrame(list(enumerate(texts)), "mol_key int, smiles string"))).localCheckpoint()
+    atoms, bonds = perception.atom_table(made), perception.bond_table(made)
+    pairs = spark.createDataFrame([(10 * a + b, a, b) for a in range(6) for b in range(6)] + [(99, None, 1)], "graph_id int, key1 int, key2 int")
+    whole = pairs.selectExpr("*", "0 AS label", "'' AS tag", "'' AS last")
+    for mode, pad_to in (("OnlyCovalentBond", 40), ("WithRingAndConjugated", None)):
+        samples = assembly.samples(assembly.build_dataset(whole, atoms, bonds, mode, strict=False, denied=[]))
+        fitting = samples if pad_to is None else samples.where(f"n <= {pad_to}")
+        expected = {r.graph_id: r.probs for r in network.both_orders(fitting, params, pad_to).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(network, "both_orders", lambda *a: pytest.fail("a pair's graph was convolved"))
+            got = {r.graph_id: r for r in scoring.score_pairs(pairs, atoms, bonds, params, mode, pad_to).collect()}
+        assert len(got) == 37 and {k for k, r in got.items() if r.error is None} == set(expected)
+        assert all(got[k].probs == pytest.approx(v, abs=1e-9) for k, v in expected.items())
+        assert got[44].error == "atoms or bonds outside the vocabularies" and got[5].error == "no molecule: 5" and got[99].error == "no molecule: null"
+        assert got[0].error == (None if pad_to is None else "more nodes than the padded size") and got[0].probs == (None if pad_to else got[0].probs)
