@@ -228,3 +228,24 @@ def test_neighbours_meet_by_molecule(spark):
     d = molecules.with_neighbours(atoms, bonds)
     assert sorted(tuple(r) for r in d.collect()) == [("m", 0, "C", True, 1, "H"), ("m", 1, "H", False, 0, "C")]
     assert d._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_molecule_tables_keep_their_rows_a_task_whatever_the_shuffle_partitions(spark, tmp_path, monkeypatch):
+    from pairloom.operators import adjacency, molecules
+    from pairloom.plans import order_graph as og
+
+    rows = [(k, (k * (5 + 2 * p) + 3 * p) % 30) for k in range(60) for p in range(4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, k % 50, k / 7) for k in range(30)], "p_partkey long, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+
+    def made():
+        atoms, bonds = og.atoms(spark, str(tmp_path)), og.bonds(spark, str(tmp_path))
+        nodes, own = og.molecule_graphs(spark, str(tmp_path), 5)
+        return [atoms, bonds, molecules.donor_hydrogens(atoms, bonds), molecules.carbon_hydrogens(atoms, bonds), adjacency.adjacency_channels(nodes, own, "AllFeature")]
+
+    few = [sorted(map(tuple, d.collect()), key=repr) for d in made()]
+    assert all(len(r) for r in few)
+    monkeypatch.setattr(og, "ITEMS_A_TASK", 10)
+    for d, expected in zip(made(), few, strict=True):
+        assert sorted(map(tuple, d.collect()), key=repr) == expected
+        assert d.rdd.getNumPartitions() in (24, 48)  # 240 items, 10 a task (48: a union of two such tables); the session has 4 shuffle partitions
