@@ -249,3 +249,23 @@ def test_molecule_tables_keep_their_rows_a_task_whatever_the_shuffle_partitions(
     for d, expected in zip(made(), few, strict=True):
         assert sorted(map(tuple, d.collect()), key=repr) == expected
         assert d.rdd.getNumPartitions() in (24, 48)  # 240 items, 10 a task (48: a union of two such tables); the session has 4 shuffle partitions
+
+
+@pytest.mark.parametrize("name", ["hbond_donors", "carbon_hydrogens"])
+def test_nothing_that_grows_is_dealt_by_the_shuffle_partitions(spark, tmp_path, monkeypatch, name):
+    import re
+
+    from pairloom.plans import order_graph as og
+    from pairloom.plans import queries
+
+    rows = [(k, (k * (5 + 2 * p) + 3 * p) % 300) for k in range(200) for p in range(4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, "3-MEDIUM") for k in range(200)], "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(k, k % 50, k / 7) for k in range(300)], "p_partkey long, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    few = sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert few
+    monkeypatch.setattr(og, "ITEMS_A_TASK", 40)
+    d = queries.QUERIES[name](spark, str(tmp_path))
+    # 800 items, 40 a task; the session has 4 shuffle partitions.
+    assert set(re.findall(r"hashpartitioning\([^)]*, (\d+)\)", d._jdf.queryExecution().executedPlan().toString())) == {"20"}
+    assert sorted(map(tuple, d.collect())) == few
