@@ -6,10 +6,10 @@ one graph's rows meet in one partition and no join is wider than a graph.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .molecules import acceptors, aromatic_atoms, both_ways, carbon_hydrogens, donor_hydrogens
+from .molecules import both_ways, sites
 
 
 def reversed_pairs(pairs: DataFrame) -> DataFrame:
@@ -73,29 +73,50 @@ def pair_edges(graphs: DataFrame, bonds: DataFrame) -> DataFrame:
     return both_ways(b).drop("mol_key").withColumnsRenamed({"begin": "src", "end": "dst"})
 
 
-def _across(graphs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """Pairs of an atom of `first` on one side and one of `second` on the other side of each graph."""
-    s = _sides(graphs)
-    place = (F.col("idx") + F.col("offset")).cast("int")
-    a = s.join(first, "mol_key").select("graph_id", "side", place.alias("src"))
-    b = s.join(second, "mol_key").select("graph_id", (3 - F.col("side")).alias("side"), place.alias("dst"))
-    return a.join(b, ["graph_id", "side"]).select("graph_id", "side", "src", "dst")
+#: Interactions, in the order of their channels: kinds of the sites that meet, and whether each molecule has either role.
+INTERACTIONS = {"hbond": ("donor_hydrogens", "acceptors", True), "pipi_stack": ("aromatic", "aromatic", False), "contact": ("carbon_hydrogens", "acceptors", True)}
+
+
+def _with_sites(graphs: DataFrame, atoms: DataFrame, bonds: DataFrame | None, names: list[str]) -> DataFrame:
+    """graph_id, n1 and the sites of both molecules (each kind with 1 and 2 behind its name), one row a graph.
+
+    Graphs meet whole molecules, in as many tasks as these are in: no table of atoms is dealt by graph.
+    """
+    kinds = sorted({k for x in names for k in INTERACTIONS[x][:2]})
+    m = sites(atoms, bonds, kinds)
+    side = lambda i: m.select(F.col("mol_key").alias(f"key{i}"), *[F.col(k).alias(f"{k}{i}") for k in kinds])
+    # By key2 first: that is how pair_graphs leaves its rows.
+    return graphs.select("graph_id", "key1", "key2", "n1").join(side(2), "key2").join(side(1), "key1").drop("key1", "key2")
+
+
+def _across(name: str) -> Column:
+    """src, dst of every site of an interaction's first kind on one side with every one of its second kind on the other side."""
+    first, second, both = INTERACTIONS[name]
+
+    def one(a: int, b: int) -> Column:
+        at = lambda side, x: (x + (F.lit(0) if side == 1 else F.col("n1"))).cast("int")
+        return F.flatten(F.transform(f"{first}{a}", lambda i: F.transform(f"{second}{b}", lambda j: F.struct(at(a, i).alias("src"), at(b, j).alias("dst")))))
+
+    return F.concat(one(1, 2), one(2, 1)) if both else one(1, 2)
+
+
+def _possible(graphs: DataFrame, atoms: DataFrame, bonds: DataFrame | None, name: str) -> DataFrame:
+    return _with_sites(graphs, atoms, bonds, [name]).select("graph_id", F.inline(_across(name)))
 
 
 def possible_hbonds(graphs: DataFrame, atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """graph_id, src, dst: hydrogens of donors with acceptors of the other molecule."""
-    return _across(graphs, donor_hydrogens(atoms, bonds), acceptors(atoms)).drop("side")
+    return _possible(graphs, atoms, bonds, "hbond")
 
 
 def possible_contacts(graphs: DataFrame, atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """graph_id, src, dst: hydrogens of carbons with acceptors of the other molecule."""
-    return _across(graphs, carbon_hydrogens(atoms, bonds), acceptors(atoms)).drop("side")
+    return _possible(graphs, atoms, bonds, "contact")
 
 
 def possible_pipi_stacks(graphs: DataFrame, atoms: DataFrame) -> DataFrame:
     """graph_id, src, dst: aromatic atoms of the first molecule with those of the second."""
-    a = aromatic_atoms(atoms)
-    return _across(graphs, a, a).where("side = 1").drop("side")
+    return _possible(graphs, atoms, None, "pipi_stack")
 
 
 def interaction_channels(

@@ -251,7 +251,7 @@ def test_molecule_tables_keep_their_rows_a_task_whatever_the_shuffle_partitions(
         assert d.rdd.getNumPartitions() in (24, 48)  # 240 items, 10 a task (48: a union of two such tables); the session has 4 shuffle partitions
 
 
-@pytest.mark.parametrize("name", ["hbond_donors", "carbon_hydrogens"])
+@pytest.mark.parametrize("name", ["hbond_donors", "carbon_hydrogens", "hbond_pairs"])
 def test_nothing_that_grows_is_dealt_by_the_shuffle_partitions(spark, tmp_path, monkeypatch, name):
     import re
 
@@ -269,3 +269,15 @@ def test_nothing_that_grows_is_dealt_by_the_shuffle_partitions(spark, tmp_path,
     # 800 items, 40 a task; the session has 4 shuffle partitions.
     assert set(re.findall(r"hashpartitioning\([^)]*, (\d+)\)", d._jdf.queryExecution().executedPlan().toString())) == {"20"}
     assert sorted(map(tuple, d.collect())) == few
+
+
+def test_a_hydrogen_of_two_donors_is_met_once_for_each(spark):
+    atoms = [atom("m", 0, "O", is_donor=True), atom("m", 1, "H"), atom("m", 2, "N", is_donor=True), atom("m", 3, "C"), atom("k", 0, "N", is_acceptor=True), atom("k", 1, "O", is_acceptor=True, is_donor=True)]
+    a, b = frames(spark, atoms, [bond("m", 0, 1), bond("m", 1, 2), bond("m", 3, 1), {**bond("m", 0, 1), "end": None}])
+    g = pg.pair_graphs(pair(spark, ("m", "k"), ("k", "m")), a)
+    h = [("g0", 1, 4), ("g0", 1, 5), ("g1", 3, 0), ("g1", 3, 1)]
+    assert rows(pg.possible_hbonds(g, a, b), "graph_id", "src", "dst") == sorted(h * 2)
+    assert rows(pg.possible_contacts(g, a, b), "graph_id", "src", "dst") == h
+    both = sorted(h + [(i, dst, src) for i, src, dst in h])
+    assert rows(pg.interaction_channels(g, a, b, 4, contact=True), "channel", "graph_id", "src", "dst") == [(c, *r) for c in (4, 5) for r in both]
+    assert rows(molecules.donors(a, b), "mol_key", "idx", "hs") == [("k", 1, []), ("m", 0, [1]), ("m", 2, [1])]
