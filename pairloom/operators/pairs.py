@@ -123,18 +123,15 @@ def interaction_channels(
     graphs: DataFrame, atoms: DataFrame, bonds: DataFrame, first_channel: int, hbond: bool = True, pipi_stack: bool = False, contact: bool = False
 ) -> DataFrame | None:
     """graph_id, src, dst, channel, value 1: symmetric, each once; None if all are off. Order: hbond, pipi_stack, contact."""
-    layers = []
-    if hbond:
-        layers.append(possible_hbonds(graphs, atoms, bonds))
-    if pipi_stack:
-        layers.append(possible_pipi_stacks(graphs, atoms))
-    if contact:
-        layers.append(possible_contacts(graphs, atoms, bonds))
-    out = None
-    for i, pairs in enumerate(layers):
-        # Reversed before the duplicates go, in one pass.
-        ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")
-        both = pairs.select("graph_id", ends).select("graph_id", "e.src", "e.dst").distinct()
-        layer = both.select("graph_id", "src", "dst", F.lit(first_channel + i).alias("channel"), F.lit(1.0).alias("value"))
-        out = layer if out is None else out.unionByName(layer)
-    return out
+    names = [x for x, on in (("hbond", hbond), ("pipi_stack", pipi_stack), ("contact", contact)) if on]
+    if not names:
+        return None
+
+    def layer(name: str, channel: int) -> Column:
+        ends = lambda p: F.array(F.struct(p["src"].alias("src"), p["dst"].alias("dst")), F.struct(p["dst"].alias("src"), p["src"].alias("dst")))
+        cell = lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), F.lit(channel).alias("channel"), F.lit(1.0).alias("value"))
+        return F.transform(F.array_distinct(F.flatten(F.transform(_across(name), ends))), cell)
+
+    # A graph is one row, so its duplicates go in place.
+    layers = [layer(x, first_channel + i) for i, x in enumerate(names)]
+    return _with_sites(graphs, atoms, bonds, names).select("graph_id", F.inline(F.concat(*layers)))
