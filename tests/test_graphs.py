@@ -251,7 +251,7 @@ def test_molecule_tables_keep_their_rows_a_task_whatever_the_shuffle_partitions(
         assert d.rdd.getNumPartitions() in (24, 48)  # 240 items, 10 a task (48: a union of two such tables); the session has 4 shuffle partitions
 
 
-@pytest.mark.parametrize("name", ["hbond_donors", "carbon_hydrogens", "hbond_pairs", "contact_pairs", "interaction_tensor"])
+@pytest.mark.parametrize("name", ["hbond_donors", "carbon_hydrogens", "hbond_pairs", "contact_pairs", "interaction_tensor", "coo_pair_graphs"])
 def test_nothing_that_grows_is_dealt_by_the_shuffle_partitions(spark, tmp_path, monkeypatch, name):
     import re
 
