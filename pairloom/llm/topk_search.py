@@ -49,8 +49,8 @@ K, LISTS, GATHERED = 5, 2, 32
 BLOCK, QUERY_BLOCK, AT_ONCE, GATHER_BLOCKS = 8192, 4096, 256, 16
 #: Integers of a block at most, unless one vector has more.
 CELLS = 1 << 22
-#: Tasks of the grid for each block of candidates, at most `TASKS`.
-TASKS = 4096
+#: Tasks of the grid at most: what is shuffled grows with the root of it. Each has a part of the meetings, whatever the session's shuffle partitions are.
+TASKS = 128
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -120,23 +120,29 @@ def _meeting(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return np.frombuffer(row["q_ids"], dtype=np.int64), np.frombuffer(row["ids"], dtype=np.int64), q, c
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Row by row: a row has two blocks, so a batch of them is not made into Python objects at once."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _gather(k: int, lists: int, gathered: int):
     """q_key and totals: the k best totals of every query of the block, query by query, or fewer (then nulls)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                qids, ids, q, c = _meeting(row)
-                take, out = min(gathered, len(ids)), []
-                for at in range(0, len(qids), AT_ONCE):
-                    scores = [q[at : at + AT_ONCE, s] @ c[:, s].T for s in _parts(q.shape[1], lists)]
-                    tops = [np.argpartition(-s, take - 1, axis=1)[:, :take] for s in scores]
-                    for i, own in enumerate(qids[at : at + AT_ONCE]):
-                        found = np.unique(np.concatenate([t[i] for t in tops]))
-                        found = found[ids[found] != own]
-                        best = sorted((int(x) for x in sum(s[i, found] for s in scores)), reverse=True)[:k]
-                        out.append(best)
-                yield pa.RecordBatch.from_arrays([pa.array([row["q_key"]], pa.int64()), pa.array([out], pa.list_(pa.list_(pa.int64())))], ["q_key", "totals"])
+        for row in _rows(batches):
+            qids, ids, q, c = _meeting(row)
+            take, out = min(gathered, len(ids)), []
+            for at in range(0, len(qids), AT_ONCE):
+                scores = [q[at : at + AT_ONCE, s] @ c[:, s].T for s in _parts(q.shape[1], lists)]
+                tops = [np.argpartition(-s, take - 1, axis=1)[:, :take] for s in scores]
+                for i, own in enumerate(qids[at : at + AT_ONCE]):
+                    found = np.unique(np.concatenate([t[i] for t in tops]))
+                    found = found[ids[found] != own]
+                    best = sorted((int(x) for x in sum(s[i, found] for s in scores)), reverse=True)[:k]
+                    out.append(best)
+            yield pa.RecordBatch.from_arrays([pa.array([row["q_key"]], pa.int64()), pa.array([out], pa.list_(pa.list_(pa.int64())))], ["q_key", "totals"])
 
     return run
 
@@ -186,17 +192,16 @@ def collect(q: np.ndarray, c: np.ndarray, cuts: list[int | None], lists: int) ->
 
 def _resolve(k: int, lists: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                qids, ids, q, c = _meeting(row)
-                out: tuple[list, ...] = ([], [], [], [])
-                for r, _, found, totals in collect(q, c, cutoffs(row["totals"], k) if row["totals"] else [None] * len(qids), lists):
-                    other = ids[found] != qids[r]
-                    best = sorted(zip((-totals[other]).tolist(), ids[found[other]].tolist(), strict=True))[:k] if other.any() else []
-                    out[0].extend([r] * len(best)), out[1].extend([int(qids[r])] * len(best))
-                    out[2].extend(i for _, i in best), out[3].extend(int(-t) for t, _ in best)
-                keys = pa.array([row["q_key"]] * len(out[0]), pa.int64())
-                yield pa.RecordBatch.from_arrays([keys, *[pa.array(x, pa.int64()) for x in out]], ["q_key", "q_row", "query_id", "vec_id", "score"])
+        for row in _rows(batches):
+            qids, ids, q, c = _meeting(row)
+            out: tuple[list, ...] = ([], [], [], [])
+            for r, _, found, totals in collect(q, c, cutoffs(row["totals"], k) if row["totals"] else [None] * len(qids), lists):
+                other = ids[found] != qids[r]
+                best = sorted(zip((-totals[other]).tolist(), ids[found[other]].tolist(), strict=True))[:k] if other.any() else []
+                out[0].extend([r] * len(best)), out[1].extend([int(qids[r])] * len(best))
+                out[2].extend(i for _, i in best), out[3].extend(int(-t) for t, _ in best)
+            keys = pa.array([row["q_key"]] * len(out[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array(x, pa.int64()) for x in out]], ["q_key", "q_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -216,14 +221,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     def meet(some: DataFrame, asked: DataFrame) -> DataFrame:
-        left = some.withColumn("cp", part("key", rows)).withColumn("qp", each(columns))
-        return left.join(asked.withColumn("qp", part("q_key", columns)).withColumn("cp", each(rows)), ["cp", "qp"])
+        # A hint, since a planner that sees the size of the files, not of what is exploded from them, would broadcast it.
+        left = some.withColumn("cp", part("key", rows)).withColumn("qp", each(columns)).repartition(rows * columns, "cp", "qp").hint("merge")
+        return left.join(asked.withColumn("qp", part("q_key", columns)).withColumn("cp", each(rows)).repartition(rows * columns, "cp", "qp"), ["cp", "qp"])
 
     chosen = blocks.select("key").orderBy(F.xxhash64("key"), "key").limit(GATHER_BLOCKS)  # any blocks give a safe cutoff
     first = blocks.join(F.broadcast(chosen), "key") if n_blocks > GATHER_BLOCKS else blocks
     gathered_ = settle(meet(first, asked).mapInArrow(_gather(k, lists, gathered), "q_key long, totals array<array<long>>"), "gathered")
     totals = gathered_.groupBy("q_key").agg(F.collect_list("totals").alias("totals"))  # of at most GATHER_BLOCKS blocks
-    told = settle(asked.join(totals, "q_key", "left"), "told")
+    told = settle(asked.hint("merge").join(totals, "q_key", "left"), "told")
     found = meet(blocks, told).mapInArrow(_resolve(k, lists), "q_key long, q_row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("q_key", "q_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
