@@ -7,25 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.features import class_name
+from ..functions.features import argmax, class_name
 from ..sources import lookups, molblocks, smiles
 from ..sources.shared import spread, written
 from . import assembly, network, perception
 from .adjacency import BONDS_ONLY, mode_of
 
 
+#: Pairs a key is in, on average, from which sums of molecules are stored.
+SEVERAL = 4
+
+
 def score_pairs(
-    pairs: DataFrame, atoms: DataFrame, bonds: DataFrame, params: network.Params, mode: str = "OnlyCovalentBond", pad_to: int | None = None
+    pairs: DataFrame, atoms: DataFrame, bonds: DataFrame | None, params: network.Params, mode: str = "OnlyCovalentBond", pad_to: int | None = None
 ) -> DataFrame:
     """graph_id, key1, key2, probs, pred, class and error of every row of pairs (graph_id, key1, key2; no label is needed).
 
     probs is the mean over both orders of a pair. error says why a pair has no scores: a key without atoms, atoms or
     bonds outside the vocabularies, or more nodes than pad_to; it is null for the others. graph_id tells pairs apart.
 
-    Where edges are bonds, the convolutions see each molecule once, however many pairs it is in; its sums are written to the shared
-    folder. With distances, which join both molecules, every pair is a graph of its own.
+    Where edges are bonds and molecules are in several pairs, the convolutions see each molecule once; its sums, which are many times as large as
+    itself, are written to the shared folder. Where a key is in fewer than SEVERAL pairs on average, pairs meet the molecules themselves, and with
+    distances, which join both molecules, every pair is a graph of its own. bonds None: see `assembly.molecule_samples`.
     """
     if mode_of(mode) in BONDS_ONLY:
+        keys = pairs.select(F.explode(F.array("key1", "key2")).alias("key")).agg(F.count("key"), F.approx_count_distinct("key")).first()
+        if keys[0] < SEVERAL * keys[1]:
+            return _from_molecules(pairs.select("graph_id", "key1", "key2"), assembly.molecule_samples(atoms, bonds, mode), params, pad_to)
         known = written(network.sums(assembly.molecule_samples(atoms, bonds, mode), params, ("n",)).withColumn("reason", F.lit(None).cast("string")))
         return _from_sums(pairs.select("graph_id", "key1", "key2"), known, params, pad_to).drop("n1", "n2")
     given = pairs.select("graph_id", "key1", "key2")
@@ -49,12 +57,30 @@ def _from_sums(pairs: DataFrame, known: DataFrame, params: network.Params, pad_t
     side = lambda k: known.select(*[F.col(c).alias(f"{name}{k}") for c, name in (("mol_key", "key"), ("n", "n"), ("total", "total"), ("reason", "reason"))])
     d = pairs.join(side(1), "key1", "left").join(side(2), "key2", "left").withColumn("n", F.col("n1") + F.col("n2"))
     d = network.from_sums(d, params, pad_to)
+    return _with_errors(d, pairs.columns, pad_to)
+
+
+def _from_molecules(pairs: DataFrame, molecules: DataFrame, params: network.Params, pad_to: int | None) -> DataFrame:
+    """_from_sums without n1 and n2, from rows of `assembly.molecule_samples`, convolved with each pair they are in."""
+    side = lambda k: molecules.select(F.col("mol_key").alias(f"key{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("n", "x", "src", "dst")])
+    d = pairs.join(side(2), "key2", "left").join(side(1), "key1", "left").withColumn("n", F.col("n1") + F.col("n2"))
+    fits = F.col("x1").isNotNull() & F.col("x2").isNotNull() & (F.col("n") <= (pad_to or 1 << 62))
+    moved = lambda c: F.concat(f"{c}1", F.transform(f"{c}2", lambda i: i + F.col("n1"))).alias(c)
+    d = d.select("graph_id", "key1", "key2", "n1", "n2", "n", F.when(fits, F.concat("x1", "x2")).alias("x"), moved("src"), moved("dst"))
+    d = network.probabilities(network.logits(d, params, pad_to, keep=("key1", "key2", "n1", "n2", "n")))
+    none = F.lit(None).cast("string")
+    known = F.col("logits").isNotNull()
+    d = d.withColumns({"probs": F.when(known, F.col("probs")), "pred": F.when(known, argmax(F.col("probs"))), "reason1": none, "reason2": none})
+    return _with_errors(d, pairs.columns, pad_to).drop("n1", "n2")
+
+
+def _with_errors(d: DataFrame, columns: list[str], pad_to: int | None) -> DataFrame:
     told = [F.concat(F.lit(f"{word} input: "), f"reason{k}") for k, word in ((1, "first"), (2, "second"))]
     missing = lambda k: F.when(F.col(f"n{k}").isNull(), F.concat(F.lit("no molecule: "), F.coalesce(F.col(f"key{k}").cast("string"), F.lit("null"))))
     too_large = F.when(F.col("n") > (pad_to or 1 << 62), F.lit("more nodes than the padded size"))
     other = F.when(F.col("pred").isNull(), F.lit("atoms or bonds outside the vocabularies"))
     error = F.coalesce(*told, missing(1), missing(2), too_large, other)
-    return d.select(*pairs.columns, "n1", "n2", "probs", "pred", class_name(F.col("pred")).alias("class"), error.alias("error"))
+    return d.select(*columns, "n1", "n2", "probs", "pred", class_name(F.col("pred")).alias("class"), error.alias("error"))
 
 
 #: What an input of `score_structures` may be.
