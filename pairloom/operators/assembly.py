@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.features import N_FEATURES, allowed_atom, vertex_features
 from ..sources.datasets import Dataset
 from ..sources.pairs import checked_labels, without_denied
+from ..sources.shared import written
 from .adjacency import BONDS_ONLY, CHANNELS, adjacency_channels, invalid_graphs, mode_of, pair_channels, to_edges
 from .pairs import pair_bonds, pair_graphs, pair_nodes
 
@@ -80,38 +81,57 @@ def _molecule_edges(bonds: DataFrame, mode: str) -> DataFrame:
     return e.groupBy(F.col("graph_id").alias("mol_key")).agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("e"), F.lit(False).alias("bad"))
 
 
-def molecule_samples(atoms: DataFrame, bonds: DataFrame | None, mode: str = "OnlyCovalentBond") -> DataFrame:
+def molecule_samples(atoms: DataFrame, bonds: DataFrame | None, mode: str = "OnlyCovalentBond", kinds: bool = False) -> DataFrame:
     """mol_key, n, x, src and dst of every molecule as a graph of its own (see `samples`); x is null where atoms or bonds are outside the vocabularies.
 
     For modes whose channels are those of bonds. Without bonds, atoms have them: links is each one's array of end and type_number, every
-    bond at one of its atoms, for the mode OnlyCovalentBond; nothing is then joined.
+    bond at one of its atoms, for the mode OnlyCovalentBond; nothing is then joined. kinds: also src, dst and type of every bond.
     """
     if mode_of(mode) not in BONDS_ONLY or (bonds is None and mode_of(mode) != "covalent"):
         raise ValueError(f"edges of the mode {mode!r} are not those of the bonds given")
     if bonds is None:
         ends = F.flatten(F.transform(F.filter("links", lambda b: b["type_number"] <= 4), lambda b: _both_ends(F.col("idx"), b["end"])))
         bad = F.exists("links", lambda b: b["type_number"] > 4)
-        d = _gathered(atoms, ends.alias("ends"), bad.alias("bad"), e=F.sort_array(F.array_distinct(F.flatten(F.collect_list("ends")))), bad=F.bool_or("bad"))
+        types = F.transform("links", lambda b: F.struct(F.col("idx").cast("int").alias("src"), b["end"].cast("int").alias("dst"), b["type_number"].cast("int").alias("type"))).alias("types")
+        more = {"kinds": F.flatten(F.collect_list("types"))} if kinds else {}
+        d = _gathered(atoms, ends.alias("ends"), bad.alias("bad"), *[types] * kinds, e=F.sort_array(F.array_distinct(F.flatten(F.collect_list("ends")))), bad=F.bool_or("bad"), **more)
     else:
         d = _gathered(atoms).join(_molecule_edges(bonds, mode), "mol_key", "left")
     none = F.array().cast("array<int>")
     x = F.when(~F.coalesce("bad", F.lit(False)), F.col("x")).alias("x")
-    return d.select("mol_key", "n", x, F.coalesce("e.src", none).alias("src"), F.coalesce("e.dst", none).alias("dst"))
+    return d.select("mol_key", "n", x, F.coalesce("e.src", none).alias("src"), F.coalesce("e.dst", none).alias("dst"), *["kinds"] * kinds)
 
 
-def pair_samples(pairs: DataFrame, atoms: DataFrame, bonds: DataFrame | None, mode: str = "OnlyCovalentBond", denied: list[str] | None = None) -> DataFrame:
+def linked_dataset(pairs: DataFrame, atoms: DataFrame, denied: list[str] | None = None) -> Dataset:
+    """build_dataset (not strict, OnlyCovalentBond) of atoms with links (see `molecule_samples`).
+
+    Rows of pairs are made once and written to the shared folder; the tables are unfolded from them behind a deal of these rows in ranges.
+    """
+    rows = written(pair_samples(pairs, atoms, None, denied=denied, kinds=True)).repartitionByRange("graph_id").sortWithinPartitions("graph_id")
+    nodes = rows.select("graph_id", "n1", F.posexplode("x").alias("node_id", "features"))
+    side = F.when(F.col("node_id") < F.col("n1"), 1).otherwise(2).alias("side")
+    e = rows.select("graph_id", "kinds", F.inline(F.arrays_zip("src", "dst")))
+    own = F.filter("kinds", lambda b: ((b["src"] == F.col("src")) & (b["dst"] == F.col("dst"))) | ((b["src"] == F.col("dst")) & (b["dst"] == F.col("src"))))
+    count = lambda k: F.size(F.filter(own, lambda b: b["type"] == k)).cast("float")
+    cells = [count(k) for k in range(1, CHANNELS["covalent"] + 1)]
+    edges = e.select("graph_id", "src", "dst", F.array(*cells).alias("edge_attr"))
+    return Dataset(rows.select("graph_id", "name", "n1", "n2", "n", "label", "tag"), nodes.select("graph_id", "node_id", side, "features"), edges, ranged=True)
+
+
+def pair_samples(pairs: DataFrame, atoms: DataFrame, bonds: DataFrame | None, mode: str = "OnlyCovalentBond", denied: list[str] | None = None, kinds: bool = False) -> DataFrame:
     """The `samples` of `build_dataset` (not strict, without interactions), for modes whose channels are those of bonds; see `molecule_samples`.
 
     No edge joins the two molecules then, so atoms and bonds are gathered by molecule, where they are, and pairs meet whole molecules: no table of
     nodes or edges is dealt by graph.
     """
     kept, _ = checked_labels(without_denied(pairs, denied))
-    m = molecule_samples(atoms, bonds, mode).where("x IS NOT NULL")
-    side = lambda i: m.select(F.col("mol_key").alias(f"key{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("n", "x", "src", "dst")])
+    m = molecule_samples(atoms, bonds, mode, kinds).where("x IS NOT NULL")
+    side = lambda i: m.select(F.col("mol_key").alias(f"key{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("n", "x", "src", "dst", *["kinds"] * kinds)])
     d = kept.select("graph_id", "key1", "key2", "label", "tag").join(side(2), "key2").join(side(1), "key1")
     moved = lambda c: F.concat(f"{c}1", F.transform(f"{c}2", lambda i: i + F.col("n1"))).alias(c)
     name = F.concat_ws("&", F.col("key1").cast("string"), F.col("key2").cast("string")).alias("name")
-    return d.select("graph_id", name, "n1", "n2", (F.col("n1") + F.col("n2")).alias("n"), "label", "tag", F.concat("x1", "x2").alias("x"), moved("src"), moved("dst"))
+    typed = [F.concat("kinds1", F.transform("kinds2", lambda b: F.struct((b["src"] + F.col("n1")).alias("src"), (b["dst"] + F.col("n1")).alias("dst"), b["type"].alias("type")))).alias("kinds")] if kinds else []
+    return d.select("graph_id", name, "n1", "n2", (F.col("n1") + F.col("n2")).alias("n"), "label", "tag", F.concat("x1", "x2").alias("x"), moved("src"), moved("dst"), *typed)
 
 
 def reversed_samples(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import CLASS_NAMES
+from .shared import released
 
 
 @dataclass
@@ -22,13 +23,17 @@ class Dataset:
     graphs: DataFrame
     nodes: DataFrame
     edges: DataFrame
+    #: Whether all three are in ranges of graph_id already, sorted by it.
+    ranged: bool = False
 
 
 def save(data: Dataset, path: str) -> None:
     """All three tables are written in ranges of graph_id, sorted by it: a filter on graph_id reads few files and row groups."""
-    for name in ("graphs", "nodes", "edges"):
-        rows = getattr(data, name)
-        rows.repartitionByRange("graph_id").sortWithinPartitions("graph_id").write.mode("overwrite").parquet(f"{path}/{name}")
+    with released(data.graphs.sparkSession):  # one table's shuffle files at a time
+        for name in ("graphs", "nodes", "edges"):
+            rows = getattr(data, name)
+            rows = rows if data.ranged else rows.repartitionByRange("graph_id").sortWithinPartitions("graph_id")
+            rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load(spark: SparkSession, path: str) -> Dataset:
